@@ -100,3 +100,28 @@ class MultiHot(Estimator, _MultiHotParams, DefaultParamsReadable, DefaultParamsW
         cols, sep = self.getInputCols(), self.getOrDefault(self.sep)
         prefixes = self.getOrDefault(self.prefixes) if self.isSet(self.prefixes) else None
         return MultiHotModel(cols, categories(df, cols, sep), sep, prefixes)
+
+
+def categories_by_fold(
+    df: DataFrame, cols: Sequence[str], fold: str, n_folds: int, sep: str = ","
+) -> dict[int, dict[str, list[str]]]:
+    """For every fold the options that occur in the other folds, from one scan."""
+
+    def tag(c: str):
+        items = F.array_distinct(split_multiselect(F.col(c), sep))
+        return F.transform(items, lambda item: F.struct(F.lit(c).alias("c"), item.alias("item")))
+
+    pairs = df.select(fold, F.explode(F.concat(*[tag(c) for c in cols])).alias("p")).select("p.c", "p.item", fold)
+    limit = MAX_CATEGORIES * len(cols)
+    rows = (
+        pairs.groupBy("c", "item")
+        .agg(*[F.count_if(F.col(fold) != f).alias(f"o{f}") for f in range(n_folds)])
+        .limit(limit + 1)
+        .collect()
+    )
+    if len(rows) > limit:
+        raise ValueError(f"a multi-select column has more than {MAX_CATEGORIES} options")
+    return {
+        f: {c: sorted(r["item"] for r in rows if r["c"] == c and r[f"o{f}"] > 0) for c in cols}
+        for f in range(n_folds)
+    }

@@ -325,3 +325,71 @@ def predict_texts(spark: SparkSession, model: TextModel, texts: Sequence[str | N
     """Scores of single texts; the one-text forms are this with one entry."""
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"i long, `{model.column}` string")
     return score_text(rows, model)
+
+
+def fit_text_models_by_fold(
+    df: DataFrame, label: str, fold: str, n_folds: int, sizes: Mapping[str, int], alpha: float = 0.5
+) -> dict[int, list[TextModel]]:
+    """For every fold the models fitted on all other folds, from one scan of the texts.
+
+    Counts are additive: training counts of a fold are the totals minus its own.
+    """
+    columns = list(sizes)
+    known = df.filter(F.col(label).isNotNull())
+    classes = list(class_counts(known, label))
+    per_fold = {
+        (r[fold], r[label]): r["n"] for r in known.groupBy(fold, label).agg(F.count("*").alias("n")).collect()
+    }
+    cells = known.withColumn("_cell", F.concat_ws("\0", F.col(fold).cast("string"), F.col(label).cast("string")))
+    keys = [(f, c) for f in range(n_folds) for c in classes]
+    counts = token_counts(cells, columns, "_cell", [f"{f}\0{c}" for f, c in keys])
+    at = {key: F.col(f"n{i}") for i, key in enumerate(keys)}
+
+    def outside(f: int, c) -> Column:
+        total = sum((at[(g, c)] for g in range(n_folds)), F.lit(0))
+        return total - at[(f, c)]
+
+    per_training = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("f"),
+                sum((outside(f, c) for c in classes), F.lit(0)).alias("df"),
+                *[outside(f, c).alias(f"n{k}") for k, c in enumerate(classes)],
+            )
+            for f in range(n_folds)
+        ]
+    )
+    long = counts.select("c", "token", F.inline(per_training)).filter(F.col("df") > 0)
+    limits = F.element_at(F.array(*[F.lit(k) for k in sizes.values()]), F.col("c") + 1)
+    order = Window.partitionBy("f", "c").orderBy(F.desc("df"), "token")
+    best = (
+        long.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= max(sizes.values()))
+        .filter(F.col("rank") <= limits)
+        .collect()
+    )
+    out: dict[int, list[TextModel]] = {}
+    for f in range(n_folds):
+        n = [float(sum(per_fold.get((g, c), 0) for g in range(n_folds) if g != f)) for c in classes]
+        present = [k for k, m in enumerate(n) if m > 0]
+        models = []
+        for i, col in enumerate(columns):
+            mine = sorted((r for r in best if r["f"] == f and r["c"] == i), key=lambda r: r["rank"])
+            if not mine:
+                raise ValueError(f"no usable tokens in {col}")
+            models.append(
+                TextModel(
+                    column=col,
+                    prefix=default_prefix(col),
+                    classes=[classes[k] for k in present],
+                    class_count=[n[k] for k in present],
+                    vocab=[r["token"] for r in mine],
+                    prob=[
+                        [min(max((r[f"n{k}"] + alpha) / (n[k] + 2 * alpha), CLIP), 1 - CLIP) for r in mine]
+                        for k in present
+                    ],
+                    doc_freq=[r["df"] for r in mine],
+                )
+            )
+        out[f] = models
+    return out
