@@ -72,8 +72,7 @@ def half_even(x: Column) -> Column:
 
 def to_count(x: Column, upper) -> Column:
     """Clip to [0, upper] and round half to even; without an upper bound nothing changes."""
-    x = non_negative(x)
-    return x if upper is None else half_even(clip(x, 0, upper))
+    return non_negative(x) if upper is None else F.bround(clip(x, 0, upper), 0)
 
 
 # Largest double below 2^63.

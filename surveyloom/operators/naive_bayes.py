@@ -340,9 +340,11 @@ def fit_text_models_by_fold(
     per_fold = {
         (r[fold], r[label]): r["n"] for r in known.groupBy(fold, label).agg(F.count("*").alias("n")).collect()
     }
-    cells = known.withColumn("_cell", F.concat_ws("\0", F.col(fold).cast("string"), F.col(label).cast("string")))
+    # (fold, class) as one small integer
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    cells = known.withColumn("_cell", (F.col(fold) * len(classes) + place).cast("int"))
     keys = [(f, c) for f in range(n_folds) for c in classes]
-    counts = token_counts(cells, columns, "_cell", [f"{f}\0{c}" for f, c in keys])
+    counts = token_counts(cells, columns, "_cell", range(len(keys)))
     at = {key: F.col(f"n{i}") for i, key in enumerate(keys)}
 
     def outside(f: int, c) -> Column:

@@ -7,7 +7,9 @@ import statistics
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +54,17 @@ def rank_results(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("mean_val_acc"), F.asc("std_val_acc"), F.asc("params"))
 
 
+def identified(df: DataFrame, layout: Layout) -> DataFrame:
+    """Labelled rows with a unique id; an id made here is written down, so it never changes."""
+    known = df.filter(F.col(layout.label).isNotNull())
+    return known if layout.row_id in df.columns else materialise(with_row_id(known, layout.row_id), "rows")
+
+
 def assign_folds(
     df: DataFrame, layout: Layout, n_splits: int = 5, seed=42, group_col: str | None = None
 ) -> DataFrame:
     """Fold column; with a group column its rows stay together."""
-    df = with_row_id(df, layout.row_id).filter(F.col(layout.label).isNotNull())
+    df = identified(df, layout)
     if group_col and group_col in df.columns:
         return stratified_group_kfold(df, layout.label, group_col, n_splits, seed)
     return stratified_kfold(df, layout.label, layout.row_id, n_splits, seed)
@@ -69,15 +77,16 @@ def cross_validate(
     n_splits: int = 5,
     seed=42,
     group_col: str | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """One result row per recipe; everything fitted is fitted without the validation fold.
 
     Texts are scanned once per vocabulary setting for the counts of all folds
     and once per fold to score; recipes that differ only in the classifier
-    share the scored table.
+    share the scored table. ``parallelism`` folds are submitted at a time.
     """
     folded = materialise(assign_folds(df, layout, n_splits, seed, group_col), "folds")
-    scores: dict[int, list[float]] = {i: [] for i in range(len(recipes))}
+    scores: dict[int, list[float]] = {i: [0.0] * n_splits for i in range(len(recipes))}
     shared: dict[tuple, list[int]] = {}
     for i, r in enumerate(recipes):
         shared.setdefault(r.scores_key, []).append(i)
@@ -89,7 +98,8 @@ def cross_validate(
         options = {}
         if lead.multihot and layout.multi_selects:
             options = categories_by_fold(folded, layout.multi_selects, "fold", n_splits, layout.sep)
-        for f in range(n_splits):
+
+        def run(f: int) -> None:
             stages = scores_from_parts(models[f], options.get(f), lead, layout)
             scored = materialise(
                 stages.transform(folded).drop(*layout.texts, *layout.multi_selects), "scored"
@@ -97,8 +107,11 @@ def cross_validate(
             inside, outside = scored.filter(F.col("fold") != f), scored.filter(F.col("fold") == f)
             for i in members:
                 fitted = fit_classifier(inside, recipes[i], layout, exclude=["fold"], fold=f)
-                row = fitted.transform(outside).agg(accuracy("prediction", layout.label).alias("a")).first()
-                scores[i].append(row["a"])
+                hits = fitted.transform(outside).agg(accuracy("prediction", layout.label).alias("a"))
+                scores[i][f] = hits.first()["a"]
+
+        with ThreadPool(parallelism) as pool:
+            pool.map(inheritable_thread_target(df.sparkSession)(run), range(n_splits))
     rows = [
         (r.kind, describe(r), scores[i], statistics.fmean(scores[i]), statistics.pstdev(scores[i]))
         for i, r in enumerate(recipes)
@@ -149,7 +162,7 @@ def evaluate_holdout(
     stratify: bool = True,
 ) -> dict:
     """Training and validation accuracy of one split."""
-    df = with_row_id(df, layout.row_id).filter(F.col(layout.label).isNotNull())
+    df = identified(df, layout)
     split = materialise(
         holdout(df, layout.label, layout.row_id, train_size, seed, stratify), "holdout"
     )
