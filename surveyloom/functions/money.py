@@ -32,30 +32,33 @@ HYPOTHETICAL = [
 # Fixed value: characters of context on each side of an amount.
 CONTEXT = 35
 
+# A letter, digit or underscore of any script.
+_WORD = r"[\p{L}\p{N}_]"
 _NUM = r"((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?)"
 # The five written forms of an amount, first match wins.
 AMOUNT_FORMS = [
     # currency sign or code first
     rf"(?:cad\s*\$?|\$|usd\s*\$?)\s*{_NUM}\s*(k|thousand|mil|million|b|billion)?",
     # currency word last
-    rf"{_NUM}\s*(k|thousand|mil|million|b|billion)?\s*(?:cad|usd|dollars?|bucks?)\b",
+    rf"{_NUM}\s*(k|thousand|mil|million|b|billion)?\s*(?:cad|usd|dollars?|bucks?)(?!{_WORD})",
     # scale word apart
-    rf"{_NUM}\s+(k|thousand|mil|million|b|billion)\b",
+    rf"{_NUM}\s+(k|thousand|mil|million|b|billion)(?!{_WORD})",
     # scale letter attached
-    rf"{_NUM}(k|mil|b)\b",
+    rf"{_NUM}(k|mil|b)(?!{_WORD})",
     # bare number
-    rf"\b{_NUM}\b",
+    rf"(?<!{_WORD}){_NUM}(?!{_WORD})",
 ]
 # Groups: 1 context before, then number and scale of each form (2..10), 11 context after.
 # The first look-ahead lets the scan skip characters no amount starts with.
 AMOUNT = (
-    r"(?sU)(?=[0-9$cu])"
+    r"(?s)(?=[0-9$cu])"
     rf"(?<=(^.{{0,{CONTEXT - 1}}}|.{{{CONTEXT}}}))"
     r"(?:" + "|".join(AMOUNT_FORMS) + r")"
     rf"(?=(.{{0,{CONTEXT}}}))"
 )
-_NUM_GROUPS = (2, 4, 6, 8, 10)
-_SCALE_GROUPS = (3, 5, 7, 9)
+# Private characters that set the parts of a match off; in a text they become the third.
+_START, _NEXT, _OTHER = "\ue000", "\ue001", "\ue002"
+_MARKED = f"{_START}$1$0$11{_NEXT}$2$4$6$8$10{_NEXT}$3$5$7$9{_NEXT}"
 
 
 def scale_multiplier(scale: Column) -> Column:
@@ -70,27 +73,24 @@ def score_context(context: Column) -> Column:
 
 
 def amounts(s: Column) -> Column:
-    """Amounts of a normalised text in order: array of (score, value)."""
-
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(s, F.lit(AMOUNT), F.lit(i))
-
-    nums = [group(i) for i in _NUM_GROUPS]
-    scales = [group(i) for i in _SCALE_GROUPS]
-    zipped = F.arrays_zip(group(1), group(0), group(11), *nums, *scales)
-    n = 3 + len(nums)
-
-    def candidate(x: Column) -> Column:
-        context = F.concat(x["0"], x["1"], x["2"])
-        number = F.concat(*[x[str(i)] for i in range(3, n)])
-        scale = F.concat(*[x[str(i)] for i in range(n, n + len(scales))])
-        value = F.replace(number, F.lit(","), F.lit("")).try_cast("double")
-        return F.struct(
-            score_context(context).alias("score"),
-            (value * scale_multiplier(scale)).alias("value"),
-        )
+    """Amounts of a normalised text in order: array of (score, value).
+
+    One scan marks every match with its context, number and scale; the marked
+    text is then cut at the marks.
+    """
+    clean = F.replace(F.replace(s, F.lit(_START), F.lit(_OTHER)), F.lit(_NEXT), F.lit(_OTHER))
+    marked = F.split(F.regexp_replace(clean, AMOUNT, _MARKED), _START)
+
+    def candidate(piece: Column) -> Column:
+        def parts(x: Column) -> Column:
+            value = F.replace(x[1], F.lit(","), F.lit("")).try_cast("double")
+            return F.struct(
+                score_context(x[0]).alias("score"), (value * scale_multiplier(x[2])).alias("value")
+            )
+
+        return let(F.split(piece, _NEXT), parts)
 
-    return F.transform(zipped, candidate)
+    return F.transform(let(marked, lambda m: F.slice(m, F.lit(2), F.size(m))), candidate)
 
 
 def choose_amount(candidates: Column, text: Column) -> Column:
@@ -129,4 +129,5 @@ def parse_money(c: Column, strict_zero: bool = False) -> Column:
 
 def bound_money(x: Column, cap: float = PAYMENT_CAP) -> Column:
     """Negatives to zero, the rest at most ``cap``; NULL stays NULL."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(float(cap))))
+    # bound once: x may be a whole parse
+    return let(x, lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(float(cap)))))

@@ -327,19 +327,62 @@ def predict_texts(spark: SparkSession, model: TextModel, texts: Sequence[str | N
     return score_text(rows, model)
 
 
-def fit_text_models_by_fold(
-    df: DataFrame, label: str, fold: str, n_folds: int, sizes: Mapping[str, int], alpha: float = 0.5
-) -> dict[int, list[TextModel]]:
-    """For every fold the models fitted on all other folds, from one scan of the texts.
+@dataclass
+class FoldCounts:
+    """Token counts of the rows outside each fold, enough for every smaller vocabulary too."""
+
+    columns: list
+    classes: list
+    n_folds: int
+    # (fold, class) -> rows in the fold
+    rows_in: dict
+    # (fold, column) -> rows of token counts, most frequent token first
+    ranked: dict
+
+    def models(self, sizes: Mapping[str, int], alpha: float = 0.5) -> dict[int, list[TextModel]]:
+        """For every fold the models fitted on all other folds."""
+        return {f: [self._model(f, col, k, alpha) for col, k in sizes.items()] for f in range(self.n_folds)}
+
+    def _model(self, f: int, col: str, k: int, alpha: float) -> TextModel:
+        n = [
+            float(sum(self.rows_in.get((g, c), 0) for g in range(self.n_folds) if g != f)) for c in self.classes
+        ]
+        present = [j for j, m in enumerate(n) if m > 0]
+        mine = self.ranked.get((f, self.columns.index(col)), [])[:k]
+        if not mine:
+            raise ValueError(f"no usable tokens in {col}")
+        return TextModel(
+            column=col,
+            prefix=default_prefix(col),
+            classes=[self.classes[j] for j in present],
+            class_count=[n[j] for j in present],
+            vocab=[r["token"] for r in mine],
+            prob=[
+                [min(max((r[f"n{j}"] + alpha) / (n[j] + 2 * alpha), CLIP), 1 - CLIP) for r in mine]
+                for j in present
+            ],
+            doc_freq=[r["df"] for r in mine],
+        )
 
-    Counts are additive: training counts of a fold are the totals minus its own.
+
+def count_by_fold(
+    df: DataFrame, label: str, fold: str, n_folds: int, sizes: Mapping[str, int]
+) -> FoldCounts:
+    """Counts for all folds from one scan of the texts, the ``sizes`` largest per fold and column.
+
+    Counts are additive: those outside a fold are the totals minus its own.
     """
+    if any(k <= 0 for k in sizes.values()):
+        raise ValueError("vocabulary size must be positive")
     columns = list(sizes)
     known = df.filter(F.col(label).isNotNull())
-    classes = list(class_counts(known, label))
-    per_fold = {
-        (r[fold], r[label]): r["n"] for r in known.groupBy(fold, label).agg(F.count("*").alias("n")).collect()
+    rows_in = {
+        (r[fold], r[label]): r["n"]
+        for r in known.groupBy(fold, label).agg(F.count("*").alias("n")).limit(MAX_CLASSES * n_folds + 1).collect()
     }
+    classes = sorted({c for _, c in rows_in})
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
     # (fold, class) as one small integer
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     cells = known.withColumn("_cell", (F.col(fold) * len(classes) + place).cast("int"))
@@ -348,8 +391,7 @@ def fit_text_models_by_fold(
     at = {key: F.col(f"n{i}") for i, key in enumerate(keys)}
 
     def outside(f: int, c) -> Column:
-        total = sum((at[(g, c)] for g in range(n_folds)), F.lit(0))
-        return total - at[(f, c)]
+        return sum((at[(g, c)] for g in range(n_folds) if g != f), F.lit(0))
 
     per_training = F.array(
         *[
@@ -370,28 +412,7 @@ def fit_text_models_by_fold(
         .filter(F.col("rank") <= limits)
         .collect()
     )
-    out: dict[int, list[TextModel]] = {}
-    for f in range(n_folds):
-        n = [float(sum(per_fold.get((g, c), 0) for g in range(n_folds) if g != f)) for c in classes]
-        present = [k for k, m in enumerate(n) if m > 0]
-        models = []
-        for i, col in enumerate(columns):
-            mine = sorted((r for r in best if r["f"] == f and r["c"] == i), key=lambda r: r["rank"])
-            if not mine:
-                raise ValueError(f"no usable tokens in {col}")
-            models.append(
-                TextModel(
-                    column=col,
-                    prefix=default_prefix(col),
-                    classes=[classes[k] for k in present],
-                    class_count=[n[k] for k in present],
-                    vocab=[r["token"] for r in mine],
-                    prob=[
-                        [min(max((r[f"n{k}"] + alpha) / (n[k] + 2 * alpha), CLIP), 1 - CLIP) for r in mine]
-                        for k in present
-                    ],
-                    doc_freq=[r["df"] for r in mine],
-                )
-            )
-        out[f] = models
-    return out
+    ranked: dict[tuple, list] = {}
+    for r in sorted(best, key=lambda r: r["rank"]):
+        ranked.setdefault((r["f"], r["c"]), []).append(r)
+    return FoldCounts(columns, classes, n_folds, rows_in, ranked)

@@ -150,6 +150,8 @@ def nearest(
     # of equal vectors only the k smallest ids can be among the nearest
     copies = Window.partitionBy("x").orderBy("tid")
     train = train.withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= k).drop("_c")
+    # both are read several times below
+    train, queries = materialise(train, "knn-train"), materialise(queries, "knn-queries")
     if pivots is None:
         pivots = min(MAX_PIVOTS, math.ceil(train.count() / block_rows))
     if pivots <= 1:

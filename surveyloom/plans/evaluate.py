@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators.multihot import categories_by_fold
-from surveyloom.operators.naive_bayes import fit_text_models_by_fold, score_text
+from surveyloom.operators.naive_bayes import count_by_fold, score_text
 from surveyloom.operators.splits import holdout, stratified_group_kfold, stratified_kfold
 from surveyloom.plans.train import (
     Layout,
@@ -70,6 +70,12 @@ def assign_folds(
     return stratified_kfold(df, layout.label, layout.row_id, n_splits, seed)
 
 
+def _at_once(df: DataFrame, work, tasks, parallelism: int) -> list:
+    """Submit independent Spark work from several driver threads."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), tasks, chunksize=1)
+
+
 def cross_validate(
     df: DataFrame,
     recipes: Sequence[Recipe],
@@ -77,41 +83,45 @@ def cross_validate(
     n_splits: int = 5,
     seed=42,
     group_col: str | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """One result row per recipe; everything fitted is fitted without the validation fold.
 
-    Texts are scanned once per vocabulary setting for the counts of all folds
-    and once per fold to score; recipes that differ only in the classifier
-    share the scored table. ``parallelism`` folds are submitted at a time.
+    Texts are scanned once for the counts of all folds and settings, and once
+    per fold and vocabulary setting to score; recipes that differ only in the
+    classifier share the scored table. ``parallelism`` fits are submitted at a time.
     """
     folded = materialise(assign_folds(df, layout, n_splits, seed, group_col), "folds")
     scores: dict[int, list[float]] = {i: [0.0] * n_splits for i in range(len(recipes))}
     shared: dict[tuple, list[int]] = {}
     for i, r in enumerate(recipes):
         shared.setdefault(r.scores_key, []).append(i)
+    widest: dict[str, int] = {}
+    for r in recipes:
+        for col, k in r.train.vocab_sizes.items():
+            widest[col] = max(k, widest.get(col, 0))
+    counts = count_by_fold(folded, layout.label, "fold", n_splits, widest)
+    options = {}
+    if layout.multi_selects and any(r.multihot for r in recipes):
+        options = categories_by_fold(folded, layout.multi_selects, "fold", n_splits, layout.sep)
     for members in shared.values():
         lead = recipes[members[0]]
-        models = fit_text_models_by_fold(
-            folded, layout.label, "fold", n_splits, lead.train.vocab_sizes, lead.train.nb_alpha
-        )
-        options = {}
-        if lead.multihot and layout.multi_selects:
-            options = categories_by_fold(folded, layout.multi_selects, "fold", n_splits, layout.sep)
-
-        def run(f: int) -> None:
+        models = counts.models(lead.train.vocab_sizes, lead.train.nb_alpha)
+
+        def score(f: int) -> DataFrame:
             stages = scores_from_parts(models[f], options.get(f), lead, layout)
-            scored = materialise(
-                stages.transform(folded).drop(*layout.texts, *layout.multi_selects), "scored"
-            )
-            inside, outside = scored.filter(F.col("fold") != f), scored.filter(F.col("fold") == f)
-            for i in members:
-                fitted = fit_classifier(inside, recipes[i], layout, exclude=["fold"], fold=f)
-                hits = fitted.transform(outside).agg(accuracy("prediction", layout.label).alias("a"))
-                scores[i][f] = hits.first()["a"]
-
-        with ThreadPool(parallelism) as pool:
-            pool.map(inheritable_thread_target(df.sparkSession)(run), range(n_splits))
+            wide = stages.transform(folded).drop(*layout.texts, *layout.multi_selects)
+            return materialise(wide, "scored")
+
+        def fit(task: tuple[int, int]) -> None:
+            f, i = task
+            inside, outside = scored[f].filter(F.col("fold") != f), scored[f].filter(F.col("fold") == f)
+            fitted = fit_classifier(inside, recipes[i], layout, exclude=["fold"], fold=f)
+            hits = fitted.transform(outside).agg(accuracy("prediction", layout.label).alias("a"))
+            scores[i][f] = hits.first()["a"]
+
+        scored = _at_once(df, score, range(n_splits), parallelism)
+        _at_once(df, fit, list(product(range(n_splits), members)), parallelism)
     rows = [
         (r.kind, describe(r), scores[i], statistics.fmean(scores[i]), statistics.pstdev(scores[i]))
         for i, r in enumerate(recipes)
@@ -191,7 +201,7 @@ def evaluate_holdout(
 
 def repeated_holdout(df: DataFrame, recipe: Recipe, seeds: Iterable, layout: Layout = Layout(), **kwargs) -> DataFrame:
     """One row per seed."""
-    rows = [evaluate_holdout(df, recipe, layout, seed=s, **kwargs) for s in seeds]
+    rows = _at_once(df, lambda s: evaluate_holdout(df, recipe, layout, seed=s, **kwargs), list(seeds), 8)
     cols = ["kind", "params", "seed", "train_rows", "val_rows", "train_acc", "val_acc"]
     return df.sparkSession.createDataFrame(
         [tuple(r[c] for c in cols) for r in rows],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -143,8 +144,22 @@ def classifier(recipe: Recipe, layout: Layout):
     raise ValueError(f"unknown classifier {recipe.kind}")
 
 
+# A task of an iterative fit should have at least about so many rows to work on.
+ROWS_PER_TASK = 20_000
+
+
+def packed(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Few partitions for few rows, so that iterations do not pay for idle tasks.
+
+    Merges neighbouring partitions without a shuffle and changes nothing once
+    there are enough rows for the partitions there are.
+    """
+    return df.coalesce(max(1, math.ceil(df.count() / rows_per_task)))
+
+
 def fit_classifier(scored: DataFrame, recipe: Recipe, layout: Layout, exclude: Sequence[str] = (), fold: int = 0):
     """Feature vector and classifier on a table that has its scores."""
+    scored = packed(scored)
     subset, seed = 0, 42
     if recipe.kind == "knn":
         subset = recipe.params.get("subset_size", KNN_PARAMS["subset_size"]) or 0
