@@ -94,10 +94,30 @@ def raw_words(c: Column) -> Column:
     return F.array_remove(F.split(s, "'*[^a-z']+'*"), "")
 
 
+def sql_strings(values: Iterable[str]) -> str:
+    """String literals for an expression text."""
+    quoted = [v.replace("\\", "\\\\").replace("'", "\\'") for v in values]
+    return ", ".join(f"'{v}'" for v in quoted)
+
+
+def keep_in(tokens: Column, words: Iterable[str], min_len: int = 0, inside: bool = True) -> Column:
+    """Tokens that are (or are not) in a word list.
+
+    The predicate is one expression text: a call per word would cost more than
+    planning the query.
+    """
+    words = list(words)
+    test = f"length(t) >= {min_len}"
+    if words:
+        test += f" AND t {'' if inside else 'NOT '}IN ({sql_strings(words)})"
+    elif inside:
+        test = "false"
+    return F.call_function("filter", tokens, F.expr(f"t -> {test}"))
+
+
 def _shape(words: Column, min_len: int, stops: Iterable[str] | None) -> Column:
-    stops = list(stop_words() if stops is None else stops)
     forms = F.transform(words, lambda t: singularize(t))
-    return F.filter(forms, lambda t: (F.length(t) >= min_len) & ~t.isin(stops))
+    return keep_in(forms, stop_words() if stops is None else stops, min_len, inside=False)
 
 
 def tokenize(c: Column, min_len: int = 2, stops: Iterable[str] | None = None) -> Column:
@@ -126,5 +146,4 @@ def split_multiselect(c: Column, sep: str = ",") -> Column:
 
 def hit_count(tokens: Column, vocab: Iterable[str]) -> Column:
     """Distinct tokens that are in ``vocab``."""
-    known = list(vocab)
-    return F.size(F.filter(F.array_distinct(tokens), lambda t: t.isin(known)))
+    return F.size(keep_in(F.array_distinct(tokens), vocab))

@@ -15,7 +15,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveyloom.functions.text import vocab_tokens
+from surveyloom.functions.text import keep_in, sql_strings, vocab_tokens
 
 # Fixed value: probabilities stay this far from 0 and 1.
 CLIP = 1e-12
@@ -160,8 +160,18 @@ def fit_text_models(
     return models
 
 
+def _numbers(values: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+
 def _array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    # one expression text instead of a call per number
+    return F.expr(_numbers(values))
+
+
+def _table(m: TextModel) -> Column:
+    """Literal map from a token to what it adds to each class."""
+    return F.expr(f"map_from_arrays(array({sql_strings(m.vocab)}), array({', '.join(_numbers(d) for d in m.deltas)}))")
 
 
 def _outputs(m: TextModel, score: str, hits: Column, include_pred: bool) -> list[Column]:
@@ -177,36 +187,56 @@ def _outputs(m: TextModel, score: str, hits: Column, include_pred: bool) -> list
     return [*out, hits.alias(f"{p}_hit_count"), (hits == 0).cast("int").alias(f"{p}_zero_hit")]
 
 
-def _softmax(df: DataFrame, score: str) -> DataFrame:
-    e = F.transform(score, lambda x: F.exp(x - F.array_max(score)))
-    df = df.withColumn(f"{score}_e", e)
-    return df.withColumn(f"{score}_z", F.aggregate(f"{score}_e", F.lit(0.0), lambda a, x: a + x))
-
-
-def score_text(df: DataFrame, m: TextModel, include_pred: bool = True, id_col: str | None = None) -> DataFrame:
-    """Add the score columns of one model.
+def score_texts(
+    df: DataFrame, models: Sequence[TextModel], include_pred: bool = True, id_col: str | None = None
+) -> DataFrame:
+    """Add the score columns of some models.
 
     Linear in the tokens of a text: every class starts from the score of an
     empty text and each vocabulary token adds its difference. Small
     vocabularies need no join; larger ones need a unique ``id_col``.
     """
-    hit, score = f"_{m.prefix}_hits", f"_{m.prefix}_score"
-    if len(m.vocab) <= LITERAL_VOCAB:
-        vocab = list(m.vocab)
-        scored = df.withColumn(hit, F.filter(vocab_tokens(F.col(m.column)), lambda t: t.isin(vocab)))
-        delta = F.map_from_arrays(F.array(*[F.lit(t) for t in vocab]), F.array(*[_array(d) for d in m.deltas]))
-        summed = F.aggregate(
-            hit, _array(m.base), lambda acc, t: F.zip_with(acc, F.try_element_at(delta, t), lambda a, d: a + d)
+    names = df.columns
+    hit = {m.prefix: f"_{m.prefix}_hits" for m in models}
+    score = {m.prefix: f"_{m.prefix}_score" for m in models}
+    small = [m for m in models if len(m.vocab) <= LITERAL_VOCAB]
+    for m in models:
+        if m not in small:
+            if id_col is None:
+                raise ValueError("a vocabulary of this size is joined: name a unique id column")
+            df = _score_joined(df, m, id_col, hit[m.prefix], score[m.prefix])
+
+    def known(m: TextModel) -> Column:
+        return keep_in(vocab_tokens(F.col(m.column)), m.vocab)
+
+    def summed(m: TextModel) -> Column:
+        h, delta = hit[m.prefix], _table(m)
+        total = F.aggregate(
+            h, _array(m.base), lambda acc, t: F.zip_with(acc, F.try_element_at(delta, t), lambda a, d: a + d)
         )
-        scored = scored.withColumn(score, F.when(F.size(hit) == 0, _array(m.log_prior)).otherwise(summed))
-        n = F.size(hit)
-    else:
-        if id_col is None:
-            raise ValueError("a vocabulary of this size is joined: name a unique id column")
-        scored = _score_joined(df, m, id_col, hit, score)
-        n = F.col(hit)
-    scored = _softmax(scored, score)
-    return scored.select(*[F.col(f"`{c}`") for c in df.columns], *_outputs(m, score, n, include_pred))
+        return F.when(F.size(h) == 0, _array(m.log_prior)).otherwise(total)
+
+    if small:
+        # columns of their own: what is used twice below is computed once
+        df = df.withColumns({hit[m.prefix]: known(m) for m in small})
+        df = df.withColumns({score[m.prefix]: summed(m) for m in small})
+
+    def powers(s: str) -> Column:
+        return F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+
+    df = df.withColumns({f"{s}_e": powers(s) for s in score.values()})
+    df = df.withColumns(
+        {f"{s}_z": F.aggregate(f"{s}_e", F.lit(0.0), lambda a, x: a + x) for s in score.values()}
+    )
+    out = []
+    for m in models:
+        h = hit[m.prefix]
+        out += _outputs(m, score[m.prefix], F.size(h) if m in small else F.col(h), include_pred)
+    return df.select(*[F.col(f"`{c}`") for c in names], *out)
+
+
+def score_text(df: DataFrame, m: TextModel, include_pred: bool = True, id_col: str | None = None) -> DataFrame:
+    return score_texts(df, [m], include_pred, id_col)
 
 
 def _score_joined(df: DataFrame, m: TextModel, id_col: str, hit: str, score: str) -> DataFrame:
@@ -245,9 +275,7 @@ class TextScoresModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         id_col = self.getOrDefault(self.idCol) if self.isSet(self.idCol) else None
-        for m in self.models:
-            df = score_text(df, m, self.getOrDefault(self.includePred), id_col)
-        return df
+        return score_texts(df, self.models, self.getOrDefault(self.includePred), id_col)
 
 
 class TextScores(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
