@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import keep_in, sql_strings, vocab_tokens
+from surveyloom.session import materialise
 
 # Fixed value: probabilities stay this far from 0 and 1.
 CLIP = 1e-12
@@ -24,6 +26,11 @@ MAX_CLASSES = 1_000
 # Up to so many tokens the parameters are literals of the scoring expression; larger
 # vocabularies are joined.
 LITERAL_VOCAB = 2_000
+# Ranks up to which Spark itself prunes window groups before the shuffle.
+GROUP_LIMIT = 1_000
+# Joined parameters up to this size are broadcast; larger ones meet salted tokens.
+BROADCAST_BYTES = 128 * 1024 * 1024
+_SALTS = 16
 
 
 @dataclass
@@ -78,24 +85,47 @@ def token_counts(df: DataFrame, columns: Sequence[str], label: str | None = None
             vocab_tokens(F.col(col)), lambda t: F.struct(F.lit(i).alias("c"), t.alias("token"))
         )
 
-    tagged = F.concat(*[tag(i, col) for i, col in enumerate(columns)])
     keep = [F.col(label).alias("_y")] if label else []
-    hits = df.select(F.explode(tagged).alias("_t"), *keep).select("_t.c", "_t.token", *(["_y"] if label else []))
+    if len(columns) == 1:
+        hits = df.select(F.lit(0).alias("c"), F.explode(vocab_tokens(F.col(columns[0]))).alias("token"), *keep)
+    else:
+        tagged = F.concat(*[tag(i, col) for i, col in enumerate(columns)])
+        hits = df.select(F.inline(tagged), *keep)
     per_class = [F.count_if(F.col("_y") == F.lit(k)).alias(f"n{i}") for i, k in enumerate(classes)]
     return hits.groupBy("c", "token").agg(F.count("*").alias("df"), *per_class)
 
 
-def top_k(counts: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """The ``sizes[c]`` most frequent tokens of each column; ties go to the smaller token."""
-    if any(k <= 0 for k in sizes):
+def _top_per_group(counts: DataFrame, limits: Mapping[tuple, int], keys: Sequence[str]) -> DataFrame:
+    """The most frequent tokens of each group, ``limits`` of them; ties go to the smaller token.
+
+    No task ever sorts a whole group: each keeps its own first rows before the
+    shuffle. Spark does that for ranks up to GROUP_LIMIT; for larger ones every
+    group is a top-k of its own over the counts, which are written once.
+    """
+    if any(k <= 0 for k in limits.values()):
         raise ValueError("vocabulary size must be positive")
-    if len(sizes) == 1:
-        return counts.orderBy(F.desc("df"), "token").limit(sizes[0])
-    order = Window.partitionBy("c").orderBy(F.desc("df"), "token")
-    # the constant bound lets every task drop all but its own first rows before the shuffle
-    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(sizes))
-    limits = F.element_at(F.array(*[F.lit(k) for k in sizes]), F.col("c") + 1)
-    return ranked.filter(F.col("rank") <= limits).drop("rank")
+    order = [F.desc("df"), F.asc("token")]
+    if len(limits) == 1:
+        return counts.orderBy(*order).limit(next(iter(limits.values())))
+    bound = max(limits.values())
+    if bound > GROUP_LIMIT:
+        stored = materialise(counts, "token-counts")
+        parts = []
+        for group, k in limits.items():
+            mine = stored
+            for name, value in zip(keys, group):
+                mine = mine.filter(F.col(name) == value)
+            parts.append(mine.orderBy(*order).limit(k))
+        return reduce(DataFrame.unionByName, parts)
+    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    sizes = F.create_map(*[F.lit(x) for g, k in limits.items() for x in ("/".join(map(str, g)), k)])
+    own = F.try_element_at(sizes, F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    return ranked.filter(F.col("_r") <= bound).filter(F.col("_r") <= own).drop("_r")
+
+
+def top_k(counts: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """The ``sizes[c]`` most frequent tokens of each column."""
+    return _top_per_group(counts, {(c,): k for c, k in enumerate(sizes)}, ["c"])
 
 
 def vocabulary(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -245,8 +275,16 @@ def _score_joined(df: DataFrame, m: TextModel, id_col: str, hit: str, score: str
         [(t, d) for t, d in zip(m.vocab, m.deltas)], "_token string, _delta array<double>"
     )
     tokens = df.select(F.col(id_col).alias("_id"), F.explode(vocab_tokens(F.col(m.column))).alias("_token"))
+    size = sum(len(t) + 32 + 8 * len(m.classes) for t in m.vocab)
+    if size <= BROADCAST_BYTES:
+        met = tokens.join(F.broadcast(params), "_token")
+    else:
+        # a frequent token would fill one task: its rows are spread over salts
+        salted = params.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salt = F.pmod(F.xxhash64("_id"), F.lit(_SALTS)).cast("int")
+        met = tokens.withColumn("_s", salt).join(salted, ["_token", "_s"])
     sums = [F.sum(F.col("_delta")[i]) for i in range(len(m.classes))]
-    hits = tokens.join(params, "_token").groupBy("_id").agg(F.count("*").cast("int").alias(hit), F.array(*sums).alias("_sum"))
+    hits = met.groupBy("_id").agg(F.count("*").cast("int").alias(hit), F.array(*sums).alias("_sum"))
     out = df.join(hits, F.col(id_col) == F.col("_id"), "left")
     total = F.zip_with(_array(m.base), "_sum", lambda a, d: a + d)
     return out.withColumn(score, F.when(F.col(hit).isNull(), _array(m.log_prior)).otherwise(total)).withColumn(
@@ -400,8 +438,6 @@ def count_by_fold(
 
     Counts are additive: those outside a fold are the totals minus its own.
     """
-    if any(k <= 0 for k in sizes.values()):
-        raise ValueError("vocabulary size must be positive")
     columns = list(sizes)
     known = df.filter(F.col(label).isNotNull())
     rows_in = {
@@ -432,15 +468,9 @@ def count_by_fold(
         ]
     )
     long = counts.select("c", "token", F.inline(per_training)).filter(F.col("df") > 0)
-    limits = F.element_at(F.array(*[F.lit(k) for k in sizes.values()]), F.col("c") + 1)
-    order = Window.partitionBy("f", "c").orderBy(F.desc("df"), "token")
-    best = (
-        long.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= max(sizes.values()))
-        .filter(F.col("rank") <= limits)
-        .collect()
-    )
+    limits = {(f, c): k for f in range(n_folds) for c, k in enumerate(sizes.values())}
+    best = _top_per_group(long, limits, ["f", "c"]).collect()
     ranked: dict[tuple, list] = {}
-    for r in sorted(best, key=lambda r: r["rank"]):
+    for r in sorted(best, key=lambda r: (-r["df"], r["token"])):
         ranked.setdefault((r["f"], r["c"]), []).append(r)
     return FoldCounts(columns, classes, n_folds, rows_in, ranked)

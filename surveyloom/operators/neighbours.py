@@ -10,11 +10,12 @@ never holds more than one block and one chunk, and it returns k rows per query.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from surveyloom.operators.splits import hash_order
 from surveyloom.session import fresh_path, materialise
 
+# the functions below travel to the executors by value, which need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 20_000
 CHUNK_ROWS = 20_000
 MAX_PIVOTS = 256
@@ -241,7 +245,11 @@ class _NeighbourParams(Params):
 
 
 class NeighboursModel(Model, _NeighbourParams, DefaultParamsReadable, DefaultParamsWritable):
-    """The training vectors stay a table in the shared folder; only its path is in the model."""
+    """The training vectors stay a table in the shared folder; only its path is in the model.
+
+    Unlike other models it runs jobs when it transforms: the reach of every
+    query is known only after it met its own cell.
+    """
 
     table = Param(Params._dummy(), "table", "path of the training vectors", TypeConverters.toString)
 

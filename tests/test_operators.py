@@ -120,6 +120,8 @@ def test_naive_bayes_against_brute_force(spark, k, alpha, monkeypatch):
     check(N.score_text(df, back))
     monkeypatch.setattr(N, "LITERAL_VOCAB", 0)
     check(N.score_text(df, m, id_col="id"))
+    monkeypatch.setattr(N, "BROADCAST_BYTES", 0)
+    check(N.score_text(df, m, id_col="id"))
     with pytest.raises(ValueError):
         N.score_text(df, m)
 
@@ -139,7 +141,9 @@ def test_naive_bayes_errors_and_fixed_vocabulary(spark):
     assert abs(sum(one[f"food_nb_p{i}"] for i in range(3)) - 1) < 1e-12
 
 
-def test_models_by_fold_equal_direct_fits(spark):
+@pytest.mark.parametrize("group_limit", [1000, 1])
+def test_models_by_fold_equal_direct_fits(spark, monkeypatch, group_limit):
+    monkeypatch.setattr(N, "GROUP_LIMIT", group_limit)
     df = text_frame(spark).withColumn("fold", (F.col("id") % 2).cast("int")).withColumn("b_text", F.lit("sky time x"))
     sizes = {"food_text": 4, "b_text": 2}
     # counted for larger vocabularies than asked for
