@@ -15,9 +15,10 @@ from pyspark.ml.param.shared import HasLabelCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyloom.functions.text import keep_in, sql_strings, vocab_tokens
-from surveyloom.session import materialise
+from surveyloom.session import materialise, spread
 
 # Fixed value: probabilities stay this far from 0 and 1.
 CLIP = 1e-12
@@ -73,6 +74,22 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: r["n"] for r in sorted(rows, key=lambda r: r[label])}
 
 
+def tokenized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace texts by their vocabulary tokens and write the table once.
+
+    Tokenizing costs far more than reading the tokens back, so whoever counts
+    and scores the same rows does it first. Counting and scoring take a text
+    column in either form.
+    """
+    return materialise(spread(df).withColumns({c: vocab_tokens(F.col(c)) for c in columns}), "tokens")
+
+
+def tokens_of(df: DataFrame, column: str) -> Column:
+    if isinstance(df.schema[column].dataType, T.ArrayType):
+        return F.col(column)
+    return vocab_tokens(F.col(column))
+
+
 def token_counts(df: DataFrame, columns: Sequence[str], label: str | None = None, classes: Sequence = ()) -> DataFrame:
     """Documents per (column, token), in total and per class, from one scan of all texts.
 
@@ -82,12 +99,14 @@ def token_counts(df: DataFrame, columns: Sequence[str], label: str | None = None
 
     def tag(i: int, col: str) -> Column:
         return F.transform(
-            vocab_tokens(F.col(col)), lambda t: F.struct(F.lit(i).alias("c"), t.alias("token"))
+            tokens_of(df, col), lambda t: F.struct(F.lit(i).alias("c"), t.alias("token"))
         )
 
+    if not all(isinstance(df.schema[c].dataType, T.ArrayType) for c in columns):
+        df = spread(df.select(*columns, *([label] if label else [])))
     keep = [F.col(label).alias("_y")] if label else []
     if len(columns) == 1:
-        hits = df.select(F.lit(0).alias("c"), F.explode(vocab_tokens(F.col(columns[0]))).alias("token"), *keep)
+        hits = df.select(F.lit(0).alias("c"), F.explode(tokens_of(df, columns[0])).alias("token"), *keep)
     else:
         tagged = F.concat(*[tag(i, col) for i, col in enumerate(columns)])
         hits = df.select(F.inline(tagged), *keep)
@@ -237,7 +256,7 @@ def score_texts(
             df = _score_joined(df, m, id_col, hit[m.prefix], score[m.prefix])
 
     def known(m: TextModel) -> Column:
-        return keep_in(vocab_tokens(F.col(m.column)), m.vocab)
+        return keep_in(tokens_of(df, m.column), m.vocab)
 
     def summed(m: TextModel) -> Column:
         h, delta = hit[m.prefix], _table(m)
@@ -274,7 +293,7 @@ def _score_joined(df: DataFrame, m: TextModel, id_col: str, hit: str, score: str
     params = spark.createDataFrame(
         [(t, d) for t, d in zip(m.vocab, m.deltas)], "_token string, _delta array<double>"
     )
-    tokens = df.select(F.col(id_col).alias("_id"), F.explode(vocab_tokens(F.col(m.column))).alias("_token"))
+    tokens = df.select(F.col(id_col).alias("_id"), F.explode(tokens_of(df, m.column)).alias("_token"))
     size = sum(len(t) + 32 + 8 * len(m.classes) for t in m.vocab)
     if size <= BROADCAST_BYTES:
         met = tokens.join(F.broadcast(params), "_token")

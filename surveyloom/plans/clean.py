@@ -19,7 +19,7 @@ from surveyloom.operators.cleaning import (
 )
 from surveyloom.operators.quantiles import medians, upper_caps
 from surveyloom.schema import MISSING, SURVEY, SURVEY_ALTERNATIVE, SURVEY_SCRIPT, CleanSpec
-from surveyloom.session import materialise
+from surveyloom.session import materialise, spread
 from surveyloom.sources.tables import ensure_survey_schema, is_cleaned, read_csv, write_csv
 
 
@@ -121,10 +121,11 @@ def clean(
         as_numbers = numeric_columns(df, [*spec.ordinals, spec.money, spec.id_col])
     if spec.id_col in as_numbers:
         df = df.withColumn(spec.id_col, S.to_number(F.col(spec.id_col)))
-    typed = _typed(df, spec, as_numbers)
     looks_back = fill.startswith("batch") or None in spec.counts.values()
     if staged and looks_back:
-        typed = materialise(typed, "typed")
+        typed = materialise(_typed(spread(df), spec, as_numbers), "typed")
+    else:
+        typed = _typed(df, spec, as_numbers)
 
     open_counts = [c for c, u in spec.counts.items() if u is None and c in typed.columns]
     caps = {c: u for c, u in spec.counts.items() if u is not None}

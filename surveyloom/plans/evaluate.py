@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators.multihot import categories_by_fold
-from surveyloom.operators.naive_bayes import count_by_fold, score_text
+from surveyloom.operators.naive_bayes import count_by_fold, score_texts, tokenized
 from surveyloom.operators.splits import holdout, stratified_group_kfold, stratified_kfold
 from surveyloom.plans.train import (
     Layout,
@@ -87,11 +87,11 @@ def cross_validate(
 ) -> DataFrame:
     """One result row per recipe; everything fitted is fitted without the validation fold.
 
-    Texts are scanned once for the counts of all folds and settings, and once
-    per fold and vocabulary setting to score; recipes that differ only in the
-    classifier share the scored table. ``parallelism`` fits are submitted at a time.
+    Texts are tokenized once. One scan of the tokens gives the counts of all
+    folds and settings, and one per fold and vocabulary setting the scores;
+    recipes that differ only in the classifier share the scored table. ``parallelism`` fits are submitted at a time.
     """
-    folded = materialise(assign_folds(df, layout, n_splits, seed, group_col), "folds")
+    folded = tokenized(assign_folds(df, layout, n_splits, seed, group_col), layout.plain_texts)
     scores: dict[int, list[float]] = {i: [0.0] * n_splits for i in range(len(recipes))}
     shared: dict[tuple, list[int]] = {}
     for i, r in enumerate(recipes):
@@ -173,8 +173,8 @@ def evaluate_holdout(
 ) -> dict:
     """Training and validation accuracy of one split."""
     df = identified(df, layout)
-    split = materialise(
-        holdout(df, layout.label, layout.row_id, train_size, seed, stratify), "holdout"
+    split = tokenized(
+        holdout(df, layout.label, layout.row_id, train_size, seed, stratify), layout.plain_texts
     )
     scores = fit_scores(split.filter("is_train"), recipe, layout)
     scored = materialise(scores.transform(split).drop(*layout.texts, *layout.multi_selects), "scored")
@@ -212,9 +212,7 @@ def repeated_holdout(df: DataFrame, recipe: Recipe, seeds: Iterable, layout: Lay
 def text_model_accuracy(df: DataFrame, scores: PipelineModel, label: str = "label") -> DataFrame:
     """Accuracy of each text model alone: (column, accuracy)."""
     models = scores.stages[-1].models
-    for m in models:
-        df = score_text(df, m)
-    one = df.agg(*[accuracy(f"{m.prefix}_pred", label).alias(f"a{i}") for i, m in enumerate(models)])
+    one = score_texts(df, models).agg(*[accuracy(f"{m.prefix}_pred", label).alias(f"a{i}") for i, m in enumerate(models)])
     pairs = F.array(
         *[F.struct(F.lit(m.column).alias("column"), F.col(f"a{i}").alias("accuracy")) for i, m in enumerate(models)]
     )

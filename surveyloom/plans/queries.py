@@ -23,7 +23,7 @@ from surveyloom.plans import evaluate as E
 from surveyloom.plans import train as T
 from surveyloom.plans.clean import Cleaned, clean
 from surveyloom.schema import CleanSpec, TrainSpec
-from surveyloom.session import fresh_path
+from surveyloom.session import fresh_path, spread
 from surveyloom.sources.tables import complete_schema
 from surveyloom.streaming.score import run_available
 
@@ -51,7 +51,8 @@ def schema_complete(spark, sf):
 
 
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"))
+    df = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return df.select("doc_id", X.normalize_text(F.col("text")).alias("text"))
 
 
 def collapse_thousands(spark, sf):
@@ -66,7 +67,7 @@ def collapse_thousands(spark, sf):
 def text_flags(spark, sf):
     t = F.col("t")
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents").select("doc_id", "text"))
         .select("doc_id", X.normalize_text(F.col("text")).alias("t"))
         .select(
             "doc_id",
@@ -99,7 +100,8 @@ def offer_text(key: Column) -> Column:
 
 def money(spark, sf):
     text = offer_text(F.col("o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey", bound_money(parse_money(text)).alias("amount"))
+    df = spread(table(spark, sf, "orders").select("o_orderkey"))
+    return df.select("o_orderkey", bound_money(parse_money(text)).alias("amount"))
 
 
 def ordinal_map(spark, sf):
@@ -238,7 +240,7 @@ def clean_audit(spark, sf):
 
 def tokenize(spark, sf):
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents").select("doc_id", "text"))
         .select("doc_id", X.tokenize(F.col("text")).alias("tokens"))
         .select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
     )
@@ -263,9 +265,9 @@ def multi_hot_roles(spark, sf):
 
 
 def hit_count(spark, sf):
-    df = table(spark, sf, "documents")
+    df = N.tokenized(table(spark, sf, "documents").select("doc_id", "text"), ["text"])
     vocab = [r["token"] for r in N.vocabulary(df, "text", 20).collect()]
-    hits = X.hit_count(X.distinct_tokens(F.col("text")), vocab)
+    hits = X.hit_count(F.col("text"), vocab)
     return df.select("doc_id", hits.alias("hits")).withColumn("zero_hit", (F.col("hits") == 0).cast("int"))
 
 
@@ -308,12 +310,12 @@ def _score_table(df: DataFrame, model: N.TextModel, keys: list[str]) -> DataFram
 
 
 def nb_predict(spark, sf):
-    df = _roles(spark, sf)
+    df = N.tokenized(_roles(spark, sf), ["text"])
     return _score_table(df, N.fit_text_models(df, "role", {"text": VOCAB}, ALPHA)[0], ["conv_id", "turn"])
 
 
 def nb_predict_documents(spark, sf):
-    df = table(spark, sf, "documents")
+    df = N.tokenized(table(spark, sf, "documents").select("doc_id", "lang", "text"), ["text"])
     return _score_table(df, N.fit_text_models(df, "lang", {"text": VOCAB}, ALPHA)[0], ["doc_id"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.operators import classifiers as K
 from surveyloom.operators.multihot import MultiHot, MultiHotModel
-from surveyloom.operators.naive_bayes import TextScores, TextScoresModel
+from surveyloom.operators.naive_bayes import TextScores, TextScoresModel, tokenized
 from surveyloom.operators.standardize import ScaledFeatures
 from surveyloom.plans.clean import clean, clean_alternative
 from surveyloom.schema import (
@@ -41,6 +41,11 @@ class Layout:
     exclude: tuple = (SURVEY.id_col, SURVEY.class_col)
     sep: str = ","
 
+    @property
+    def plain_texts(self) -> list[str]:
+        """Texts that are not read as options too."""
+        return [c for c in self.texts if c not in self.multi_selects]
+
     @property
     def not_features(self) -> list[str]:
         return [self.label, self.row_id, *self.exclude, *self.texts, *self.multi_selects]
@@ -174,10 +179,11 @@ def fit_classifier(scored: DataFrame, recipe: Recipe, layout: Layout, exclude: S
 def train(df: DataFrame, recipe: Recipe = PRESETS["logistic"], layout: Layout = Layout()) -> PipelineModel:
     """Fit everything on a cleaned table.
 
-    The scored rows are written once; scaling and the classifier's iterations
-    read numbers and never tokenize again.
+    Texts are tokenized once, for counting and for scoring. The scored rows
+    are written too, so scaling and the classifier's iterations read numbers.
     """
     df = with_row_id(df, layout.row_id).filter(F.col(layout.label).isNotNull())
+    df = tokenized(df, layout.plain_texts)
     scores = fit_scores(df, recipe, layout)
     scored = materialise(scores.transform(df).drop(*layout.texts, *layout.multi_selects), "scored")
     fitted = fit_classifier(scored, recipe, layout)
