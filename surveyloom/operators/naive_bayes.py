@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -152,6 +153,12 @@ def vocabulary(df: DataFrame, column: str, k: int) -> DataFrame:
     return top_k(token_counts(df, [column]), [k]).select("token", "df")
 
 
+def presence_vector(df: DataFrame, column: str, vocab: Sequence[str], out: str = "presence") -> DataFrame:
+    """Sparse 0/1 vector over a vocabulary, in its order."""
+    model = CountVectorizerModel.from_vocabulary(list(vocab), inputCol="_tokens", outputCol=out, binary=True)
+    return model.transform(df.withColumn("_tokens", tokens_of(df, column))).drop("_tokens")
+
+
 def default_prefix(column: str) -> str:
     return column.removesuffix("_text") + "_nb"
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.session import materialise
+
 # 16^3 buckets per class; ids are expected to be unique, so buckets are even.
 HASH_DIGITS = 3
 # A key with more than this share of the rows is handled apart in group splits.
@@ -126,8 +128,10 @@ def stratified_group_kfold(
             F.sum("_n").alias("_rows"),
         )
     )
+    # one row per group, read several times: written, so that the rows are aggregated once
+    groups = materialise(groups, "groups")
     folds = stratified_kfold(groups, "_major", group_col, n_splits, seed, out, False, digits)
-    return attach_by_key(df, folds, group_col, out, "_rows")
+    return attach_by_key(df, materialise(folds, "group-folds"), group_col, out, "_rows")
 
 
 def attach_by_key(df: DataFrame, table: DataFrame, key: str, value: str, rows: str) -> DataFrame:
@@ -137,7 +141,7 @@ def attach_by_key(df: DataFrame, table: DataFrame, key: str, value: str, rows: s
     above the hot share are fewer than 1/HOT_SHARE by that definition and
     travel as a broadcast; their rows get a salt instead of meeting in one task.
     """
-    limit = max(1.0, df.count() * HOT_SHARE)
+    limit = max(1.0, (table.agg(F.sum(rows)).first()[0] or 0) * HOT_SHARE)
     hot = table.filter(F.col(rows) > limit).select(
         F.col(key).alias("_hk"), F.col(value).alias("_hv")
     )

@@ -250,6 +250,11 @@ def sql() -> dict[str, str]:
                 GROUP BY t ORDER BY df DESC, t LIMIT 20)
             SELECT doc_id, len(list_intersect(ts, v))::INTEGER AS hits, (len(list_intersect(ts, v)) = 0)::INTEGER AS zero_hit
             FROM tok CROSS JOIN (SELECT list(t) AS v FROM vocab)""",
+        "token_presence": f"""WITH tok AS (SELECT doc_id, list_distinct({tokens('text')}) AS ts FROM documents),
+            vocab AS (SELECT t, count(*) AS df FROM (SELECT unnest(ts) AS t FROM tok) WHERE t <> 'missing'
+                GROUP BY t ORDER BY df DESC, t LIMIT 20)
+            SELECT doc_id, array_to_string(list_transform(v, lambda t: list_contains(ts, t)::INTEGER::VARCHAR), '') AS presence
+            FROM tok CROSS JOIN (SELECT list(t ORDER BY df DESC, t) AS v FROM vocab)""",
         "nb_fit": nb_parameters(conv, ["conv_id", "turn"], "text", "role", 40),
         "nb_fit_documents": nb_parameters(docs, ["doc_id"], "text", "lang", 40),
         "nb_predict": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),

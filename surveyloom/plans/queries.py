@@ -6,6 +6,7 @@ Every query takes (spark, sf_dir) and reads its whole tables.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,6 +272,13 @@ def hit_count(spark, sf):
     return df.select("doc_id", hits.alias("hits")).withColumn("zero_hit", (F.col("hits") == 0).cast("int"))
 
 
+def token_presence(spark, sf):
+    df = N.tokenized(table(spark, sf, "documents").select("doc_id", "text"), ["text"])
+    vocab = [r["token"] for r in N.vocabulary(df, "text", 20).collect()]
+    flags = vector_to_array("presence").cast("array<int>").cast("array<string>")
+    return N.presence_vector(df, "text", vocab).select("doc_id", F.array_join(flags, "").alias("presence"))
+
+
 def _roles(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations")
 
@@ -420,8 +428,6 @@ def _classified(spark, sf, kind: str, **params) -> DataFrame:
 def logistic(spark, sf):
     df, layout = _role_table(spark, sf)
     scored = T.train(df, T.Recipe("logistic", ROLE_TRAIN), layout).transform(df)
-    from pyspark.ml.functions import vector_to_array
-
     p = vector_to_array("probability")
     return scored.select(
         "row_id", "label", F.col("prediction").cast("int").alias("pred"),
@@ -516,6 +522,7 @@ ALL = {
     "multi_hot": multi_hot,
     "multi_hot_roles": multi_hot_roles,
     "hit_count": hit_count,
+    "token_presence": token_presence,
     "nb_fit": nb_fit,
     "nb_fit_documents": nb_fit_documents,
     "nb_predict": nb_predict,
