@@ -154,9 +154,11 @@ def medians(df: DataFrame, cols: Sequence[str], **kwargs) -> dict[str, float | N
 
 
 def upper_caps(df: DataFrame, cols: Sequence[str], q: float = 0.99, **kwargs) -> dict[str, int | None]:
-    """Ceiling of a high quantile after negatives count as zero; None for an empty column."""
+    """Ceiling of a high quantile after negatives count as zero; None where there is no finite one."""
     # greatest() skips NULLs, so the NULL test comes first
     x = {c: F.col(c).cast("double") for c in cols}
     floor = df.select(*[F.when(v.isNotNull(), F.greatest(v, F.lit(0.0))).alias(c) for c, v in x.items()])
     found = quantiles(floor, {c: [q] for c in cols}, **kwargs)
-    return {c: None if v[0] is None else math.ceil(v[0]) for c, v in found.items()}
+    return {
+        c: None if v[0] is None or not math.isfinite(v[0]) else math.ceil(v[0]) for c, v in found.items()
+    }

@@ -12,8 +12,8 @@ from surveyloom.functions.scales import label_title
 from surveyloom.plans.clean import clean_final
 from surveyloom.plans.evaluate import accuracy
 from surveyloom.plans.train import with_row_id
-from surveyloom.schema import LABEL_TITLES
-from surveyloom.sources.tables import read_csv
+from surveyloom.schema import LABEL_TITLES, RAW_TO_CANONICAL
+from surveyloom.sources.tables import null_tokens_to_null, read_csv
 
 
 def score_cleaned(df: DataFrame, model: PipelineModel, titles: Mapping = LABEL_TITLES) -> DataFrame:
@@ -37,7 +37,6 @@ def predict_file(spark: SparkSession, path: str, model: PipelineModel, titles: M
 
 def predict_records(spark: SparkSession, records, model: PipelineModel, titles: Mapping = LABEL_TITLES) -> DataFrame:
     """Titles for single raw records, each filled by the defaults as if it came alone."""
-    from surveyloom.schema import RAW_TO_CANONICAL
 
     def text(v):
         return None if v is None else str(v)
@@ -46,8 +45,6 @@ def predict_records(spark: SparkSession, records, model: PipelineModel, titles:
         (i, *[text(r.get(raw)) for raw in RAW_TO_CANONICAL]) for i, r in enumerate(records)
     ]
     schema = "row_id long, " + ", ".join(f"{c} string" for c in RAW_TO_CANONICAL.values())
-    from surveyloom.sources.tables import null_tokens_to_null
-
     raw = null_tokens_to_null(spark.createDataFrame(rows, schema))
     return score_raw(raw, model, titles, fill="default").select("row_id", "pred", "pred_name")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from surveyloom.operators import classifiers as K
 from surveyloom.operators.multihot import MultiHot, MultiHotModel
 from surveyloom.operators.naive_bayes import TextScores, TextScoresModel, tokenized
-from surveyloom.operators.standardize import ScaledFeatures
+from surveyloom.operators.standardize import ScaledFeatures, numeric_feature_columns
 from surveyloom.plans.clean import clean, clean_alternative
 from surveyloom.schema import (
     ALTERNATIVE,
@@ -192,8 +192,6 @@ def train(df: DataFrame, recipe: Recipe = PRESETS["logistic"], layout: Layout =
 
 def feature_table(df: DataFrame, scores: PipelineModel, layout: Layout) -> DataFrame:
     """Base numbers, indicators and text scores side by side: one projection, no join."""
-    from surveyloom.operators.standardize import numeric_feature_columns
-
     wide = scores.transform(df)
     keep = [c for c in (layout.row_id, layout.label) if c in wide.columns]
     return wide.select(*keep, *[F.col(f"`{c}`") for c in numeric_feature_columns(wide, layout.not_features)])

@@ -137,6 +137,8 @@ def test_caps_and_empty_columns(spark):
     df = spark.createDataFrame([(-5.0, None), (3.0, None), (10.0, None), (None, None)], "a double, b double")
     assert upper_caps(df, ["a", "b"]) == {"a": math.ceil(np.quantile([0, 3, 10], 0.99)), "b": None}
     assert medians(df, ["a", "b"]) == {"a": 3.0, "b": None}
+    inf = spark.createDataFrame([(1.0,), (float("inf"),)], "a double")
+    assert upper_caps(inf, ["a"]) == {"a": None}
 
 
 def test_result_does_not_depend_on_partitions(raw_survey):

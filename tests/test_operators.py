@@ -1,6 +1,5 @@
 """Splits, naive Bayes, indicators, scaling and neighbours against brute force."""
 
-import math
 import random
 from collections import Counter
 
