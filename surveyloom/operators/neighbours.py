@@ -30,9 +30,12 @@ from surveyloom.session import fresh_path, materialise
 # the functions below travel to the executors by value, which need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 20_000
-CHUNK_ROWS = 20_000
+BLOCK_ROWS = 10_000
+CHUNK_ROWS = 10_000
 MAX_PIVOTS = 256
+# Below the first a single cell is faster; above it a pivot for so many rows each.
+ONE_CELL_ROWS = 20_000
+ROWS_PER_PIVOT = 4_000
 # Distances computed at once in a task: 64 MB of doubles.
 _CELLS_AT_ONCE = 8_000_000
 
@@ -157,7 +160,8 @@ def nearest(
     # both are read several times below
     train, queries = materialise(train, "knn-train"), materialise(queries, "knn-queries")
     if pivots is None:
-        pivots = min(MAX_PIVOTS, math.ceil(train.count() / block_rows))
+        n = train.count()
+        pivots = 1 if n <= ONE_CELL_ROWS else min(MAX_PIVOTS, math.ceil(n / ROWS_PER_PIVOT))
     if pivots <= 1:
         train, queries = train.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
         cells = {0: {"n": train.count()}}
