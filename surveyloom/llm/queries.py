@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from surveyloom.llm import line_dedup, sentence_spans
+from surveyloom.llm import line_dedup, mixing, sentence_spans, url_filters
 from surveyloom.llm.common import table
 
 
+def op1_url_filters(spark, sf):
+    return url_filters.judge(table(spark, sf, "pages").select("page_id", "url")).drop("url")
+
+
 def op4_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -16,5 +20,9 @@ def op6_substring_dedup(spark, sf):
     return sentence_spans.dedup_spans(docs)
 
 
-ALL = {f.__name__: f for f in (op4_line_dedup, op6_substring_dedup)}
-SQL = {"op4_line_dedup": line_dedup.SQL}
+def op9_source_mixing(spark, sf):
+    return mixing.mix(table(spark, sf, "documents")).drop("source")
+
+
+ALL = {f.__name__: f for f in (op1_url_filters, op4_line_dedup, op6_substring_dedup, op9_source_mixing)}
+SQL = {"op1_url_filters": url_filters.SQL, "op4_line_dedup": line_dedup.SQL, "op9_source_mixing": mixing.SQL}
