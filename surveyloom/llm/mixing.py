@@ -66,7 +66,7 @@ def schedule(targets: DataFrame, slots: int = 1 << 20) -> tuple[DataFrame, int]:
     """
     spark = targets.sparkSession
     total, parts, n_src = targets.agg(F.sum("target"), F.sum("hi") - F.sum("lo"), F.count(F.lit(1))).first()
-    total = round(total or 0.0)
+    total = math.floor((total or 0.0) + 0.01)  # the sum of doubles may miss a whole number by a little
     block = max(1, math.ceil(total / slots))
     n = math.ceil(total / block)
     point = F.floor(F.pmod(F.col("id") * GOLDEN, F.lit(1 << 32)) * F.lit(parts or 0) / F.lit(float(1 << 32)))
@@ -157,7 +157,7 @@ t AS (SELECT w.*, CASE WHEN (SELECT count(*) FROM lam) = 0 THEN cap ELSE least(c
       FROM w),
 p AS (SELECT t.*, floor(target / total * 2147483648)::BIGINT AS part FROM t, a),
 q AS (SELECT *, sum(part) OVER (ORDER BY no)::BIGINT AS hi, sum(part) OVER ()::BIGINT AS parts FROM p),
-b AS (SELECT greatest(1, ceil(round(total) / 1048576))::BIGINT AS block, round(total) AS total FROM a),
+b AS (SELECT greatest(1, ceil(floor(total) / 1048576))::BIGINT AS block, floor(total) AS total FROM a),
 j AS (SELECT slot, floor((((slot * 2654435769) % 4294967296) * (SELECT max(parts) FROM q))::DOUBLE / 4294967296)::BIGINT AS point
       FROM b, range(0, ceil(total / block)::BIGINT) x(slot)),
 r AS (SELECT no, source_size, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank

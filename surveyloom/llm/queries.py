@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyloom.llm import line_dedup, mixing, sentence_spans, url_filters
+from surveyloom.llm import line_dedup, mixing, pii, sentence_spans, url_filters
 from surveyloom.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_url_filters(spark, sf):
     return url_filters.judge(table(spark, sf, "pages").select("page_id", "url")).drop("url")
 
 
+def op3_pii(spark, sf):
+    return pii.digest(pii.find(table(spark, sf, "documents").select("doc_id", "text")))
+
+
 def op4_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -24,5 +28,5 @@ def op9_source_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).drop("source")
 
 
-ALL = {f.__name__: f for f in (op1_url_filters, op4_line_dedup, op6_substring_dedup, op9_source_mixing)}
+ALL = {f.__name__: f for f in (op1_url_filters, op3_pii, op4_line_dedup, op6_substring_dedup, op9_source_mixing)}
 SQL = {"op1_url_filters": url_filters.SQL, "op4_line_dedup": line_dedup.SQL, "op9_source_mixing": mixing.SQL}
