@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surveyloom.session import fresh_path
 
 
+def by_value(*modules: str) -> None:
+    """Ships these modules with the functions that use them: executors need no copy of the library."""
+    for name in modules:
+        cloudpickle.register_pickle_by_value(importlib.import_module(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # 2^32 over the golden ratio: multiples of it modulo 2^32 are the golden-ratio points
 GOLDEN = 2654435769
 SHARES = 1 << 31
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 512
 
 
 def sized(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from surveyloom.llm import line_dedup, mixing, pii, sentence_spans, url_filters
+from surveyloom.llm import line_dedup, mixing, packing, pii, sentence_spans, url_filters
 from surveyloom.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_url_filters(spark, sf):
     return url_filters.judge(table(spark, sf, "pages").select("page_id", "url")).drop("url")
 
@@ -28,5 +34,10 @@ def op9_source_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).drop("source")
 
 
-ALL = {f.__name__: f for f in (op1_url_filters, op3_pii, op4_line_dedup, op6_substring_dedup, op9_source_mixing)}
+def op10_packing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.digest(packing.pack(docs, tokenizer_path()))
+
+
+ALL = {f.__name__: f for f in (op1_url_filters, op3_pii, op4_line_dedup, op6_substring_dedup, op9_source_mixing, op10_packing)}
 SQL = {"op1_url_filters": url_filters.SQL, "op4_line_dedup": line_dedup.SQL, "op9_source_mixing": mixing.SQL}
