@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surveyloom.llm import line_dedup, mixing, packing, pii, sentence_spans, url_filters
+from surveyloom.llm import language, line_dedup, mixing, packing, pii, sentence_spans, url_filters
 from surveyloom.llm.common import table
 
 
@@ -16,6 +16,13 @@ def op1_url_filters(spark, sf):
     return url_filters.judge(table(spark, sf, "pages").select("page_id", "url")).drop("url")
 
 
+def op2_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.train(docs.where(~language.held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_pii(spark, sf):
     return pii.digest(pii.find(table(spark, sf, "documents").select("doc_id", "text")))
 
@@ -39,5 +46,5 @@ def op10_packing(spark, sf):
     return packing.digest(packing.pack(docs, tokenizer_path()))
 
 
-ALL = {f.__name__: f for f in (op1_url_filters, op3_pii, op4_line_dedup, op6_substring_dedup, op9_source_mixing, op10_packing)}
+ALL = {f.__name__: f for f in (op1_url_filters, op2_language, op3_pii, op4_line_dedup, op6_substring_dedup, op9_source_mixing, op10_packing)}
 SQL = {"op1_url_filters": url_filters.SQL, "op4_line_dedup": line_dedup.SQL, "op9_source_mixing": mixing.SQL}
