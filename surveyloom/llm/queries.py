@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from surveyloom.llm import language, line_dedup, mixing, packing, pii, sentence_spans, url_filters
+from surveyloom.llm import (
+    grid_order,
+    language,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    sentence_spans,
+    topk,
+    url_filters,
+)
 from surveyloom.llm.common import table
 
 
@@ -37,6 +47,15 @@ def op6_substring_dedup(spark, sf):
     return sentence_spans.dedup_spans(docs)
 
 
+def op7_top_k(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op8_embedding_dedup(spark, sf):
+    return grid_order.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op9_source_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).drop("source")
 
@@ -46,5 +65,24 @@ def op10_packing(spark, sf):
     return packing.digest(packing.pack(docs, tokenizer_path()))
 
 
-ALL = {f.__name__: f for f in (op1_url_filters, op2_language, op3_pii, op4_line_dedup, op6_substring_dedup, op9_source_mixing, op10_packing)}
-SQL = {"op1_url_filters": url_filters.SQL, "op4_line_dedup": line_dedup.SQL, "op9_source_mixing": mixing.SQL}
+ALL = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_language,
+        op3_pii,
+        op4_line_dedup,
+        op6_substring_dedup,
+        op7_top_k,
+        op8_embedding_dedup,
+        op9_source_mixing,
+        op10_packing,
+    )
+}
+SQL = {
+    "op1_url_filters": url_filters.SQL,
+    "op4_line_dedup": line_dedup.SQL,
+    "op7_top_k": topk.SQL,
+    "op8_embedding_dedup": grid_order.SQL,
+    "op9_source_mixing": mixing.SQL,
+}
