@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from surveyloom.llm import (
+    bag_minhash,
     grid_order,
     language,
     line_dedup,
@@ -42,6 +43,10 @@ def op4_line_dedup(spark, sf):
     return line_dedup.dedup_lines(docs)
 
 
+def op5_minhash_near_dedup(spark, sf):
+    return bag_minhash.near_classes(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_substring_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return sentence_spans.dedup_spans(docs)
@@ -72,6 +77,7 @@ ALL = {
         op2_language,
         op3_pii,
         op4_line_dedup,
+        op5_minhash_near_dedup,
         op6_substring_dedup,
         op7_top_k,
         op8_embedding_dedup,

@@ -9,15 +9,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 16 << 20
+SLICE_ROWS = 20_000
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with about ``most`` bytes of text; one row at least."""
+    """Cuts a batch into runs of rows with about ``most`` bytes of text; one row at least, SLICE_ROWS at most."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(size, dtype=np.int64), 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        end = min(end, start + SLICE_ROWS)
         yield batch.slice(start, end - start)
         start = end
 
