@@ -229,9 +229,9 @@ def _merged(open_: DataFrame, length: int) -> DataFrame:
     )
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """The result columns of the query: lengths and checksums in place of the ids."""
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    """The result columns of the query, lengths and checksums in place of the ids, and ``more`` of the pieces."""
     return pieces.select(
         "doc_id", "start", F.expr("octet_length(ids) div 4").alias("length"), F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens", "sequence_id", "offset",
+        "doc_tokens", "sequence_id", "offset", *more,
     )
