@@ -141,7 +141,8 @@ def judge(
         )
     mined = mine(source, min_support, min_confidence)
     sets = rows.where(F.col(given).isNull()).select(F.col(toks).alias("tokens")).distinct()
-    best = match(sets, mined).select(F.col("tokens").alias(key), F.col("verdict").alias(found))
+    # written, so that the join below stands alone and a frequent set can be split
+    best = written(match(sets, mined).select(F.col("tokens").alias(key), F.col("verdict").alias(found)), "url-sets")
     out = rows.join(best, rows[toks] == best[key], "left")
     return out.select(
         *[F.col(f"`{c}`") for c in keep], "host", "path", "rule",
