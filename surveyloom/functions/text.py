@@ -52,19 +52,18 @@ def collapse_spaced_thousands(c: Column) -> Column:
     )
 
 
-def contains_any(c: Column, patterns: Iterable[str]) -> Column:
-    patterns = list(patterns)
-    firsts = {p[2] for p in patterns if p.startswith(r"\b") and p[2].isalnum()}
-    # where every phrase starts with a known letter, test that before the word bound
-    guard = "(?=[" + "".join(sorted(firsts)) + "])" if all(
-        p.startswith(r"\b") and p[2] in firsts for p in patterns
-    ) else ""
-    # (?U): word bounds follow Unicode letters
+def contains_any(c: Column, patterns: Iterable[str], guard: str = "") -> Column:
+    """Whether any pattern matches; word bounds follow Unicode letters.
+
+    ``guard`` may name, as a look-ahead, what every match starts with; it is
+    tested before the word bounds and must not rule out a match.
+    """
     return c.rlike(f"(?U){guard}(?:" + "|".join(patterns) + ")")
 
 
 def looks_uncertain(c: Column) -> Column:
-    return contains_any(c, UNCERTAIN)
+    # the first letters of these phrases
+    return contains_any(c, UNCERTAIN, "(?=[cinu])")
 
 
 def looks_zero(c: Column, strict: bool = False) -> Column:

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.text import split_multiselect
 
-# One indicator column per category: beyond this the table is too wide to be one.
-MAX_CATEGORIES = 5_000
-
 
 def slug(text: str) -> str:
     return re.sub(r"[^0-9a-zA-Z]+", "_", text).strip("_").lower()
@@ -28,23 +25,47 @@ def indicator_name(column: str, category: str) -> str:
     return f"{slug(column)[:24]}__{slug(category)}"
 
 
-def categories(df: DataFrame, cols: Sequence[str], sep: str = ",") -> dict[str, list[str]]:
-    """Sorted distinct options per column, all columns in one pass.
+def indicator_names(pairs: Sequence[tuple[str, str]]) -> list[str]:
+    """One name per (column, category); equal names are numbered from 2 in the order given."""
+    names: list[str] = []
+    for column, category in pairs:
+        base = name = indicator_name(column, category)
+        n = 1
+        while name in names:
+            n += 1
+            name = f"{base}_{n}"
+        names.append(name)
+    return names
 
-    Options repeat a lot, so partial aggregation leaves little to shuffle.
-    """
+
+def _options(df: DataFrame, cols: Sequence[str], sep: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(c, item) of every option in every cell, all columns in one pass."""
 
     def tag(c: str):
         items = F.array_distinct(split_multiselect(F.col(c), sep))
         return F.transform(items, lambda item: F.struct(F.lit(c).alias("c"), item.alias("item")))
 
-    pairs = df.select(F.explode(F.concat(*[tag(c) for c in cols])).alias("p")).select("p.c", "p.item")
-    limit = MAX_CATEGORIES * len(cols)
-    rows = pairs.distinct().limit(limit + 1).collect()
-    found = {c: sorted(r["item"] for r in rows if r["c"] == c) for c in cols}
-    if len(rows) > limit or any(len(v) > MAX_CATEGORIES for v in found.values()):
-        raise ValueError(f"a multi-select column has more than {MAX_CATEGORIES} options")
-    return found
+    pairs = df.select(*keep, F.explode(F.concat(*[tag(c) for c in cols])).alias("p"))
+    return pairs.select("p.c", "p.item", *keep)
+
+
+def _collected(rows: DataFrame, most: int | None) -> list:
+    """Rows of (column, option), which become columns; more than ``most`` are an error."""
+    got = rows.collect() if most is None else rows.limit(most + 1).collect()
+    if most is not None and len(got) > most:
+        raise ValueError(f"the columns have more than {most} options")
+    return got
+
+
+def categories(
+    df: DataFrame, cols: Sequence[str], sep: str = ",", most: int | None = None
+) -> dict[str, list[str]]:
+    """Sorted distinct options per column.
+
+    Options repeat a lot, so partial aggregation leaves little to shuffle.
+    """
+    rows = _collected(_options(df, cols, sep).distinct(), most)
+    return {c: sorted(r["item"] for r in rows if r["c"] == c) for c in cols}
 
 
 class _MultiHotParams(HasInputCols):
@@ -75,16 +96,15 @@ class MultiHotModel(Model, _MultiHotParams, DefaultParamsReadable, DefaultParams
         return json.loads(self.getOrDefault(self.encoders))
 
     def output_columns(self) -> list[str]:
-        return [
-            indicator_name(p, o) for c, p in zip(self.getInputCols(), self.names()) for o in self.options[c]
-        ]
+        return indicator_names([(p, o) for c, p in zip(self.getInputCols(), self.names()) for o in self.options[c]])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        lists = {f"_items_{i}": split_multiselect(F.col(c), self.getOrDefault(self.sep)) for i, c in enumerate(self.getInputCols())}
+        sep = self.getOrDefault(self.sep)
+        lists = {f"_items_{i}": split_multiselect(F.col(c), sep) for i, c in enumerate(self.getInputCols())}
+        known = [(f"_items_{i}", o) for i, c in enumerate(self.getInputCols()) for o in self.options[c]]
         flags = [
-            F.array_contains(f"_items_{i}", o).cast("int").alias(indicator_name(p, o))
-            for i, (c, p) in enumerate(zip(self.getInputCols(), self.names()))
-            for o in self.options[c]
+            F.array_contains(items, o).cast("int").alias(name)
+            for (items, o), name in zip(known, self.output_columns())
         ]
         return df.withColumns(lists).select(*[F.col(f"`{c}`") for c in df.columns], *flags)
 
@@ -103,25 +123,14 @@ class MultiHot(Estimator, _MultiHotParams, DefaultParamsReadable, DefaultParamsW
 
 
 def categories_by_fold(
-    df: DataFrame, cols: Sequence[str], fold: str, n_folds: int, sep: str = ","
+    df: DataFrame, cols: Sequence[str], fold: str, n_folds: int, sep: str = ",", most: int | None = None
 ) -> dict[int, dict[str, list[str]]]:
     """For every fold the options that occur in the other folds, from one scan."""
+    pairs = _options(df, cols, sep, [fold])
+    seen = F.collect_set(fold).alias("folds")
+    rows = _collected(pairs.groupBy("c", "item").agg(seen), most)
 
-    def tag(c: str):
-        items = F.array_distinct(split_multiselect(F.col(c), sep))
-        return F.transform(items, lambda item: F.struct(F.lit(c).alias("c"), item.alias("item")))
+    def outside(f: int, c: str) -> list[str]:
+        return sorted(r["item"] for r in rows if r["c"] == c and any(g != f for g in r["folds"]))
 
-    pairs = df.select(fold, F.explode(F.concat(*[tag(c) for c in cols])).alias("p")).select("p.c", "p.item", fold)
-    limit = MAX_CATEGORIES * len(cols)
-    rows = (
-        pairs.groupBy("c", "item")
-        .agg(*[F.count_if(F.col(fold) != f).alias(f"o{f}") for f in range(n_folds)])
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"a multi-select column has more than {MAX_CATEGORIES} options")
-    return {
-        f: {c: sorted(r["item"] for r in rows if r["c"] == c and r[f"o{f}"] > 0) for c in cols}
-        for f in range(n_folds)
-    }
+    return {f: {c: outside(f, c) for c in cols} for f in range(n_folds)}

@@ -6,7 +6,6 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -18,21 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyloom.functions.text import keep_in, sql_strings, vocab_tokens
+from surveyloom.functions.text import vocab_tokens
 from surveyloom.session import materialise, spread
 
 # Fixed value: probabilities stay this far from 0 and 1.
 CLIP = 1e-12
-# Classes become columns of one aggregate.
-MAX_CLASSES = 1_000
-# Up to so many tokens the parameters are literals of the scoring expression; larger
-# vocabularies are joined.
-LITERAL_VOCAB = 2_000
-# Ranks up to which Spark itself prunes window groups before the shuffle.
-GROUP_LIMIT = 1_000
-# Joined parameters up to this size are broadcast; larger ones meet salted tokens.
-BROADCAST_BYTES = 128 * 1024 * 1024
-_SALTS = 16
+# Parts of a group of tokens that are ranked apart before the group is.
+PARTS = 64
 
 
 @dataclass
@@ -67,11 +58,7 @@ class TextModel:
 
 def class_counts(df: DataFrame, label: str) -> dict:
     """Rows per class, NULL left out, ordered by class."""
-    rows = (
-        df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    rows = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()
     return {r[label]: r["n"] for r in sorted(rows, key=lambda r: r[label])}
 
 
@@ -91,11 +78,11 @@ def tokens_of(df: DataFrame, column: str) -> Column:
     return vocab_tokens(F.col(column))
 
 
-def token_counts(df: DataFrame, columns: Sequence[str], label: str | None = None, classes: Sequence = ()) -> DataFrame:
-    """Documents per (column, token), in total and per class, from one scan of all texts.
+def token_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Documents per (column, token) and ``by``, from one scan of all texts.
 
-    Result: c (position of the column), token, df, n0, n1, ... Partial sums
-    leave one row per token and task to shuffle, however frequent a token is.
+    Result: c (position of the column), token, the ``by`` columns, n. Partial sums
+    leave one row per token, ``by`` and task to shuffle, however frequent a token is.
     """
 
     def tag(i: int, col: str) -> Column:
@@ -104,53 +91,41 @@ def token_counts(df: DataFrame, columns: Sequence[str], label: str | None = None
         )
 
     if not all(isinstance(df.schema[c].dataType, T.ArrayType) for c in columns):
-        df = spread(df.select(*columns, *([label] if label else [])))
-    keep = [F.col(label).alias("_y")] if label else []
+        df = spread(df.select(*columns, *by))
     if len(columns) == 1:
-        hits = df.select(F.lit(0).alias("c"), F.explode(tokens_of(df, columns[0])).alias("token"), *keep)
+        hits = df.select(F.lit(0).alias("c"), F.explode(tokens_of(df, columns[0])).alias("token"), *by)
     else:
         tagged = F.concat(*[tag(i, col) for i, col in enumerate(columns)])
-        hits = df.select(F.inline(tagged), *keep)
-    per_class = [F.count_if(F.col("_y") == F.lit(k)).alias(f"n{i}") for i, k in enumerate(classes)]
-    return hits.groupBy("c", "token").agg(F.count("*").alias("df"), *per_class)
+        hits = df.select(F.inline(tagged), *by)
+    return hits.groupBy("c", "token", *by).agg(F.count("*").alias("n"))
 
 
 def _top_per_group(counts: DataFrame, limits: Mapping[tuple, int], keys: Sequence[str]) -> DataFrame:
     """The most frequent tokens of each group, ``limits`` of them; ties go to the smaller token.
 
-    No task ever sorts a whole group: each keeps its own first rows before the
-    shuffle. Spark does that for ranks up to GROUP_LIMIT; for larger ones every
-    group is a top-k of its own over the counts, which are written once.
+    No task ever ranks a whole group: each of PARTS parts of it by hash first
+    keeps as many as are wanted, and only those are ranked together.
     """
     if any(k <= 0 for k in limits.values()):
         raise ValueError("vocabulary size must be positive")
     order = [F.desc("df"), F.asc("token")]
-    if len(limits) == 1:
-        return counts.orderBy(*order).limit(next(iter(limits.values())))
-    bound = max(limits.values())
-    if bound > GROUP_LIMIT:
-        stored = materialise(counts, "token-counts")
-        parts = []
-        for group, k in limits.items():
-            mine = stored
-            for name, value in zip(keys, group):
-                mine = mine.filter(F.col(name) == value)
-            parts.append(mine.orderBy(*order).limit(k))
-        return reduce(DataFrame.unionByName, parts)
-    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     sizes = F.create_map(*[F.lit(x) for g, k in limits.items() for x in ("/".join(map(str, g)), k)])
     own = F.try_element_at(sizes, F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
-    return ranked.filter(F.col("_r") <= bound).filter(F.col("_r") <= own).drop("_r")
+    parts = counts.withColumns({"_p": F.pmod(F.xxhash64("token"), F.lit(PARTS)), "_own": own})
+    for group in ([*keys, "_p"], keys):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        parts = parts.withColumn("_r", rank).filter(F.col("_r") <= F.col("_own"))
+    return parts.drop("_r", "_p", "_own")
 
 
 def top_k(counts: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """The ``sizes[c]`` most frequent tokens of each column."""
+    """The ``sizes[c]`` most frequent tokens of each column, from (c, token, df)."""
     return _top_per_group(counts, {(c,): k for c, k in enumerate(sizes)}, ["c"])
 
 
 def vocabulary(df: DataFrame, column: str, k: int) -> DataFrame:
     """Top-k tokens with their document frequency: (token, df)."""
-    return top_k(token_counts(df, [column]), [k]).select("token", "df")
+    return top_k(token_counts(df, [column]).withColumnRenamed("n", "df"), [k]).select("token", "df")
 
 
 def presence_vector(df: DataFrame, column: str, vocab: Sequence[str], out: str = "presence") -> DataFrame:
@@ -180,28 +155,24 @@ def fit_text_models(
     known = df.filter(F.col(label).isNotNull())
     totals = class_counts(known, label)
     classes = list(totals)
+    counts = materialise(token_counts(known, columns, [label]), "token-counts")
+    every = counts.groupBy("c", "token").agg(F.sum("n").alias("df"))
     if vocab is None:
-        chosen = top_k(token_counts(known, columns, label, classes), [sizes[c] for c in columns])
+        chosen = top_k(every, [sizes[c] for c in columns])
     else:
-        wanted = [
-            (F.col("c") == i) & F.col("token").isin(list(vocab[c])) for i, c in enumerate(columns)
-        ]
-        cond = wanted[0]
-        for w in wanted[1:]:
-            cond = cond | w
-        chosen = token_counts(known, columns, label, classes).filter(cond)
-    rows = chosen.collect()
+        fixed = [(i, t) for i, c in enumerate(columns) for t in vocab[c]]
+        chosen = every.join(known.sparkSession.createDataFrame(fixed, "c int, token string"), ["c", "token"])
+    seen: dict[tuple[int, str], dict] = {}
+    freq: dict[tuple[int, str], int] = {}
+    for r in chosen.join(counts, ["c", "token"]).collect():
+        seen.setdefault((r["c"], r["token"]), {})[r[label]] = r["n"]
+        freq[(r["c"], r["token"])] = r["df"]
     models = []
     for i, c in enumerate(columns):
-        mine = {r["token"]: r for r in rows if r["c"] == i}
-        tokens = sorted(mine, key=lambda t: (-mine[t]["df"], t)) if vocab is None else list(vocab[c])
+        own = [t for j, t in seen if j == i]
+        tokens = sorted(own, key=lambda t: (-freq[(i, t)], t)) if vocab is None else list(vocab[c])
         if not tokens:
             raise ValueError(f"no usable tokens in {c}")
-
-        def prob(k: int, t: str, n: int) -> float:
-            seen = mine[t][f"n{k}"] if t in mine else 0
-            return min(max((seen + alpha) / (n + 2.0 * alpha), CLIP), 1.0 - CLIP)
-
         models.append(
             TextModel(
                 column=c,
@@ -209,13 +180,17 @@ def fit_text_models(
                 classes=classes,
                 class_count=[float(n) for n in totals.values()],
                 vocab=tokens,
-                prob=[[prob(k, t, n) for t in tokens] for k, n in enumerate(totals.values())],
-                doc_freq=[mine[t]["df"] if t in mine else 0 for t in tokens],
+                prob=[[_smoothed(seen.get((i, t), {}).get(k, 0), n, alpha) for t in tokens] for k, n in totals.items()],
+                doc_freq=[freq.get((i, t), 0) for t in tokens],
             )
         )
     return models
 
 
+def _smoothed(seen: int, n: float, alpha: float) -> float:
+    return min(max((seen + alpha) / (n + 2.0 * alpha), CLIP), 1.0 - CLIP)
+
+
 def _numbers(values: Sequence[float]) -> str:
     return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
@@ -226,8 +201,8 @@ def _array(values: Sequence[float]) -> Column:
 
 
 def _table(m: TextModel) -> Column:
-    """Literal map from a token to what it adds to each class."""
-    return F.expr(f"map_from_arrays(array({sql_strings(m.vocab)}), array({', '.join(_numbers(d) for d in m.deltas)}))")
+    """What each token adds to each class, by the token's place; one literal text, folded when planned."""
+    return F.from_json(F.lit(json.dumps(m.deltas)), "array<array<double>>")
 
 
 def _outputs(m: TextModel, score: str, hits: Column, include_pred: bool) -> list[Column]:
@@ -243,39 +218,29 @@ def _outputs(m: TextModel, score: str, hits: Column, include_pred: bool) -> list
     return [*out, hits.alias(f"{p}_hit_count"), (hits == 0).cast("int").alias(f"{p}_zero_hit")]
 
 
-def score_texts(
-    df: DataFrame, models: Sequence[TextModel], include_pred: bool = True, id_col: str | None = None
-) -> DataFrame:
-    """Add the score columns of some models.
+def score_texts(df: DataFrame, models: Sequence[TextModel], include_pred: bool = True) -> DataFrame:
+    """Add the score columns of some models, row by row and so for streams too.
 
-    Linear in the tokens of a text: every class starts from the score of an
-    empty text and each vocabulary token adds its difference. Small
-    vocabularies need no join; larger ones need a unique ``id_col``.
+    Linear in the tokens of a text: tokens are looked up in a hash table, every
+    class starts from the score of an empty text, and each vocabulary token adds
+    the entry at its place. Vocabularies may have any size.
     """
     names = df.columns
     hit = {m.prefix: f"_{m.prefix}_hits" for m in models}
     score = {m.prefix: f"_{m.prefix}_score" for m in models}
-    small = [m for m in models if len(m.vocab) <= LITERAL_VOCAB]
     for m in models:
-        if m not in small:
-            if id_col is None:
-                raise ValueError("a vocabulary of this size is joined: name a unique id column")
-            df = _score_joined(df, m, id_col, hit[m.prefix], score[m.prefix])
-
-    def known(m: TextModel) -> Column:
-        return keep_in(tokens_of(df, m.column), m.vocab)
+        df = presence_vector(df, m.column, m.vocab, f"_{m.prefix}_v")
 
     def summed(m: TextModel) -> Column:
         h, delta = hit[m.prefix], _table(m)
         total = F.aggregate(
-            h, _array(m.base), lambda acc, t: F.zip_with(acc, F.try_element_at(delta, t), lambda a, d: a + d)
+            h, _array(m.base), lambda acc, i: F.zip_with(acc, F.get(delta, i), lambda a, d: a + d)
         )
         return F.when(F.size(h) == 0, _array(m.log_prior)).otherwise(total)
 
-    if small:
-        # columns of their own: what is used twice below is computed once
-        df = df.withColumns({hit[m.prefix]: known(m) for m in small})
-        df = df.withColumns({score[m.prefix]: summed(m) for m in small})
+    # columns of their own: what is used twice below is computed once
+    df = df.withColumns({hit[m.prefix]: F.unwrap_udt(f"_{m.prefix}_v")["indices"] for m in models})
+    df = df.withColumns({score[m.prefix]: summed(m) for m in models})
 
     def powers(s: str) -> Column:
         return F.transform(s, lambda x: F.exp(x - F.array_max(s)))
@@ -286,36 +251,12 @@ def score_texts(
     )
     out = []
     for m in models:
-        h = hit[m.prefix]
-        out += _outputs(m, score[m.prefix], F.size(h) if m in small else F.col(h), include_pred)
+        out += _outputs(m, score[m.prefix], F.size(hit[m.prefix]), include_pred)
     return df.select(*[F.col(f"`{c}`") for c in names], *out)
 
 
-def score_text(df: DataFrame, m: TextModel, include_pred: bool = True, id_col: str | None = None) -> DataFrame:
-    return score_texts(df, [m], include_pred, id_col)
-
-
-def _score_joined(df: DataFrame, m: TextModel, id_col: str, hit: str, score: str) -> DataFrame:
-    spark = df.sparkSession
-    params = spark.createDataFrame(
-        [(t, d) for t, d in zip(m.vocab, m.deltas)], "_token string, _delta array<double>"
-    )
-    tokens = df.select(F.col(id_col).alias("_id"), F.explode(tokens_of(df, m.column)).alias("_token"))
-    size = sum(len(t) + 32 + 8 * len(m.classes) for t in m.vocab)
-    if size <= BROADCAST_BYTES:
-        met = tokens.join(F.broadcast(params), "_token")
-    else:
-        # a frequent token would fill one task: its rows are spread over salts
-        salted = params.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        salt = F.pmod(F.xxhash64("_id"), F.lit(_SALTS)).cast("int")
-        met = tokens.withColumn("_s", salt).join(salted, ["_token", "_s"])
-    sums = [F.sum(F.col("_delta")[i]) for i in range(len(m.classes))]
-    hits = met.groupBy("_id").agg(F.count("*").cast("int").alias(hit), F.array(*sums).alias("_sum"))
-    out = df.join(hits, F.col(id_col) == F.col("_id"), "left")
-    total = F.zip_with(_array(m.base), "_sum", lambda a, d: a + d)
-    return out.withColumn(score, F.when(F.col(hit).isNull(), _array(m.log_prior)).otherwise(total)).withColumn(
-        hit, F.coalesce(F.col(hit), F.lit(0))
-    )
+def score_text(df: DataFrame, m: TextModel, include_pred: bool = True) -> DataFrame:
+    return score_texts(df, [m], include_pred)
 
 
 class TextScoresModel(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -323,23 +264,19 @@ class TextScoresModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     state = Param(Params._dummy(), "state", "fitted models, as JSON", TypeConverters.toString)
     includePred = Param(Params._dummy(), "includePred", "whether to add predictions", TypeConverters.toBoolean)
-    idCol = Param(Params._dummy(), "idCol", "unique id, for large vocabularies", TypeConverters.toString)
 
-    def __init__(self, models: Sequence[TextModel] | None = None, include_pred: bool = True, id_col: str | None = None):
+    def __init__(self, models: Sequence[TextModel] | None = None, include_pred: bool = True):
         super().__init__()
         self._setDefault(includePred=True)
         if models is not None:
             self._set(state=json.dumps([asdict(m) for m in models]), includePred=include_pred)
-        if id_col:
-            self._set(idCol=id_col)
 
     @property
     def models(self) -> list[TextModel]:
         return [TextModel(**m) for m in json.loads(self.getOrDefault(self.state))]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        id_col = self.getOrDefault(self.idCol) if self.isSet(self.idCol) else None
-        return score_texts(df, self.models, self.getOrDefault(self.includePred), id_col)
+        return score_texts(df, self.models, self.getOrDefault(self.includePred))
 
 
 class TextScores(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -428,7 +365,7 @@ class FoldCounts:
     n_folds: int
     # (fold, class) -> rows in the fold
     rows_in: dict
-    # (fold, column) -> rows of token counts, most frequent token first
+    # (fold, column) -> (token, df, {class: n}), most frequent token first
     ranked: dict
 
     def models(self, sizes: Mapping[str, int], alpha: float = 0.5) -> dict[int, list[TextModel]]:
@@ -436,24 +373,20 @@ class FoldCounts:
         return {f: [self._model(f, col, k, alpha) for col, k in sizes.items()] for f in range(self.n_folds)}
 
     def _model(self, f: int, col: str, k: int, alpha: float) -> TextModel:
-        n = [
-            float(sum(self.rows_in.get((g, c), 0) for g in range(self.n_folds) if g != f)) for c in self.classes
-        ]
-        present = [j for j, m in enumerate(n) if m > 0]
+        outside = [g for g in range(self.n_folds) if g != f]
+        n = {c: float(sum(self.rows_in.get((g, c), 0) for g in outside)) for c in self.classes}
+        n = {c: m for c, m in n.items() if m > 0}
         mine = self.ranked.get((f, self.columns.index(col)), [])[:k]
         if not mine:
             raise ValueError(f"no usable tokens in {col}")
         return TextModel(
             column=col,
             prefix=default_prefix(col),
-            classes=[self.classes[j] for j in present],
-            class_count=[n[j] for j in present],
-            vocab=[r["token"] for r in mine],
-            prob=[
-                [min(max((r[f"n{j}"] + alpha) / (n[j] + 2 * alpha), CLIP), 1 - CLIP) for r in mine]
-                for j in present
-            ],
-            doc_freq=[r["df"] for r in mine],
+            classes=list(n),
+            class_count=list(n.values()),
+            vocab=[t for t, _, _ in mine],
+            prob=[[_smoothed(seen.get(c, 0), m, alpha) for _, _, seen in mine] for c, m in n.items()],
+            doc_freq=[df for _, df, _ in mine],
         )
 
 
@@ -462,41 +395,26 @@ def count_by_fold(
 ) -> FoldCounts:
     """Counts for all folds from one scan of the texts, the ``sizes`` largest per fold and column.
 
-    Counts are additive: those outside a fold are the totals minus its own.
+    One row per (column, token, fold, class) is counted and written; each goes to
+    the training rows of all other folds, where they are added up again.
     """
     columns = list(sizes)
     known = df.filter(F.col(label).isNotNull())
     rows_in = {
-        (r[fold], r[label]): r["n"]
-        for r in known.groupBy(fold, label).agg(F.count("*").alias("n")).limit(MAX_CLASSES * n_folds + 1).collect()
+        (r[fold], r[label]): r["n"] for r in known.groupBy(fold, label).agg(F.count("*").alias("n")).collect()
     }
     classes = sorted({c for _, c in rows_in})
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
-    # (fold, class) as one small integer
-    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    cells = known.withColumn("_cell", (F.col(fold) * len(classes) + place).cast("int"))
-    keys = [(f, c) for f in range(n_folds) for c in classes]
-    counts = token_counts(cells, columns, "_cell", range(len(keys)))
-    at = {key: F.col(f"n{i}") for i, key in enumerate(keys)}
-
-    def outside(f: int, c) -> Column:
-        return sum((at[(g, c)] for g in range(n_folds) if g != f), F.lit(0))
-
-    per_training = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("f"),
-                sum((outside(f, c) for c in classes), F.lit(0)).alias("df"),
-                *[outside(f, c).alias(f"n{k}") for k, c in enumerate(classes)],
-            )
-            for f in range(n_folds)
-        ]
-    )
-    long = counts.select("c", "token", F.inline(per_training)).filter(F.col("df") > 0)
+    others = F.array_remove(F.array(*[F.lit(f) for f in range(n_folds)]), F.col(fold))
+    counts = token_counts(known, columns, [fold, label]).withColumn("f", F.explode(others))
+    counts = materialise(counts.groupBy("f", "c", "token", label).agg(F.sum("n").alias("n")), "fold-counts")
+    every = counts.groupBy("f", "c", "token").agg(F.sum("n").alias("df"))
     limits = {(f, c): k for f in range(n_folds) for c, k in enumerate(sizes.values())}
-    best = _top_per_group(long, limits, ["f", "c"]).collect()
+    best = _top_per_group(every, limits, ["f", "c"]).join(counts, ["f", "c", "token"])
+    found: dict[tuple, tuple] = {}
+    for r in best.collect():
+        key = (r["f"], r["c"], r["token"])
+        found.setdefault(key, (r["token"], r["df"], {}))[2][r[label]] = r["n"]
     ranked: dict[tuple, list] = {}
-    for r in sorted(best, key=lambda r: (-r["df"], r["token"])):
-        ranked.setdefault((r["f"], r["c"]), []).append(r)
+    for (f, c, _), entry in sorted(found.items(), key=lambda kv: (-kv[1][1], kv[1][0])):
+        ranked.setdefault((f, c), []).append(entry)
     return FoldCounts(columns, classes, n_folds, rows_in, ranked)

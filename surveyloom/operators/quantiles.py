@@ -4,52 +4,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to so many distinct values Spark's own exact percentile keeps a small map per task.
-DISTINCT_LIMIT = 200_000
-# Up to so many rows are sorted inside one aggregate buffer.
-RESIDUAL_ROWS = 100_000
-_ACCURACY = 10_000
-
-
-@dataclass
-class _Rank:
-    """The ``rank``-th smallest value (from 0) of ``col`` is known to lie in [lo, hi]."""
-
-    col: str
-    rank: int
-    lo: float
-    hi: float
-    below: int
-    inside: int
-    value: float | None = None
-
-    def member(self) -> Column:
-        c = F.col(self.col)
-        return (c >= F.lit(self.lo)) & (c <= F.lit(self.hi))
+from surveyloom.session import materialise
 
-    @property
-    def local(self) -> int:
-        return self.rank - self.below
+_ACCURACY = 10_000
 
 
 def quantiles(
-    df: DataFrame,
-    wanted: Mapping[str, Sequence[float]],
-    *,
-    approx: bool = False,
-    distinct_limit: int = DISTINCT_LIMIT,
-    residual_rows: int = RESIDUAL_ROWS,
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], *, approx: bool = False
 ) -> dict[str, list[float | None]]:
     """Quantiles per column with linear interpolation; NULLs are ignored, empty columns give None.
 
-    One aggregate serves all columns. Columns with few distinct values use
-    ``percentile``; the others are narrowed by approximate brackets with exact
-    counts, two aggregates per round, until few rows are left.
+    Rows are counted per column and value, so a heavy value is one row. The
+    counts are laid out by ranges of values and written; the sums per range tell
+    which range holds a wanted rank, and only there the rows are added up. Two
+    passes over the counts, whatever the values are.
     """
     cols = list(wanted)
     if not cols:
@@ -61,92 +33,54 @@ def quantiles(
         ).first()
         return {c: list(row[c] or [None] * len(wanted[c])) for c in cols}
 
-    shape = num.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
-        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
-    ).first()
-    small = [c for i, c in enumerate(cols) if 0 < shape[f"n{i}"] and shape[f"d{i}"] <= distinct_limit]
-    out: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in cols}
-    if small:
-        row = num.agg(*[F.percentile(c, list(wanted[c])).alias(c) for c in small]).first()
-        out.update({c: list(row[c]) for c in small})
-
-    large = [(i, c) for i, c in enumerate(cols) if shape[f"d{i}"] > distinct_limit]
-    ranks: dict[tuple[str, int], _Rank] = {}
-    for i, c in large:
-        n = shape[f"n{i}"]
-        for q in wanted[c]:
-            for r in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))}:
-                ranks.setdefault((c, r), _Rank(c, r, shape[f"lo{i}"], shape[f"hi{i}"], 0, n))
-    _resolve(num, list(ranks.values()), residual_rows)
-    for i, c in large:
-        n = shape[f"n{i}"]
-        values = []
-        for q in wanted[c]:
-            pos = q * (n - 1)
-            low, high = ranks[(c, math.floor(pos))].value, ranks[(c, math.ceil(pos))].value
-            part = pos - math.floor(pos)
-            values.append(low if low == high else (1 - part) * low + part * high)
-        out[c] = values
+    tagged = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(cols)])
+    counts = num.select(F.inline(tagged)).where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, "c", "v").withColumn("part", F.spark_partition_id())
+    stored = materialise(ranged, "value-counts")
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for r in stored.groupBy("c", "part").agg(F.sum("n").alias("n")).orderBy("c", "part").collect():
+        sums.setdefault(r["c"], []).append((r["part"], r["n"]))
+
+    # (column, rank) -> (range, rank within the range)
+    places: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, c in enumerate(cols):
+        n = sum(k for _, k in sums.get(i, []))
+        for q in wanted[c] if n else []:
+            for rank in (math.floor(q * (n - 1)), math.ceil(q * (n - 1))):
+                below = 0
+                for part, k in sums[i]:
+                    if rank < below + k:
+                        places[(i, rank)] = (part, rank - below)
+                        break
+                    below += k
+    values = _read(stored, places)
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        n = sum(k for _, k in sums.get(i, []))
+        out[c] = [_between(values, i, q * (n - 1)) if n else None for q in wanted[c]]
     return out
 
 
-def _resolve(num: DataFrame, ranks: list[_Rank], residual_rows: int) -> None:
-    while True:
-        for r in ranks:
-            if r.value is None and r.lo == r.hi:
-                r.value = r.lo
-        left = [r for r in ranks if r.value is None and r.inside > residual_rows]
-        if not left:
-            break
-        _narrow(num, left)
-    rest = [r for r in ranks if r.value is None]
-    if rest:
-        row = num.agg(
-            *[
-                F.get(F.sort_array(F.collect_list(F.when(r.member(), F.col(r.col)))), F.lit(r.local))
-                .alias(f"v{i}")
-                for i, r in enumerate(rest)
-            ]
-        ).first()
-        for i, r in enumerate(rest):
-            r.value = row[f"v{i}"]
-
-
-def _narrow(num: DataFrame, ranks: list[_Rank]) -> None:
-    def fractions(r: _Rank) -> list[float]:
-        mid, slack = (r.local + 0.5) / r.inside, 2.0 / _ACCURACY
-        return [max(0.0, mid - slack), min(1.0, mid + slack)]
-
-    row = num.agg(
-        *[
-            F.percentile_approx(F.when(r.member(), F.col(r.col)), fractions(r), _ACCURACY).alias(f"b{i}")
-            for i, r in enumerate(ranks)
-        ]
-    ).first()
-    brackets = [tuple(row[f"b{i}"]) for i in range(len(ranks))]
-    parts = []
-    for i, (r, (a, b)) in enumerate(zip(ranks, brackets)):
-        c = F.col(r.col)
-        under, over = r.member() & (c < F.lit(a)), r.member() & (c > F.lit(b))
-        parts += [
-            F.count_if(under).alias(f"u{i}"),
-            F.count_if(over).alias(f"o{i}"),
-            F.max(F.when(under, c)).alias(f"um{i}"),
-            F.min(F.when(over, c)).alias(f"om{i}"),
-        ]
-    row = num.agg(*parts).first()
-    for i, (r, (a, b)) in enumerate(zip(ranks, brackets)):
-        under, over = row[f"u{i}"], row[f"o{i}"]
-        if r.local < under:
-            r.hi, r.inside = row[f"um{i}"], under
-        elif r.local >= r.inside - over:
-            r.lo, r.below, r.inside = row[f"om{i}"], r.below + r.inside - over, over
-        else:
-            r.lo, r.hi = a, b
-            r.below, r.inside = r.below + under, r.inside - under - over
+def _read(stored: DataFrame, places: dict) -> dict[tuple[int, int], float]:
+    """The value at each place, from one pass over the ranges that hold one."""
+    if not places:
+        return {}
+    spark = stored.sparkSession
+    rows = [(i, part, rank, local) for (i, rank), (part, local) in places.items()]
+    asked = spark.createDataFrame(rows, "c int, part int, rank long, local long")
+    inside = stored.join(F.broadcast(asked.select("c", "part").distinct()), ["c", "part"])
+    so_far = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.sum("n").over(so_far))
+    at = (F.col("local") >= F.col("upto") - F.col("n")) & (F.col("local") < F.col("upto"))
+    found = inside.join(F.broadcast(asked), ["c", "part"]).where(at).select("c", "rank", "v").collect()
+    return {(r["c"], r["rank"]): r["v"] for r in found}
+
+
+def _between(values: dict, i: int, pos: float) -> float:
+    low, high = values[(i, math.floor(pos))], values[(i, math.ceil(pos))]
+    part = pos - math.floor(pos)
+    return low if low == high else (1 - part) * low + part * high
 
 
 def medians(df: DataFrame, cols: Sequence[str], **kwargs) -> dict[str, float | None]:

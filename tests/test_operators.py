@@ -100,7 +100,7 @@ def brute_force(tokens, labels, k, alpha):
 
 
 @pytest.mark.parametrize("k,alpha", [(3, 0.5), (100, 1.0)])
-def test_naive_bayes_against_brute_force(spark, k, alpha, monkeypatch):
+def test_naive_bayes_against_brute_force(spark, k, alpha):
     df = text_frame(spark)
     rows = df.select("id", "label", tokenize(F.col("food_text")).alias("t")).orderBy("id").collect()
     vocab, p, probs, hits = brute_force([r["t"] for r in rows], [r["label"] for r in rows], k, alpha)
@@ -117,12 +117,22 @@ def test_naive_bayes_against_brute_force(spark, k, alpha, monkeypatch):
     check(N.score_text(df, m))
     back = N.from_tables(*N.to_tables(spark, [m]))[0]
     check(N.score_text(df, back))
-    monkeypatch.setattr(N, "LITERAL_VOCAB", 0)
-    check(N.score_text(df, m, id_col="id"))
-    monkeypatch.setattr(N, "BROADCAST_BYTES", 0)
-    check(N.score_text(df, m, id_col="id"))
-    with pytest.raises(ValueError):
-        N.score_text(df, m)
+
+
+def test_vocabularies_of_any_size_are_scored_by_saved_stages(spark, tmp_path):
+    df = spark.range(600).selectExpr("id", "id % 2 AS label", "concat('w', translate(string(id * 7 % 3001), '0123456789', 'abcdefghij'), ' w', translate(string(id * 11 % 3001), '0123456789', 'abcdefghij')) AS food_text")
+    stage = N.TextScores(labelCol="label", sizes={"food_text": 5000}).fit(df)
+    assert len(stage.models[0].vocab) > 900
+    path = str(tmp_path / "stage")
+    stage.write().save(path)
+    out = N.TextScoresModel.load(path).transform(df).orderBy("id").collect()
+    m = stage.models[0]
+    place = {t: j for j, t in enumerate(m.vocab)}
+    for r in out[:50]:
+        hits = [place[t] for t in set(r["food_text"].split()) if t in place]
+        score = [b + sum(m.deltas[j][k] for j in hits) for k, b in enumerate(m.base)]
+        assert r["food_nb_hit_count"] == len(hits)
+        assert np.isclose(r["food_nb_p1"], 1 / (1 + np.exp(score[0] - score[1])))
 
 
 def test_naive_bayes_errors_and_fixed_vocabulary(spark):
@@ -140,9 +150,9 @@ def test_naive_bayes_errors_and_fixed_vocabulary(spark):
     assert abs(sum(one[f"food_nb_p{i}"] for i in range(3)) - 1) < 1e-12
 
 
-@pytest.mark.parametrize("group_limit", [1000, 1])
-def test_models_by_fold_equal_direct_fits(spark, monkeypatch, group_limit):
-    monkeypatch.setattr(N, "GROUP_LIMIT", group_limit)
+@pytest.mark.parametrize("parts", [64, 1])
+def test_models_by_fold_equal_direct_fits(spark, monkeypatch, parts):
+    monkeypatch.setattr(N, "PARTS", parts)
     df = text_frame(spark).withColumn("fold", (F.col("id") % 2).cast("int")).withColumn("b_text", F.lit("sky time x"))
     sizes = {"food_text": 4, "b_text": 2}
     # counted for larger vocabularies than asked for
@@ -165,6 +175,19 @@ def test_multi_hot(spark):
     assert M.categories_by_fold(folds, ["room"], "fold", 2) == {0: {"room": ["zz"]}, 1: {"room": ["A b", "C"]}}
 
 
+def test_multi_hot_with_equal_slugs(spark):
+    df = spark.createDataFrame([("A-B",), ("A B,日本",), ("a_b,雨",)], "room string")
+    model = M.MultiHot(inputCols=["room"]).fit(df)
+    names = ["room__a_b", "room__a_b_2", "room__a_b_3", "room__", "room___2"]
+    assert model.output_columns() == names
+    got = model.transform(df).select(*names).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 0, 0, 0), (1, 0, 0, 1, 0), (0, 0, 1, 0, 1)]
+    with pytest.raises(ValueError):
+        M.categories(df, ["room"], most=4)
+    with pytest.raises(ValueError):
+        M.categories_by_fold(df.withColumn("fold", F.lit(0)), ["room"], "fold", 1, most=4)
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 5, "x", None), (2.0, 5, "y", None), (6.0, 5, "z", None)], "a double, b int, c string, d double")
     assert Z.numeric_feature_columns(df, ["d"]) == ["a", "b"]

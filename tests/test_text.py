@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions import scales as S
 from surveyloom.functions import text as X
 from surveyloom.functions.money import bound_money, parse_money
-from surveyloom.functions.words import _spark_english, stop_words
+from surveyloom.functions.words import stop_words
 
 
 def apply(spark, values, fn, dtype="string"):
@@ -70,9 +70,16 @@ def test_multiselect(spark):
     assert apply(spark, cells, X.split_multiselect) == [["A", "B"], [], [], [], ["a"]]
 
 
-def test_stop_words_without_a_context():
-    assert len(stop_words()) == 353
-    assert "i" in _spark_english()
+def test_stop_words():
+    assert len(stop_words()) == len(set(stop_words())) == 353
+    assert list(stop_words()) == sorted(stop_words())
+
+
+def test_phrases_with_optional_starts_and_alternatives(spark):
+    patterns = [r"\bs?he\b", r"\bfoo\b|\bbar\b"]
+    texts = ["he", "she", "the", "a bar", "foo", "food", "é he", "éhe"]
+    got = apply(spark, texts, lambda c: X.contains_any(c, patterns))
+    assert got == [True, True, False, True, True, False, True, False]
 
 
 MONEY = [
