@@ -174,6 +174,13 @@ SURVEY = f"""
             median(rate) AS rate FROM kept)
 """
 
+CLEANED = f"""WITH {SURVEY} SELECT o_orderkey::VARCHAR AS order_id, status,
+            round_even(coalesce(k.priority, m.priority), 0)::BIGINT AS priority,
+            coalesce(k.offer, m.offer) AS offer,
+            round_even(coalesce(k.units, m.units), 0)::BIGINT AS units,
+            round_even(coalesce(k.rate, m.rate), 0)::BIGINT AS rate,
+            coalesce(note, 'Missing') AS note, label FROM kept k CROSS JOIN med m"""
+
 CATEGORIES = [
     "anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large",
     "new", "old", "plate", "red", "ring", "rod", "small", "widget",
@@ -207,6 +214,35 @@ def _audit() -> str:
     return f"WITH {SURVEY} " + " UNION ALL ".join(parts)
 
 
+def nb_fold_scores(k: int) -> str:
+    """Accuracy of each of three folds, fitted on the other two."""
+    return f"""
+    src AS (SELECT conv_id * 1000 + turn AS row_id, role AS y, text FROM conversations),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || row_id), row_id) AS rn FROM src),
+    bf AS (SELECT y, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+           FROM (SELECT y, count(*) AS n, min(row_id) AS f FROM src GROUP BY y)),
+    tok AS (SELECT row_id, rk.y, ((before + rn - 1) % 3)::INTEGER AS fold, list_distinct({tokens('text')}) AS toks
+            FROM rk JOIN bf ON rk.y = bf.y),
+    ex AS (SELECT row_id, fold, y, t FROM (SELECT row_id, fold, y, unnest(toks) AS t FROM tok) WHERE t <> 'missing'),
+    fs AS (SELECT unnest([0, 1, 2]) AS f),
+    df AS (SELECT f, t, count(*) AS df FROM ex JOIN fs ON fold <> f GROUP BY f, t),
+    vocab AS (SELECT f, t FROM df QUALIFY row_number() OVER (PARTITION BY f ORDER BY df DESC, t) <= {k}),
+    cls AS (SELECT f, y, count(*) AS n FROM tok JOIN fs ON fold <> f GROUP BY f, y),
+    seen AS (SELECT f, y, t, count(*) AS c FROM ex JOIN fs ON fold <> f GROUP BY f, y, t),
+    par AS (SELECT c.f, c.y, v.t, (coalesce(s.c, 0) + 0.5::DOUBLE) / (c.n + 1.0::DOUBLE) AS p
+            FROM cls c JOIN vocab v ON v.f = c.f LEFT JOIN seen s ON s.f = c.f AND s.y = c.y AND s.t = v.t),
+    base AS (SELECT p.f, p.y, any_value(ln(c.n::DOUBLE / total)) AS prior, sum(ln(1 - p)) AS miss
+             FROM par p JOIN (SELECT *, sum(n) OVER (PARTITION BY f) AS total FROM cls) c ON c.f = p.f AND c.y = p.y
+             GROUP BY p.f, p.y),
+    add AS (SELECT e.row_id, p.y, sum(ln(p) - ln(1 - p)) AS d FROM ex e JOIN par p ON p.f = e.fold AND p.t = e.t GROUP BY e.row_id, p.y),
+    sc AS (SELECT tok.row_id, tok.fold, tok.y AS truth, b.y, CASE WHEN d IS NULL THEN prior ELSE prior + miss + d END AS score
+           FROM tok JOIN base b ON b.f = tok.fold LEFT JOIN add ON add.row_id = tok.row_id AND add.y = b.y),
+    acc AS (SELECT fold, avg((y = truth)::INTEGER::DOUBLE) AS acc
+            FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, y) = 1) GROUP BY fold)
+    SELECT 'k={k}' AS params, round(max(acc) FILTER (WHERE fold = 0), 6) AS fold0, round(max(acc) FILTER (WHERE fold = 1), 6) AS fold1,
+           round(max(acc) FILTER (WHERE fold = 2), 6) AS fold2, avg(acc) AS mean_acc, stddev_pop(acc) AS std_acc FROM acc"""
+
+
 def sql() -> dict[str, str]:
     docs, conv = "SELECT * FROM documents", "SELECT * FROM conversations"
     keyed = "md5('42:' || {0})"
@@ -235,6 +271,13 @@ def sql() -> dict[str, str]:
             regexp_matches(t, {_words('0+', 'zero', 'nothing', 'no money', 'free')}) AS zero,
             regexp_matches(t, {_words('the', 'la')}) AS article
             FROM (SELECT doc_id, {NORMAL} AS t FROM documents)""",
+        "text_patterns": f"""SELECT doc_id, regexp_matches(t, {_words('t?he')}) AS optional,
+            regexp_matches(t, {_words('las', 'les', 'd[ae]s')}) AS either
+            FROM (SELECT doc_id, {NORMAL} AS t FROM documents)""",
+        "parse_money_kinds": f"""SELECT o_orderkey, CASE o_orderkey % 16
+            WHEN 0 THEN v * 1e9 WHEN 1 THEN v WHEN 2 THEN v * 1e9 WHEN 3 THEN v * 1e6 WHEN 4 THEN v * 1e3 + 500
+            WHEN 5 THEN v * 1e3 WHEN 6 THEN v WHEN 7 THEN v + 700 WHEN 8 THEN v WHEN 9 THEN v WHEN 10 THEN v * 1e3
+            WHEN 11 THEN v WHEN 12 THEN NULL WHEN 13 THEN v + 700 WHEN 14 THEN v + 700 ELSE v END::DOUBLE AS amount FROM {ORDERS}""",
         "parse_money": f"SELECT o_orderkey, {OFFER} AS amount FROM {ORDERS}",
         "ordinal_map": f"SELECT o_orderkey, ({PRIORITY})::INTEGER AS level, CASE WHEN ({PRIORITY}) IS NOT NULL THEN o_orderpriority END AS title FROM orders",
         "numeric_coerce": """SELECT p_partkey, x AS number,
@@ -253,6 +296,9 @@ def sql() -> dict[str, str]:
         "median_impute": f"""SELECT p_partkey, coalesce(size, ms) AS size, coalesce(price, mp) AS price,
             coalesce(brand, 'Missing') AS brand FROM {PARTS}
             CROSS JOIN (SELECT median(size) AS ms, median(price) AS mp FROM {PARTS})""",
+        "median_spiky": """SELECT quantile_cont(v, 0.1) AS low, median(v) AS middle, quantile_cont(v, 0.99) AS high FROM
+            (SELECT CASE WHEN l_orderkey % 8 < 3 THEN 1.0 WHEN l_orderkey % 8 < 6 THEN 2.0 WHEN l_orderkey % 8 = 6
+                THEN -l_extendedprice ELSE l_extendedprice + 2 END::DOUBLE AS v FROM lineitem)""",
         "audit_counts": " UNION ALL ".join(
             [
                 _metric("rows", "*", "raw", "true", "events"),
@@ -263,18 +309,17 @@ def sql() -> dict[str, str]:
             ]
         ),
         "value_counts": "SELECT nullif(o_orderstatus, 'P') AS value, count(*) AS n FROM orders GROUP BY 1",
-        "clean_table": f"""WITH {SURVEY} SELECT o_orderkey::VARCHAR AS order_id, status,
-            round_even(coalesce(k.priority, m.priority), 0)::BIGINT AS priority,
-            coalesce(k.offer, m.offer) AS offer,
-            round_even(coalesce(k.units, m.units), 0)::BIGINT AS units,
-            round_even(coalesce(k.rate, m.rate), 0)::BIGINT AS rate,
-            coalesce(note, 'Missing') AS note, label FROM kept k CROSS JOIN med m""",
+        "clean_table": CLEANED,
         "clean_audit": _audit(),
+        "csv_round_trip": CLEANED,
         "tokenize": f"""SELECT doc_id, len(t)::INTEGER AS n, coalesce(array_to_string(t, ' '), '') AS tokens
             FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)""",
         "vocab_topk": f"""SELECT t AS token, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS t FROM documents)
             WHERE t <> 'missing' GROUP BY t ORDER BY df DESC, t LIMIT 20""",
         "multi_hot": f"SELECT p_partkey, p_name, {flags} FROM part",
+        "multi_hot_slugs": """SELECT doc_id, (k < 3)::INTEGER AS tags__src_1, (k = 2)::INTEGER AS tags__src_1_2,
+            (k > 3)::INTEGER AS tags__src_1_3, (k % 2 = 0)::INTEGER AS tags__, (k = 5)::INTEGER AS tags___2
+            FROM (SELECT doc_id, doc_id % 7 AS k FROM documents)""",
         "multi_hot_roles": f"SELECT conv_id, {roles} FROM conversations GROUP BY conv_id",
         "hit_count": f"""WITH tok AS (SELECT doc_id, list_distinct({tokens('text')}) AS ts FROM documents),
             vocab AS (SELECT t, count(*) AS df FROM (SELECT unnest(ts) AS t FROM tok) WHERE t <> 'missing'
@@ -290,6 +335,10 @@ def sql() -> dict[str, str]:
         "nb_fit_documents": nb_parameters(docs, ["doc_id"], "text", "lang", 40),
         "nb_predict": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
         "nb_predict_documents": nb_scores(docs, ["doc_id"], "text", "lang", 40, 4),
+        "nb_predict_wide": nb_scores(docs, ["doc_id"], "text", "lang", 5000, 4),
+        "nb_folds": f"""SELECT params, fold0, fold1, fold2, round(mean_acc, 6) AS mean_acc, round(std_acc, 6) AS std_acc,
+            row_number() OVER (ORDER BY mean_acc DESC, std_acc, params)::INTEGER AS place
+            FROM ((WITH {nb_fold_scores(20)}) UNION ALL (WITH {nb_fold_scores(40)}))""",
         "text_accuracy": f"""WITH {naive_bayes(conv, ['conv_id', 'turn'], 'text', 'role', 40)}
             SELECT 'text' AS "column", round(avg((pr.y = tok.y)::INTEGER::DOUBLE), 6) AS accuracy
             FROM pr JOIN tok USING (conv_id, turn) WHERE place = 1""",

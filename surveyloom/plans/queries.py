@@ -5,9 +5,11 @@ Every query takes (spark, sf_dir) and reads its whole tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions import scales as S
@@ -19,13 +21,13 @@ from surveyloom.operators import naive_bayes as N
 from surveyloom.operators import neighbours as G
 from surveyloom.operators import splits as P
 from surveyloom.operators import standardize as Z
-from surveyloom.operators.quantiles import medians, upper_caps
+from surveyloom.operators.quantiles import medians, quantiles, upper_caps
 from surveyloom.plans import evaluate as E
 from surveyloom.plans import train as T
 from surveyloom.plans.clean import Cleaned, clean
 from surveyloom.schema import CleanSpec, TrainSpec
 from surveyloom.session import fresh_path, spread
-from surveyloom.sources.tables import complete_schema
+from surveyloom.sources.tables import complete_schema, read_cleaned, read_csv, write_csv
 from surveyloom.streaming.score import run_available
 
 VOCAB = 40
@@ -79,6 +81,20 @@ def text_flags(spark, sf):
     )
 
 
+def text_patterns(spark, sf):
+    """Patterns with an optional start and with alternatives."""
+    t = F.col("t")
+    return (
+        spread(table(spark, sf, "documents").select("doc_id", "text"))
+        .select("doc_id", X.normalize_text(F.col("text")).alias("t"))
+        .select(
+            "doc_id",
+            X.contains_any(t, [r"\bt?he\b"]).alias("optional"),
+            X.contains_any(t, [r"\blas\b|\bles\b", r"\bd[ae]s\b"]).alias("either"),
+        )
+    )
+
+
 def offer_text(key: Column) -> Column:
     """Money phrases of eight kinds, made from an order key."""
     v = (F.pmod(key, F.lit(900)) + 11).cast("string")
@@ -105,6 +121,40 @@ def money(spark, sf):
     return df.select("o_orderkey", bound_money(parse_money(text)).alias("amount"))
 
 
+def price_text(key: Column) -> Column:
+    """Money phrases of sixteen kinds: scale words and letters, ranges, hints for and against, far contexts."""
+    v = (F.pmod(key, F.lit(900)) + 11).cast("string")
+    more = (F.pmod(key, F.lit(900)) + 711).cast("string")
+    far = "and then a long tale that says little more of it until"
+    forms = [
+        F.concat(F.lit("$"), v, F.lit(" bucks")),
+        F.concat(v, F.lit("$")),
+        F.concat(v, F.lit("b")),
+        F.concat(F.lit("$"), v, F.lit(" Million")),
+        F.concat(v, F.lit(".5k")),
+        F.concat(v, F.lit(" thousand dollars")),
+        F.concat(F.lit("if i were rich "), more, F.lit(" but "), v, F.lit(" now")),
+        F.concat(F.lit("about "), v, F.lit(" or "), more),
+        F.concat(F.lit("depends, "), more, F.lit(" or "), v, F.lit(", hmm "), v),
+        F.concat(F.lit("i would pay "), v, F.lit(f" {far} "), more, F.lit(" comes up")),
+        F.concat(v, F.lit(" 000")),
+        F.concat(F.lit("-"), v),
+        F.concat(v, F.lit("million")),
+        F.concat(v, F.lit("-"), more, F.lit(" dollars")),
+        F.concat(F.lit("max "), v, F.lit(", maybe "), more),
+        F.concat(F.lit("not sure, "), v),
+    ]
+    out = forms[-1]
+    for i, f in enumerate(forms[:-1]):
+        out = F.when(F.pmod(key, F.lit(16)) == i, f).otherwise(out)
+    return out
+
+
+def money_kinds(spark, sf):
+    df = spread(table(spark, sf, "orders").select("o_orderkey"))
+    return df.select("o_orderkey", parse_money(price_text(F.col("o_orderkey"))).alias("amount"))
+
+
 def ordinal_map(spark, sf):
     level = S.lookup(F.col("o_orderpriority"), PRIORITY_LEVELS, "int")
     titles = {v: k for k, v in PRIORITY_LEVELS.items()}
@@ -170,6 +220,15 @@ def median_impute(spark, sf):
     return filled.fillna("Missing", ["brand"])
 
 
+def median_spiky(spark, sf):
+    """Quantiles around two heavy neighbouring values among distinct ones."""
+    kind = F.pmod("l_orderkey", F.lit(8))
+    v = F.when(kind < 3, F.lit(1.0)).when(kind < 6, F.lit(2.0)).when(kind == 6, -F.col("l_extendedprice"))
+    df = table(spark, sf, "lineitem").select(v.otherwise(F.col("l_extendedprice") + 2).alias("v"))
+    found = quantiles(df, {"v": [0.1, 0.5, 0.99]})["v"]
+    return spark.createDataFrame([tuple(found)], "low double, middle double, high double")
+
+
 def audit_counts(spark, sf):
     v = F.col("value")
     return C.audit(
@@ -232,6 +291,15 @@ def clean_table(spark, sf):
     return _cleaned_orders(spark, sf).df
 
 
+def csv_round_trip(spark, sf):
+    """Raw answers to CSV, cleaned from there to a second CSV, and its typed rows."""
+    base = fresh_path(spark, "csv")
+    write_csv(order_survey(spark, sf), f"{base}/raw", {})
+    cleaned = clean(read_csv(spark, f"{base}/raw", {}, multi_line=False), ORDER_SURVEY).df
+    write_csv(cleaned, f"{base}/cleaned", {})
+    return read_cleaned(spark, f"{base}/cleaned", ORDER_SURVEY).fillna("Missing", ["note", "status"])
+
+
 def clean_audit(spark, sf):
     return _cleaned_orders(spark, sf, with_audit=True).audit
 
@@ -265,6 +333,15 @@ def multi_hot_roles(spark, sf):
     return M.MultiHot(inputCols=["roles"]).fit(roles).transform(roles).drop("roles")
 
 
+def multi_hot_slugs(spark, sf):
+    """Options whose column names would be equal."""
+    k = F.pmod("doc_id", F.lit(7))
+    picks = [("Src 1", k < 3), ("src-1", k == 2), ("src_1", k > 3), ("日", k % 2 == 0), ("雨", k == 5)]
+    cell = F.concat_ws(",", *[F.when(cond, F.lit(name)) for name, cond in picks])
+    df = table(spark, sf, "documents").select("doc_id", cell.alias("tags"))
+    return M.MultiHot(inputCols=["tags"]).fit(df).transform(df).drop("tags")
+
+
 def hit_count(spark, sf):
     df = N.tokenized(table(spark, sf, "documents").select("doc_id", "text"), ["text"])
     vocab = [r["token"] for r in N.vocabulary(df, "text", 20).collect()]
@@ -327,6 +404,39 @@ def nb_predict_documents(spark, sf):
     return _score_table(df, N.fit_text_models(df, "lang", {"text": VOCAB}, ALPHA)[0], ["doc_id"])
 
 
+def nb_predict_wide(spark, sf):
+    """A vocabulary of thousands of words, scored by a saved and reloaded pipeline."""
+    df = N.tokenized(table(spark, sf, "documents").select("doc_id", "lang", "text"), ["text"])
+    stage = N.TextScores(labelCol="lang", sizes={"text": 5000}, alpha=ALPHA).fit(df)
+    path = fresh_path(spark, "wide")
+    PipelineModel(stages=[stage]).write().save(path)
+    out = PipelineModel.load(path).transform(df)
+    p = stage.models[0].prefix
+    probs = [r6(f"{p}_p{i}").alias(f"p{i}") for i in range(len(stage.models[0].classes))]
+    names = {"pred": f"{p}_pred", "hit_count": f"{p}_hit_count", "zero_hit": f"{p}_zero_hit"}
+    return out.select("doc_id", *probs, *[F.col(c).alias(n) for n, c in names.items()])
+
+
+def nb_folds(spark, sf):
+    """Cross-validated accuracy of naive Bayes for two vocabulary sizes, best first."""
+    df = _roles(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "role", "text")
+    df = N.tokenized(P.stratified_kfold(df, "role", "row_id", 3, 42), ["text"])
+    counts = N.count_by_fold(df, "role", "fold", 3, {"text": VOCAB})
+    parts = []
+    for k in (VOCAB // 2, VOCAB):
+        for f, models in counts.models({"text": k}, ALPHA).items():
+            scored = N.score_texts(df.where(F.col("fold") == f), models)
+            hits = scored.groupBy("fold").agg(E.accuracy(f"{models[0].prefix}_pred", "role").alias("acc"))
+            parts.append(hits.withColumn("params", F.lit(f"k={k}")))
+    scores = reduce(DataFrame.unionByName, parts)
+    ranked = E.rank_results(E.summarise(scores, ["params"]))
+    place = F.row_number().over(Window.orderBy(F.desc("mean_val_acc"), F.asc("std_val_acc"), F.asc("params")))
+    rounded = [r6(F.get("fold_scores", F.lit(f))).alias(f"fold{f}") for f in range(3)]
+    return ranked.select(
+        "params", *rounded, r6("mean_val_acc").alias("mean_acc"), r6("std_val_acc").alias("std_acc"), place.alias("place")
+    )
+
+
 def text_accuracy(spark, sf):
     df = _roles(spark, sf)
     scores = PipelineModel(stages=[N.TextScoresModel(N.fit_text_models(df, "role", {"text": VOCAB}, ALPHA))])
@@ -505,7 +615,9 @@ ALL = {
     "normalize_text": normalize_text,
     "collapse_thousands": collapse_thousands,
     "text_flags": text_flags,
+    "text_patterns": text_patterns,
     "parse_money": money,
+    "parse_money_kinds": money_kinds,
     "ordinal_map": ordinal_map,
     "numeric_coerce": numeric_coerce,
     "bounded_scale": bounded_scale,
@@ -513,20 +625,25 @@ ALL = {
     "count_cap_events": count_cap_events,
     "missing_filter": missing_filter,
     "median_impute": median_impute,
+    "median_spiky": median_spiky,
     "audit_counts": audit_counts,
     "value_counts": value_counts,
     "clean_table": clean_table,
     "clean_audit": clean_audit,
+    "csv_round_trip": csv_round_trip,
     "tokenize": tokenize,
     "vocab_topk": vocab_topk,
     "multi_hot": multi_hot,
     "multi_hot_roles": multi_hot_roles,
+    "multi_hot_slugs": multi_hot_slugs,
     "hit_count": hit_count,
     "token_presence": token_presence,
     "nb_fit": nb_fit,
     "nb_fit_documents": nb_fit_documents,
     "nb_predict": nb_predict,
     "nb_predict_documents": nb_predict_documents,
+    "nb_predict_wide": nb_predict_wide,
+    "nb_folds": nb_folds,
     "text_accuracy": text_accuracy,
     "standardize": standardize,
     "feature_table": feature_table,
