@@ -20,8 +20,13 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+)
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surveyloom.operators.splits import hash_order
@@ -32,9 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 10_000
 CHUNK_ROWS = 10_000
-MAX_PIVOTS = 256
-# Below the first a single cell is faster; above it a pivot for so many rows each.
-ONE_CELL_ROWS = 20_000
+# Training rows for each pivot, and so in each cell on average.
 ROWS_PER_PIVOT = 4_000
 # Distances computed at once in a task: 64 MB of doubles.
 _CELLS_AT_ONCE = 8_000_000
@@ -161,7 +164,7 @@ def nearest(
     train, queries = materialise(train, "knn-train"), materialise(queries, "knn-queries")
     if pivots is None:
         n = train.count()
-        pivots = 1 if n <= ONE_CELL_ROWS else min(MAX_PIVOTS, math.ceil(n / ROWS_PER_PIVOT))
+        pivots = math.ceil(n / ROWS_PER_PIVOT)
     if pivots <= 1:
         train, queries = train.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
         cells = {0: {"n": train.count()}}
@@ -201,15 +204,16 @@ def nearest(
         asked.join(reach, "qid", "left")
         .withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
         .withColumn("go", F.explode(F.filter(ring, reachable)))
-        .select("qid", "x", F.col("go.cell").alias("cell"))
+        .select("qid", F.col("go.cell").alias("cell"))
     )
-    visits = materialise(visits, "knn-visits")
+    # ids alone are written; a vector joins its visits when they are made
+    visits = materialise(visits, "knn-visits").join(asked.select("qid", "x"), "qid").select("qid", "x", "cell")
     more = _meet(placed, visits, cells, k, p, block_rows, chunk_rows)
     return _best(found.unionByName(more), k)
 
 
 def vote(neighbours: DataFrame, weights: str = "distance") -> DataFrame:
-    """(qid, pred): class with the most weight, the smaller class on a tie.
+    """(qid, pred, nearest, farthest): class with the most weight, the smaller class on a tie.
 
     "distance" weighs by 1/distance; where neighbours at distance 0 exist only those vote.
     """
@@ -218,12 +222,17 @@ def vote(neighbours: DataFrame, weights: str = "distance") -> DataFrame:
         zero, weight = F.lit(0), F.count("*").cast("double")
     else:
         zero, weight = F.count_if(near == 0), F.coalesce(F.sum(F.when(near > 0, 1.0 / near)), F.lit(0.0))
-    per_class = neighbours.groupBy("qid", "y").agg(zero.alias("zero"), weight.alias("weight"))
+    per_class = neighbours.groupBy("qid", "y").agg(
+        zero.alias("zero"), weight.alias("weight"), F.min("dist").alias("lo"), F.max("dist").alias("hi")
+    )
     strength = F.struct(F.col("zero"), F.when(F.col("zero") == 0, F.col("weight")).otherwise(0.0).alias("w"))
     # max_by on (strength, -class) would need a negation for any type; two steps do not
     ranked = per_class.withColumn("s", strength)
     top = Window.partitionBy("qid").orderBy(F.desc("s"), F.asc("y"))
-    return ranked.withColumn("r", F.row_number().over(top)).filter(F.col("r") == 1).select("qid", F.col("y").alias("pred"))
+    own = Window.partitionBy("qid")
+    ends = {"nearest": F.min("lo").over(own), "farthest": F.max("hi").over(own)}
+    best = ranked.withColumns({"r": F.row_number().over(top), **ends}).filter(F.col("r") == 1)
+    return best.select("qid", F.col("y").alias("pred"), "nearest", "farthest")
 
 
 def _as_array(df: DataFrame, col: str) -> Column:
@@ -248,8 +257,22 @@ class _NeighbourParams(Params):
         )
 
 
+class _VectorsWriter(DefaultParamsWriter):
+    """Writes the training vectors beside the parameters."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.instance.vectors().write.parquet(f"{path}/vectors")
+
+
+class _VectorsReader(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        return model._set(table=f"{path}/vectors")
+
+
 class NeighboursModel(Model, _NeighbourParams, DefaultParamsReadable, DefaultParamsWritable):
-    """The training vectors stay a table in the shared folder; only its path is in the model.
+    """The training vectors are a table: in the shared folder after a fit, beside the parameters once saved.
 
     Unlike other models it runs jobs when it transforms: the reach of every
     query is known only after it met its own cell.
@@ -261,9 +284,19 @@ class NeighboursModel(Model, _NeighbourParams, DefaultParamsReadable, DefaultPar
         super().__init__()
         self._defaults()
 
+    def vectors(self) -> DataFrame:
+        return SparkSession.active().read.parquet(self.getOrDefault(self.table))
+
+    def write(self) -> DefaultParamsWriter:
+        return _VectorsWriter(self)
+
+    @classmethod
+    def read(cls) -> DefaultParamsReader:
+        return _VectorsReader(cls)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         get = self.getOrDefault
-        train = df.sparkSession.read.parquet(get(self.table))
+        train = self.vectors()
         queries = df.select(F.col(get(self.idCol)).alias("qid"), _as_array(df, get(self.featuresCol)).alias("x"))
         pred = vote(nearest(train, queries, get(self.k), get(self.p)), get(self.weights))
         pred = pred.select("qid", F.col("pred").cast("double").alias(get(self.predictionCol)))

@@ -262,6 +262,19 @@ def sql() -> dict[str, str]:
         for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     )
     held = "round_even(n * {0}::DOUBLE, 0)"
+    knn = f"""WITH split AS (SELECT vec_id, label, embedding, rn <= (CASE WHEN n >= 2
+                THEN greatest(1, least(n - 1, {held.format('0.8')})) ELSE {held.format('0.8')} END) AS is_train FROM
+                (SELECT *, count(*) OVER (PARTITION BY label) AS n,
+                    row_number() OVER (PARTITION BY label ORDER BY {keyed.format('vec_id')}, vec_id) AS rn FROM embeddings)),
+            dist AS (SELECT q.vec_id, t.vec_id AS tid, t.label, list_sum(list_transform(list_zip(q.embedding, t.embedding),
+                lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM split q JOIN split t ON NOT q.is_train AND t.is_train),
+            near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, tid) AS r FROM dist) WHERE r <= 27),
+            votes AS (SELECT vec_id, label, count(*) FILTER (WHERE d = 0) AS z, sum(CASE WHEN d > 0 THEN 1 / d ELSE 0 END) AS w
+                FROM near GROUP BY 1, 2),
+            best AS (SELECT vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id
+                ORDER BY z DESC, CASE WHEN z = 0 THEN w ELSE 0 END DESC, label) AS r FROM votes) WHERE r = 1)
+            SELECT vec_id, pred, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest
+            FROM near JOIN best USING (vec_id) GROUP BY vec_id, pred"""
     return {
         "schema_complete": "SELECT *, CAST(NULL AS VARCHAR) AS c_phone, CAST(NULL AS VARCHAR) AS c_comment FROM customer",
         "normalize_text": f"SELECT doc_id, {NORMAL} AS text FROM documents",
@@ -366,19 +379,8 @@ def sql() -> dict[str, str]:
         "holdout_random": f"""SELECT event_id, event_type, rn <= {held.format('0.85')} AS is_train FROM
             (SELECT event_id, event_type, count(*) OVER () AS n,
                 row_number() OVER (ORDER BY {keyed.format('event_id')}, event_id) AS rn FROM events)""",
-        "knn": f"""WITH split AS (SELECT vec_id, label, embedding, rn <= (CASE WHEN n >= 2
-                THEN greatest(1, least(n - 1, {held.format('0.8')})) ELSE {held.format('0.8')} END) AS is_train FROM
-                (SELECT *, count(*) OVER (PARTITION BY label) AS n,
-                    row_number() OVER (PARTITION BY label ORDER BY {keyed.format('vec_id')}, vec_id) AS rn FROM embeddings)),
-            dist AS (SELECT q.vec_id, t.vec_id AS tid, t.label, list_sum(list_transform(list_zip(q.embedding, t.embedding),
-                lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM split q JOIN split t ON NOT q.is_train AND t.is_train),
-            near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, tid) AS r FROM dist) WHERE r <= 27),
-            votes AS (SELECT vec_id, label, count(*) FILTER (WHERE d = 0) AS z, sum(CASE WHEN d > 0 THEN 1 / d ELSE 0 END) AS w
-                FROM near GROUP BY 1, 2),
-            best AS (SELECT vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id
-                ORDER BY z DESC, CASE WHEN z = 0 THEN w ELSE 0 END DESC, label) AS r FROM votes) WHERE r = 1)
-            SELECT vec_id, pred, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest
-            FROM near JOIN best USING (vec_id) GROUP BY vec_id, pred""",
+        "knn": knn,
+        "knn_cells": knn,
         "score_batch": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
         "score_stream": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
     }

@@ -496,7 +496,7 @@ def holdout_random(spark, sf):
 # ---- classifiers
 
 
-def knn(spark, sf):
+def knn(spark, sf, **layout):
     """Every vector takes part: four fifths of each class are the training rows of the rest."""
     df = table(spark, sf, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("x")
@@ -504,16 +504,17 @@ def knn(spark, sf):
     split = P.holdout(df, "label", "vec_id", 0.8, 42)
     train = split.filter("is_train").select(F.col("vec_id").alias("tid"), F.col("label").alias("y"), "x")
     queries = split.filter("NOT is_train").select(F.col("vec_id").alias("qid"), "x")
-    near = G.nearest(train, queries, 27, 1)
-    spread = near.groupBy("qid").agg(
-        F.min("dist").alias("nearest"), F.max("dist").alias("farthest")
-    )
-    votes = G.vote(near, "distance")
-    return votes.join(spread, "qid").select(
+    votes = G.vote(G.nearest(train, queries, 27, 1, **layout), "distance")
+    return votes.select(
         F.col("qid").alias("vec_id"), "pred", r6("nearest").alias("nearest"), r6("farthest").alias("farthest")
     )
 
 
+def knn_cells(spark, sf):
+    """The same search through cells around pivots, in blocks."""
+    return knn(spark, sf, pivots=8, block_rows=200, chunk_rows=100)
+
+
 def _role_table(spark, sf) -> tuple[DataFrame, T.Layout]:
     df = _roles(spark, sf).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
@@ -652,6 +653,7 @@ ALL = {
     "holdout": holdout,
     "holdout_random": holdout_random,
     "knn": knn,
+    "knn_cells": knn_cells,
     "knn_roles": knn_roles,
     "logistic": logistic,
     "forest": forest,

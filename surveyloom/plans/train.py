@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -60,6 +59,8 @@ class Recipe:
     params: dict = field(default_factory=dict)
     multihot: bool = True
     standardize: bool | None = None
+    # partitions of the rows in a fit; None: as many as a shuffle has
+    partitions: int | None = None
 
     @property
     def include_pred(self) -> bool:
@@ -149,22 +150,19 @@ def classifier(recipe: Recipe, layout: Layout):
     raise ValueError(f"unknown classifier {recipe.kind}")
 
 
-# A task of an iterative fit should have at least about so many rows to work on.
-ROWS_PER_TASK = 20_000
+def arranged(df: DataFrame, row_id: str, partitions: int | None = None) -> DataFrame:
+    """Rows in partitions by hash of their id, sorted by it, however they came.
 
-
-def packed(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Few partitions for few rows, so that iterations do not pay for idle tasks.
-
-    Merges neighbouring partitions without a shuffle and changes nothing once
-    there are enough rows for the partitions there are.
+    Fits that draw rows by partition (a forest's bags) then depend on the rows
+    alone. ``partitions`` is the session's number of shuffle partitions unless given.
     """
-    return df.coalesce(max(1, math.ceil(df.count() / rows_per_task)))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, row_id).sortWithinPartitions(row_id)
 
 
 def fit_classifier(scored: DataFrame, recipe: Recipe, layout: Layout, exclude: Sequence[str] = (), fold: int = 0):
     """Feature vector and classifier on a table that has its scores."""
-    scored = packed(scored)
+    scored = arranged(scored, layout.row_id, recipe.partitions)
     subset, seed = 0, 42
     if recipe.kind == "knn":
         subset = recipe.params.get("subset_size", KNN_PARAMS["subset_size"]) or 0

@@ -167,12 +167,23 @@ def test_fold_summary(spark):
     assert got["a"]["fold_scores"] == [1.0, 0.5] and math.isclose(got["a"]["std_val_acc"], 0.25)
 
 
-def test_neighbours_model_keeps_only_a_path(spark, cleaned):
+def test_forest_depends_on_the_rows_alone(spark, cleaned):
+    rows = cleaned.withColumn("row_id", F.xxhash64(*cleaned.columns)).dropDuplicates(["row_id"])
+    recipe = T.Recipe("forest", T.PRESETS["forest"].train, {"trees": 5}).with_(**SMALL)
+    found = []
+    for parts in (1, 9):
+        df = rows.repartition(parts)
+        found.append({r["row_id"]: r["prediction"] for r in T.train(df, recipe).transform(df).collect()})
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_saved_neighbours_model_holds_its_rows(spark, cleaned):
     model = T.train(cleaned, T.PRESETS["knn"].with_(**SMALL))
     path = fresh_path(spark, "knn-model")
     T.save_model(model, path)
     again = T.load_model(path)
     assert isinstance(again.stages[-1], NeighboursModel)
+    assert again.stages[-1].getOrDefault("table").startswith(path)
     a = {r["row_id"]: r["prediction"] for r in model.transform(cleaned).collect()}
     assert {r["row_id"]: r["prediction"] for r in again.transform(cleaned).collect()} == a
 
