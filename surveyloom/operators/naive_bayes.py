@@ -67,8 +67,11 @@ def tokenized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Tokenizing costs far more than reading the tokens back, so whoever counts
     and scores the same rows does it first. Counting and scoring take a text
-    column in either form.
+    column in either form; a table whose columns are tokens already is returned as it is.
     """
+    columns = [c for c in columns if not isinstance(df.schema[c].dataType, T.ArrayType)]
+    if not columns:
+        return df
     return materialise(spread(df).withColumns({c: vocab_tokens(F.col(c)) for c in columns}), "tokens")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import statistics
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict
 from itertools import product
@@ -27,8 +26,6 @@ from surveyloom.plans.train import (
 )
 from surveyloom.session import materialise
 
-RESULT = "kind string, params string, fold_scores array<double>, mean_val_acc double, std_val_acc double"
-
 
 def accuracy(pred: str = "prediction", label: str = "label") -> Column:
     return F.avg((F.col(pred) == F.col(label)).cast("double"))
@@ -122,11 +119,9 @@ def cross_validate(
 
         scored = _at_once(df, score, range(n_splits), parallelism)
         _at_once(df, fit, list(product(range(n_splits), members)), parallelism)
-    rows = [
-        (r.kind, describe(r), scores[i], statistics.fmean(scores[i]), statistics.pstdev(scores[i]))
-        for i, r in enumerate(recipes)
-    ]
-    return df.sparkSession.createDataFrame(rows, RESULT)
+    rows = [(i, r.kind, describe(r), f, scores[i][f]) for i, r in enumerate(recipes) for f in range(n_splits)]
+    per_fold = df.sparkSession.createDataFrame(rows, "i int, kind string, params string, fold int, acc double")
+    return summarise(per_fold, ["i", "kind", "params"]).orderBy("i").drop("i")
 
 
 def expand_grid(base: Recipe, grid: Mapping[str, Iterable]) -> list[Recipe]:
@@ -172,10 +167,10 @@ def evaluate_holdout(
     stratify: bool = True,
 ) -> dict:
     """Training and validation accuracy of one split."""
-    df = identified(df, layout)
-    split = tokenized(
-        holdout(df, layout.label, layout.row_id, train_size, seed, stratify), layout.plain_texts
-    )
+    df = tokenized(identified(df, layout), layout.plain_texts)
+    # the split is ids alone, drawn apart from the texts
+    ids = holdout(df.select(layout.row_id, layout.label), layout.label, layout.row_id, train_size, seed, stratify)
+    split = df.join(materialise(ids.select(layout.row_id, "is_train"), "split"), layout.row_id)
     scores = fit_scores(split.filter("is_train"), recipe, layout)
     scored = materialise(scores.transform(split).drop(*layout.texts, *layout.multi_selects), "scored")
     fitted = fit_classifier(scored.filter("is_train"), recipe, layout, exclude=["is_train"])
@@ -200,7 +195,8 @@ def evaluate_holdout(
 
 
 def repeated_holdout(df: DataFrame, recipe: Recipe, seeds: Iterable, layout: Layout = Layout(), **kwargs) -> DataFrame:
-    """One row per seed."""
+    """One row per seed; texts are tokenized once for all of them."""
+    df = tokenized(identified(df, layout), layout.plain_texts)
     rows = _at_once(df, lambda s: evaluate_holdout(df, recipe, layout, seed=s, **kwargs), list(seeds), 8)
     cols = ["kind", "params", "seed", "train_rows", "val_rows", "train_acc", "val_acc"]
     return df.sparkSession.createDataFrame(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -59,8 +60,8 @@ class Recipe:
     params: dict = field(default_factory=dict)
     multihot: bool = True
     standardize: bool | None = None
-    # partitions of the rows in a fit; None: as many as a shuffle has
-    partitions: int | None = None
+    # rows of a fit that one task works on in each iteration
+    rows_per_partition: int = 10_000
 
     @property
     def include_pred(self) -> bool:
@@ -150,19 +151,19 @@ def classifier(recipe: Recipe, layout: Layout):
     raise ValueError(f"unknown classifier {recipe.kind}")
 
 
-def arranged(df: DataFrame, row_id: str, partitions: int | None = None) -> DataFrame:
+def arranged(df: DataFrame, row_id: str, rows_per_partition: int) -> DataFrame:
     """Rows in partitions by hash of their id, sorted by it, however they came.
 
     Fits that draw rows by partition (a forest's bags) then depend on the rows
-    alone. ``partitions`` is the session's number of shuffle partitions unless given.
+    and the argument alone, not on how the table was cut.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, math.ceil(df.count() / rows_per_partition))
     return df.repartition(n, row_id).sortWithinPartitions(row_id)
 
 
 def fit_classifier(scored: DataFrame, recipe: Recipe, layout: Layout, exclude: Sequence[str] = (), fold: int = 0):
     """Feature vector and classifier on a table that has its scores."""
-    scored = arranged(scored, layout.row_id, recipe.partitions)
+    scored = arranged(scored, layout.row_id, recipe.rows_per_partition)
     subset, seed = 0, 42
     if recipe.kind == "knn":
         subset = recipe.params.get("subset_size", KNN_PARAMS["subset_size"]) or 0

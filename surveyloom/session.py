@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table below this size may be shuffled to put all cores to work.
-SPREAD_BYTES = 1 << 30
-
 
 def local_session(cpus: str = "8", app: str = "surveyloom", memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the one you have."""
@@ -67,18 +64,18 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
     """Hand a small table in few files to all cores before costly work per row.
 
     Such a table often is one row group and would be one task. Tables of many
-    files or above SPREAD_BYTES are left as they are: they have tasks enough,
-    and shuffling them would cost more than it saves.
+    files or above ``most_bytes`` are left as they are: they have tasks enough,
+    and shuffling them would cost more than it saves. Results are the same.
     """
-    if df.isStreaming:
+    if df.isStreaming or not most_bytes:
         return df
     spark = df.sparkSession
     cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
     if not 0 < len(files) <= cores // 2:
         return df
     size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    return df.repartition(cores) if size <= SPREAD_BYTES else df
+    return df.repartition(cores) if size <= most_bytes else df

@@ -5,7 +5,7 @@ import pytest
 from surveyloom import session as S
 
 
-def test_spread_leaves_other_tables_alone(spark, tmp_path, monkeypatch):
+def test_spread_leaves_other_tables_alone(spark, tmp_path):
     path = str(tmp_path / "one")
     spark.range(100).coalesce(1).write.parquet(path)
     one = spark.read.parquet(path)
@@ -14,8 +14,7 @@ def test_spread_leaves_other_tables_alone(spark, tmp_path, monkeypatch):
     assert S.spread(one).count() == 100
     memory = spark.range(10)
     assert S.spread(memory) is memory
-    monkeypatch.setattr(S, "SPREAD_BYTES", 0)
-    assert S.spread(one) is one
+    assert S.spread(one, 0) is one and S.spread(one, 1) is one
 
 
 def session_like(configured, current, master):
