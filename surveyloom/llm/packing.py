@@ -27,6 +27,8 @@ DDL = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, o
 MERGED = 1 << 62
 # words kept with their ids for the next batch; more are encoded once per batch
 KEPT_WORDS = 400_000
+# text tokenized at once; its arrays take some ten times as much
+TEXT_BYTES = 6 << 20
 _PUNCTUATION = ".,!?;:|"
 
 
@@ -95,9 +97,12 @@ def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndar
     first = np.cumsum(size) - size
     per_word = size[ids]
     ends = np.concatenate(([0], np.cumsum(per_word)))[bounds]
-    out = flat[ranges(first[ids], per_word)]
-    out = np.insert(out, ends[1:], np.uint32(end_id))
-    return out, ends + np.arange(len(bounds))
+    bounds = ends + np.arange(len(bounds))
+    out = np.full(bounds[-1], end_id, np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[bounds[1:] - 1] = False
+    out[inner] = flat.take(ranges(first[ids], per_word))
+    return out, bounds
 
 
 class Packer:
@@ -175,7 +180,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(length, windows, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 ids, bounds = encode(part.column("text"), tokenizer_path, end_id)
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     packer.add(doc, ids[a:b])

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 SLICE_ROWS = 20_000
 
 
@@ -51,10 +51,11 @@ def split(texts: pa.Array, breaks: tuple[str, ...] = ("\n", "\t", "\r")) -> tupl
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All positions of the ranges [start, start + length), one range after the other."""
     total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
     shift = np.cumsum(lengths) - lengths
-    return np.repeat(starts - shift, lengths) + np.arange(total)
+    out = np.repeat((starts - shift).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
