@@ -36,11 +36,11 @@ def test_hostile_rows(spark, hostile):
             assert r[c] is not None
         assert 1 <= r["intensity"] <= 10 and 0 <= r["colours"] <= 20 and 0 <= r["objects"] <= 50
     assert rows[2]["colours"] == 20 and rows[2]["objects"] == 0 and rows[2]["payment"] == 324_000_000
-    assert rows[2]["label"] == 1 and rows[1]["label"] is None
-    assert rows[3]["payment"] == 0 and rows[5]["payment"] == 0 and rows[6]["payment"] == 200
-    assert [rows[6][c] for c in SURVEY.ordinals] == [2, 4, 5, 2]
+    assert rows[2]["label"] == 2 and rows[1]["label"] is None
+    assert rows[3]["payment"] == 0 and rows[5]["payment"] == 0 and rows[6]["payment"] == 75
+    assert [rows[6][c] for c in SURVEY.ordinals] == [1, 3, 4, 2]
     # medians of the rows themselves: one known intensity
-    assert rows[0]["intensity"] == 7
+    assert rows[0]["intensity"] == 4
 
 
 def test_lone_record_takes_defaults(spark, hostile):
