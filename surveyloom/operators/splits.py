@@ -20,7 +20,6 @@ from surveyloom.session import materialise
 HASH_DIGITS = 3
 # A key with more than this share of the rows is handled apart in group splits.
 HOT_SHARE = 1.0 / 256
-_SALTS = 64
 
 
 def hash_order(seed, *ids: Column) -> Column:
@@ -138,26 +137,16 @@ def attach_by_key(df: DataFrame, table: DataFrame, key: str, value: str, rows: s
     """Left join of one value per key that survives a hot key.
 
     ``table`` has one row per key, with the number of its rows in ``df``. Keys
-    above the hot share are fewer than 1/HOT_SHARE by that definition and
-    travel as a broadcast; their rows get a salt instead of meeting in one task.
+    above the hot share are fewer than 1/HOT_SHARE by that definition; their rows
+    meet them as a broadcast and never move. All other rows are joined by key.
     """
     limit = max(1.0, (table.agg(F.sum(rows)).first()[0] or 0) * HOT_SHARE)
-    hot = table.filter(F.col(rows) > limit).select(
-        F.col(key).alias("_hk"), F.col(value).alias("_hv")
-    )
-    cold = table.filter(F.col(rows) <= limit).select(
-        F.col(key).alias("_ck"), F.lit(0).alias("_cs"), F.col(value).alias("_cv")
-    )
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) + F.spark_partition_id(), F.lit(_SALTS))
-    marked = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left").withColumn(
-        "_s", F.when(F.col("_hv").isNotNull(), salt.cast("int") + 1).otherwise(0)
-    )
-    joined = marked.join(
-        cold, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left"
-    )
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns], F.coalesce("_hv", "_cv").alias(value)
-    )
+    mine = table.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(rows).alias("_n"))
+    hot, cold = F.broadcast(mine.filter(F.col("_n") > limit)), mine.filter(F.col("_n") <= limit)
+    here = F.col(key).eqNullSafe(F.col("_k"))
+    names = [*[F.col(f"`{c}`") for c in df.columns], F.col("_v").alias(value)]
+    others = df.join(hot, here, "left_anti")
+    return df.join(hot, here).select(*names).unionByName(others.join(cold, here, "left").select(*names))
 
 
 def holdout(
