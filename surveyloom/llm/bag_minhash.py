@@ -17,6 +17,11 @@ from surveyloom.llm.words import slices, split
 # 24 bands of 6 values: a pair of similarity 0.8 shares a band with probability 0.9993
 BANDS = 24
 ROWS = 6
+# Pairs whose BagMinHash values agree less than this much below the similarity are not compared
+# exactly: four deviations of the estimate, so one link in 30,000 at the very threshold.
+SLACK = 0.14
+# Ids of documents that share a bucket up to this number (some 100 MB) are broadcast to the texts.
+BROADCAST_IDS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,18 +124,22 @@ def fingerprints(text, h, count, n_texts: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """(id, f1, f2, n, bands) of each row: fingerprint and number of its shingles, hashes of its bands."""
+    """(id, f1, f2, n, bands, marks) of each row: fingerprint and number of its shingles, hashes of its bands, a byte of each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 t, h, c = bags(*shingles(part.column("text"), width))
                 f1, f2, n = fingerprints(t, h, c, part.num_rows)
-                b = bands(signatures(t, h, c, part.num_rows, BANDS * ROWS), BANDS)
+                values = signatures(t, h, c, part.num_rows, BANDS * ROWS)
+                b = bands(values, BANDS)
+                marks = mix(values.view(np.uint64)).astype(np.uint8).view(np.int8)
                 lists = pa.ListArray.from_arrays(np.arange(0, b.size + 1, BANDS, dtype=np.int32), pa.array(b.ravel()))
-                yield pa.record_batch([part.column("id"), pa.array(f1), pa.array(f2), pa.array(n), lists], names=["id", "f1", "f2", "n", "bands"])
+                marks = pa.ListArray.from_arrays(np.arange(0, marks.size + 1, BANDS * ROWS, dtype=np.int32), pa.array(marks.ravel()))
+                columns = [part.column("id"), pa.array(f1), pa.array(f2), pa.array(n), lists, marks]
+                yield pa.record_batch(columns, names=["id", "f1", "f2", "n", "bands", "marks"])
 
-    return docs.mapInArrow(run, "id long, f1 long, f2 long, n long, bands array<long>")
+    return docs.mapInArrow(run, "id long, f1 long, f2 long, n long, bands array<long>, marks array<tinyint>")
 
 
 def _bagged(docs: DataFrame, width: int) -> DataFrame:
@@ -150,6 +159,32 @@ def _bagged(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, bag binary")
 
 
+def _likely(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose values agree often enough to be worth an exact look."""
+    met = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a")
+    met = met.join(marks.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
+    same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
+    return met.where(same >= (similarity - SLACK) * BANDS * ROWS).select("a", "b")
+
+
+def _leads(now: DataFrame, turn: int, draws: int) -> DataFrame:
+    """(band, h, lead, lead_class, lead_n): the drawn members of every bucket with more than one class.
+
+    Even draws pick a class by hash and take its smallest member, odd ones pick a member.
+    """
+    what = [F.col("class").alias("lead_class"), F.col("node").alias("lead"), F.col("n").alias("lead_n")]
+    picks = []
+    for i in range(draws):
+        by = ["class"] if i % 2 == 0 else ["class", "node"]
+        draw = F.xxhash64("band", "h", *by, F.lit(turn), F.lit(i)).alias("d")
+        picks.append(F.min(F.struct(draw, *what)))
+    lead = now.groupBy("band", "h").agg(
+        F.array(*picks).alias("leads"), F.min("class").alias("c1"), F.max("class").alias("c2")
+    )
+    lead = lead.where("c1 < c2").select("band", "h", F.explode(F.array_distinct("leads")).alias("l"))
+    return lead.select("band", "h", "l.lead_class", "l.lead", "l.lead_n")
+
+
 def _verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough."""
 
@@ -172,17 +207,18 @@ def _verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame
 
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-    most_rounds: int = 6,
+    most_rounds: int = 3, draws: int = 6,
 ) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class) and kept (whether it is that one).
 
     A document is the multiset of its runs of ``width`` words (as they stand
     between white space; a shorter text is one run). Rows of equal multisets are
-    one candidate. BagMinHash values in bands give buckets. In each round every
-    bucket elects one of its classes, drawn by hash, and its smallest member is
-    compared exactly with the members of all other classes there: a bucket of any
-    size costs as many comparisons as it has members. Classes are components of
-    the verified links. Rounds go on while they find links, ``most_rounds`` at most.
+    one candidate. BagMinHash values in bands give buckets. In the first round every
+    bucket draws one member, in each later one ``draws`` of them, by hash; a drawn
+    member is compared with the members of all other classes there, so a bucket of
+    any size costs a fixed number of comparisons for each of its members. Pairs
+    whose values agree often enough are compared exactly. Classes are components
+    of the verified links. Rounds go on while they find links, ``most_rounds`` at most.
 
     Null or empty text and null ids have no links; such a row is a class of its own
     (null for a null id). Rows of one id are one node of the graph. No rows: none.
@@ -193,30 +229,32 @@ def near_classes(
     signed = written(_signed(slim, width), "near-signatures")
     real = signed.where("n > 0 and id is not null")
     groups = written(
-        real.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "near-groups"
+        real.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "near-groups"
     )
     rows = groups.select("node", "n", F.posexplode("bands").alias("band", "h"))
     shared = rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     members = written(rows.join(shared, ["band", "h"]), "near-members")
-    crowd = members.select("node").distinct()
+    crowd = written(members.select("node").distinct(), "near-crowd")
+    few = crowd.count() <= BROADCAST_IDS
+    known = F.broadcast(crowd) if few else crowd
+    texts = slim.join(known, F.col("id") == F.col("node"), "left_semi")
+    marks = written(groups.select("node", "marks").join(known, "node", "left_semi"), "near-marks")
     # one row per node, whatever repeats its id
-    texts = slim.join(crowd, F.col("id") == F.col("node"), "left_semi")
     data = written(_bagged(texts, width).groupBy("id").agg(F.min("bag").alias("bag")), "near-bags")
     classes, links = members.select("node", F.col("node").alias("class")).where("false"), None
     for turn in range(most_rounds):
         now = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        draw = F.struct(F.xxhash64("band", "h", "class", F.lit(turn)).alias("d"), F.col("class").alias("lead_class"), F.col("node").alias("lead"), F.col("n").alias("lead_n"))
-        lead = now.groupBy("band", "h").agg(F.min(draw).alias("l"), F.min("class").alias("c1"), F.max("class").alias("c2"))
-        lead = lead.where("c1 < c2").select("band", "h", "l.*").drop("d")
+        lead = _leads(now, turn, draws if turn else 1)
         pairs = now.join(lead, ["band", "h"]).where(
             (F.col("class") != F.col("lead_class")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n"))
         )
         pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        pairs = written(_likely(pairs, marks, similarity), f"near-pairs-{turn}")
         new = written(_verified(pairs, data, similarity), f"near-links-{turn}")
         links = new if links is None else links.union(new)
         found = new.count()
         if not found and turn:
-            break
+            break  # nothing is left to be joined
         if found:
             classes = written(
                 components(links, f"near-classes-{turn}").select("node", F.col("component").alias("class")), f"near-classes-{turn}"
