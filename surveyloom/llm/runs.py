@@ -52,12 +52,12 @@ def without_runs(
     again. Adds ``count`` (units of the text), ``removed`` and, if named,
     ``spans`` (covered positions). A null text stays null and has 0 units.
     """
-    words = lambda x: F.regexp_count(x, F.lit(r"\S+"))
+    words = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
     hashed = F.transform(
         parts(F.col("_t")),
         lambda x: F.struct(
             F.xxhash64(unit(x)).alias("a"), F.xxhash64(F.lit(7), unit(x)).alias("b"),
-            (words(x) if min_words else (F.length(unit(x)) > 0).cast("int")).alias("words"),
+            (words(unit(x)) if min_words else (F.length(unit(x)) > 0).cast("int")).alias("words"),
         ),
     )
     slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_t")).where("_t is not null")

@@ -27,6 +27,6 @@ def dedup_spans(
     """
     return without_runs(
         docs, id_col, text_col, lambda t: F.split(t, _ENDS, -1), "", sentences, min_words,
-        unit=lambda x: F.trim(F.regexp_replace(x, r"\s+$", "")), count="n_sentences",
+        unit=lambda x: F.btrim(x, F.lit(" \t\r\n")), count="n_sentences",
         removed="n_removed", spans="removed",
     )
