@@ -84,7 +84,7 @@ def schedule(targets: DataFrame, slots: int = 1 << 20) -> tuple[DataFrame, int]:
 
 def mix(
     docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2),
-    share: float = 1.5, cap: int = 2, slots: int = 1 << 20, seed: str = "mix",
+    share: float = 1.5, cap: int = 2, slots: int = 1 << 20, seed: str = "mix", exact: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.
 
@@ -94,6 +94,12 @@ def mix(
     after the last, ``cap`` times at most. ``taken`` counts a document's words
     in all blocks taken, so it is at most ``cap`` times its size.
 
+    Above ``slots`` words of target a block is more than a word, and a source gets
+    whole blocks only, so one smaller than a block may get nothing; the SQL below
+    is that rule. ``exact`` takes as many blocks of each source as its target
+    needs and cuts the last one: as blocks are taken in the order of the stream,
+    that is its stream from the start, and again, up to the target's words.
+
     Null text: size 0, nothing taken. Null source: a source of its own, the last.
     Null ids are ordinary ids. Rows that agree in id and size are laid one after
     the other. No rows: none. Other columns of ``docs`` play no part.
@@ -101,7 +107,6 @@ def mix(
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = written(sized(docs, id_col, text_col, source_col).withColumn("hash", order), "mix-sizes")
     targets = source_targets(docs, weights, share, cap)
-    slot, block = schedule(targets, slots)
     buckets = max(1, math.ceil(docs.count() / ROWS_PER_BUCKET))
     place = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * buckets
     t = targets.select(F.col("source").alias("_s"), "no", "source_size", "target")
@@ -109,6 +114,12 @@ def mix(
     rows = rows.withColumn("bucket", F.shiftright(place, 32))
     none = rows.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     laid = running_total(rows.where("size > 0"), ["no"], "bucket", ["hash", "doc_id", "size"], "size", "at")
+    if exact:
+        goal = F.least(F.floor(F.col("target") + 0.5), F.lit(cap) * F.col("source_size"))
+        part = F.least(F.greatest(goal % F.col("source_size") - F.col("at"), F.lit(0)), "size")
+        taken = (F.floor(goal / F.col("source_size")) * F.col("size") + part).cast("long").alias("taken")
+        return laid.select("doc_id", "source", "size", "source_size", "target", taken).unionByName(none)
+    slot, block = schedule(targets, slots)
     end = F.col("at") + F.col("size")
     first, last = F.floor(F.col("at") / block), F.floor((end - 1) / block)
     pieces = laid.withColumn("block", F.explode(F.sequence(first, last)))

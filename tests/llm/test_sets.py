@@ -171,6 +171,30 @@ def test_mix_stays_near_its_targets(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+@pytest.mark.parametrize("slots", [64, 1 << 20])
+def test_exact_mix_gives_small_sources_their_targets(spark, slots):
+    rows = [(i, "word " * 500, "big") for i in range(40)] + [(100 + i, "few " * 10, f"s{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = defaultdict(list)
+    for r in mixing.mix(df, slots=slots, exact=True).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        by[r.source].append(r)
+    assert len(by) == 6
+    for rs in by.values():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 0.5
+    assert all(r.taken == 20 for s, rs in by.items() if s != "big" for r in rs)
+
+
+def test_mixing_stage_keeps_small_sources_of_large_corpora(spark):
+    rows = [(i, "word " * 20_000, "en", "big", 100_000) for i in range(120)]
+    rows += [(1000 + i, "few", "en", f"small{i}", 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = defaultdict(int)
+    for r in dict(corpus_pipeline.STAGES)["source_mixing"](spark, docs, H.SF).select("source").collect():
+        got[r.source] += 1
+    assert {s: n for s, n in got.items() if s != "big"} == {f"small{i}": 2 for i in range(20)}
+
+
 def test_mix_hazards(spark):
     df = H.hazards(spark)
     rows = mixing.mix(df).collect()
