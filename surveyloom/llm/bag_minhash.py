@@ -22,6 +22,10 @@ ROWS = 6
 SLACK = 0.14
 # Ids of documents that share a bucket up to this number (some 100 MB) are broadcast to the texts.
 BROADCAST_IDS = 2_000_000
+# Frequencies of shingles are counted in so many bins; a prefix starts with the rarest.
+BINS = 1 << 20
+# Documents that share a prefix item meet in blocks of about this many.
+BLOCK = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,6 +209,74 @@ def _verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
 
+def _crowded(bags: DataFrame) -> np.ndarray:
+    """How many items of ``bags`` fall into each bin, the same for every task that ranks items by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for x in batch.column("bag"):
+                total += np.bincount((np.frombuffer(x.as_py(), np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bin", "n"])
+
+    got = bags.select("bag").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BINS, np.int64)
+    out[got.column("bin").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
+    """(node, class, n, at, item): the first items of each multiset, rarest first.
+
+    Two multisets that reach ``similarity`` share one of them, whatever the order
+    is, as long as it is the same for all.
+    """
+    crowded = bags.sparkSession.sparkContext.broadcast(_crowded(bags))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at, items = [], [], []
+            for i, x in enumerate(batch.column("bag")):
+                bag = np.frombuffer(x.as_py(), np.uint64)
+                seen = crowded.value[(bag % np.uint64(BINS)).astype(np.int64)]
+                least = int(np.ceil(similarity * len(bag) - 1e-9))
+                first = bag[np.lexsort((bag, seen))[: len(bag) - least + 1]]
+                rows.append(np.full(len(first), i))
+                at.append(np.arange(len(first)))
+                items.append(first)
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                columns = [batch.column(c).take(take) for c in ("node", "class", "n")]
+                columns += [pa.array(np.concatenate(at)), pa.array(np.concatenate(items).view(np.int64))]
+                yield pa.record_batch(columns, names=["node", "class", "n", "at", "item"])
+
+    return bags.select("node", "class", "n", "bag").mapInArrow(run, "node long, class long, n long, at long, item long")
+
+
+def _left(now: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different classes that may reach ``similarity``, of all members of buckets with several classes.
+
+    A prefix-filter join: the pairs share an item of their prefixes, and what
+    follows their first common item is long enough. None that reaches it is left out.
+    """
+    mixed = now.groupBy("band", "h").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 < c2")
+    still = now.join(mixed.select("band", "h"), ["band", "h"]).select("node", "class", "n").distinct()
+    bags = written(still.join(data.select(F.col("id").alias("node"), "bag"), "node"), "near-open")
+    rows = written(_prefixes(bags, similarity), "near-prefixes")
+    met = rows.groupBy("item").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("c1"), F.max("class").alias("c2"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    rows = rows.join(met.where("c1 < c2").select("item", blocks), "item")
+    one = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    all_ = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = one.select("item", "block", *[F.col(c).alias(f"{c}_x") for c in ("node", "class", "n", "at")])
+    y = all_.select("item", "block", *[F.col(c).alias(f"{c}_y") for c in ("node", "class", "n", "at")])
+    both = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    most = both >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6
+    pairs = x.join(y, ["item", "block"]).where((F.col("node_x") < F.col("node_y")) & (F.col("class_x") != F.col("class_y")) & most)
+    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
     most_rounds: int = 3, draws: int = 6,
@@ -217,8 +289,11 @@ def near_classes(
     bucket draws one member, in each later one ``draws`` of them, by hash; a drawn
     member is compared with the members of all other classes there, so a bucket of
     any size costs a fixed number of comparisons for each of its members. Pairs
-    whose values agree often enough are compared exactly. Classes are components
-    of the verified links. Rounds go on while they find links, ``most_rounds`` at most.
+    whose values agree often enough are compared exactly. Rounds go on while they
+    find links, ``most_rounds`` at most. What they leave is finished exactly: all
+    members of buckets that still hold several classes are joined on the rarest
+    items of their multisets, so that every pair of different classes there that
+    reaches ``similarity`` is compared. Classes are components of the verified links.
 
     Null or empty text and null ids have no links; such a row is a class of its own
     (null for a null id). Rows of one id are one node of the graph. No rows: none.
@@ -253,12 +328,18 @@ def near_classes(
         new = written(_verified(pairs, data, similarity), f"near-links-{turn}")
         links = new if links is None else links.union(new)
         found = new.count()
-        if not found and turn:
-            break  # nothing is left to be joined
         if found:
             classes = written(
                 components(links, f"near-classes-{turn}").select("node", F.col("component").alias("class")), f"near-classes-{turn}"
             )
+        elif turn:
+            break  # draws find no more
+    now = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    new = written(_verified(written(_left(now, data, similarity), "near-pairs-left"), data, similarity), "near-links-left")
+    if new.count():
+        classes = written(
+            components(links.union(new), "near-classes-left").select("node", F.col("component").alias("class")), "near-classes-left"
+        )
     of = groups.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("n").alias("a3"), "node")
     of = of.join(classes, "node", "left").select("a1", "a2", "a3", F.coalesce("class", "node").alias("class"))
     on = every([signed["f1"] == of["a1"], signed["f2"] == of["a2"], signed["n"] == of["a3"], signed["id"].isNotNull()])

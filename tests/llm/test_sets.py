@@ -70,6 +70,29 @@ def test_large_groups_of_near_copies(spark):
     assert {got[i] for i in range(60)} == {0} and {got[200 + i] for i in range(50)} == {200} and got[301] == 300 and got[302] == 302
 
 
+def test_few_links_in_a_large_group_are_all_found(spark):
+    # pairs of copies (similarity 0.97) in one family whose other pairs lie around 0.74
+    rng = np.random.default_rng(5)
+    docs = []
+    for k in range(400):
+        words = [f"w{i}" for i in range(400)]
+        for i in rng.choice(np.arange(2, 395, 6), 7, replace=False):
+            docs.append((2 * k, " ".join(words)))
+            words[i] = f"own{k}x{i}"
+        docs[-7:] = [docs[-1], (2 * k + 1, " ".join(words))]
+    got = {r.doc_id: r.class_id for r in bag_minhash.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    runs = [{tuple(w[i : i + 5]) for i in range(396)} for _, t in docs for w in [t.split()]]
+    assert {len(r) for r in runs} == {396}  # no run twice
+    place = {r: i for i, r in enumerate(set().union(*runs))}
+    has = np.zeros((len(docs), len(place)), np.float32)
+    for row, r in zip(has, runs):
+        row[[place[x] for x in r]] = 1
+    both = has @ has.T
+    a, b = np.nonzero(both >= 0.8 * (792 - both) - 1e-9)
+    want = H.classes([d for d, _ in docs], [(docs[i][0], docs[j][0]) for i, j in zip(a, b) if i < j])
+    assert got == want and 200 < len(set(want.values())) <= 400
+
+
 def test_near_hazards(spark):
     df = H.hazards(spark)
     rows = bag_minhash.near_classes(df).collect()
