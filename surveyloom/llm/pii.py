@@ -16,8 +16,8 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*FORMS, "learned"]
-# A word with a digit, an identifier if it is long enough.
-NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+# A word with a digit or an @, an identifier if it is long enough.
+NUMBERED = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -59,7 +59,10 @@ def located(found: Column, pieces: Column, kind: int) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, h, base, words): fixed-form spans of each text, and its numbered words with the word before.
+    """(doc, h, base, words, seeds): fixed-form spans of each text, its numbered words, and the spans again as seeds.
+
+    Words (s, before, gap) have the word before and whether only spaces and
+    brackets part them from the numbered word before; seeds (value, before).
 
     Every row of ``docs`` once, found by one pass over the whole texts.
     """
@@ -68,6 +71,7 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     likely = {"email": F.instr("t", "@") > 0, "phone": F.instr("t", "+") > 0}
     digit = F.col("t").rlike("[0-9]")
     forms = {**FORMS, "word": NUMBERED}
+    likely["word"] = digit | likely["email"]
     none = F.array().cast("array<string>")
     for kind, form in forms.items():
         found = F.regexp_extract_all("t", F.lit(form), F.lit(0))
@@ -75,36 +79,94 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for kind, form in forms.items():
         some = F.size(f"m_{kind}") > 0
         t = t.withColumn(f"p_{kind}", F.when(some, F.split("t", form, -1)).otherwise(none))
-    spans = []
+    blank = lambda p: F.translate(p, "\n\t\r", "   ")
+    end = lambda p: F.substring_index(p, " ", -1)
+    last = lambda p: F.lower(end(F.rtrim(p)))
+    # what stands before a match: the match before it and the piece between
+    ahead = lambda kind: F.transform(
+        f"p_{kind}", lambda p, i: blank(F.concat(F.coalesce(F.get(f"m_{kind}", i - 1), F.lit("")), p))
+    )
+    spans, seeds = [], []
     for i, kind in enumerate(FORMS):
         s = located(F.col(f"m_{kind}"), F.col(f"p_{kind}"), i)
         spans.append(F.filter(s, _valid(kind)))
-    # the word before a numbered word ends the piece before it
-    last = lambda p: F.lower(F.substring_index(F.rtrim(F.translate(p, "\n\t\r", "   ")), " ", -1))
-    before = F.transform("p_word", last)
-    words = F.arrays_zip(located(F.col("m_word"), F.col("p_word"), len(KINDS) - 1).alias("s"), before.alias("before"))
+        # a match may start within a word: the word before is the one before that word
+        before = F.transform(ahead(kind), lambda p: last(F.substr(p, F.lit(1), F.length(p) - F.length(end(p)))))
+        pairs = F.arrays_zip(F.col(f"m_{kind}").alias("value"), before.alias("before"))
+        pairs = F.filter(pairs, lambda w: w["value"].isNotNull())
+        seeds.append(F.filter(pairs, _valid(kind)))
+    words = F.arrays_zip(
+        located(F.col("m_word"), F.col("p_word"), len(KINDS) - 1).alias("s"),
+        F.transform(ahead("word"), last).alias("before"),
+        F.transform("p_word", lambda p: p.rlike(r"^ [\x20()\[\]]*$")).alias("gap"),
+    )
     words = F.filter(words, lambda w: w["s"].isNotNull())
     return t.select(
-        "doc", "h", F.array_sort(F.flatten(F.array(*spans))).alias("base"), words.alias("words")
+        "doc", "h", F.array_sort(F.flatten(F.array(*spans))).alias("base"), words.alias("words"),
+        F.flatten(F.array(*seeds)).alias("seeds"),
     )  # spans sort by start, end, kind; distinct kinds may share both
 
 
 def occurrences(found: DataFrame, min_length: int = 6) -> DataFrame:
-    """(doc, h, start, end, pattern, instance, seed) of all numbered words.
+    """(doc, h, start, end, pattern, instance, seed) of all seeds and candidates.
 
-    A word that overlaps a fixed-form span is a seed. Others are candidates if
-    they have ``min_length`` characters without punctuation around them.
+    Seeds are the fixed-form spans. Candidates are numbered words that overlap
+    none of them, words without a digit that have an @ inside, and runs of such
+    numbered words with only spaces and brackets between, if they have
+    ``min_length`` characters without punctuation around them. The pattern is the
+    word before, whatever it is.
     """
-    w = found.where(F.size("words") > 0).select("doc", "h", "base", F.explode("words").alias("w"))
-    lead = F.length(F.regexp_extract("w.s.value", r"^[^\p{L}\p{N}]*", 0))
-    core = F.regexp_replace("w.s.value", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    start = F.col("w.s.start") + lead
-    seed = F.exists("base", lambda b: (b["start"] < F.col("w.s.end")) & (b["end"] > F.col("w.s.start")))
-    rows = w.select(
-        "doc", "h", start.alias("start"), (start + F.length(core)).alias("end"),
-        F.trim(F.col("w.before")).alias("pattern"), core.alias("instance"), seed.alias("seed"),
+    none = F.lit(None).cast("int")
+    seeds = found.select("doc", "h", F.explode("seeds").alias("w")).select(
+        "doc", "h", none.alias("start"), none.alias("end"), F.trim("w.before").alias("pattern"),
+        F.col("w.value").alias("instance"), F.lit(True).alias("seed"),
     )
-    return rows.where((F.col("seed") | (F.length("instance") >= min_length)) & (F.col("pattern") != ""))
+    numbered = lambda w: w["s"]["value"].rlike("[0-9]")
+    flagged = F.transform(
+        "words",
+        lambda w, i: F.struct(
+            w["s"]["start"].alias("start"), w["s"]["end"].alias("end"), w["s"]["value"].alias("value"), w["before"].alias("before"),
+            F.exists("base", lambda b: (b["start"] < w["s"]["end"]) & (b["end"] > w["s"]["start"])).alias("base"),
+            (w["gap"] & numbered(w)).alias("gap"), numbered(w).alias("numbered"),
+        ),
+    )
+    w = found.where(F.size("words") > 0).select("doc", "h", flagged.alias("words"))
+    # a word goes on with the run of the one before it, unless that one ends in punctuation
+    goes_on = lambda x, y: (
+        y["gap"] & x["numbered"] & ~x["base"] & ~y["base"] & x["value"].rlike(r"[\p{L}\p{N})\]]$")
+    )
+    n = F.size("words")
+    starts = F.filter(
+        F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.coalesce(goes_on(F.get("words", i - 1), F.get("words", i)), F.lit(False))
+    )
+    w = w.select("doc", "h", "words", starts.alias("starts"))
+    size = lambda b, i: F.coalesce(F.get("starts", i + 1), n) - b
+    runs = F.filter(
+        F.transform("starts", lambda b, i: F.slice("words", b + 1, size(b, i))), lambda r: F.size(r) > 1
+    )
+    runs = F.transform(
+        runs,
+        lambda r: F.struct(
+            F.get(r, F.lit(0))["start"].alias("start"), F.element_at(r, -1)["end"].alias("end"),
+            F.array_join(F.transform(r, lambda x: x["value"]), " ").alias("value"), F.get(r, F.lit(0))["before"].alias("before"),
+            F.lit(True).alias("many"),
+        ),
+    )
+    alone = F.transform(
+        F.filter("words", lambda x: ~x["base"] & (x["numbered"] | x["value"].rlike("[^@]@[^@]"))),
+        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), F.lit(False).alias("many")),
+    )
+    w = w.select("doc", "h", F.explode(F.concat(alone, runs)).alias("w"))
+    # a bracket that closes before more of the run belongs to it
+    own = r"^[^\p{L}\p{N}]*?(?=[\p{L}\p{N}]|[(\[][^()\[\]]*[)\]][^\p{L}\p{N}]*[\p{L}\p{N}])"
+    lead = F.when(F.col("w.many"), F.regexp_extract("w.value", own, 0)).otherwise(F.regexp_extract("w.value", r"^[^\p{L}\p{N}]*", 0))
+    tail = F.regexp_extract("w.value", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]+$", 0)
+    core = F.substr("w.value", F.length(lead) + 1, F.length("w.value") - F.length(lead) - F.length(tail))
+    rows = w.select(
+        "doc", "h", (F.col("w.start") + F.length(lead)).alias("start"), (F.col("w.end") - F.length(tail)).alias("end"),
+        F.trim(F.col("w.before")).alias("pattern"), core.alias("instance"), F.lit(False).alias("seed"),
+    ).where(F.length("instance") >= min_length)
+    return rows.union(seeds).where(F.col("pattern") != "")
 
 
 def bootstrap(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: float = 0.8) -> DataFrame:
@@ -143,8 +205,9 @@ def find(
 
     ``base`` has the fixed forms email, ip, card and phone (kinds 0 to 3), the
     matches of each without overlap, failing ones left out. ``spans`` has them
-    and the learned identifiers (kind 4): numbered words that patterns (the word
-    before) with many seeds find anywhere in the corpus.
+    and the learned identifiers (kind 4): numbered words, runs of them and words
+    with an @ that patterns (the word before) with many seeds find anywhere in the
+    corpus. The value of a run has one space between its words.
 
     Null or empty text: no spans. Rows equal in id and text get equal spans. A
     null id is an ordinary one. No rows: none. Other columns play no part.
@@ -160,7 +223,9 @@ def find(
         .select(F.col("doc").alias("d2"), F.col("h").alias("h2"), "more")
     )
     out = found.join(learned, every([found["doc"].eqNullSafe(learned["d2"]), found["h"].eqNullSafe(learned["h2"])]), "left")
-    more = F.coalesce("more", F.array().cast(SPAN))
+    # a word within a found run is told by the run
+    wider = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    more = F.coalesce(F.filter("more", lambda x: ~F.exists("more", lambda y: wider(x, y))), F.array().cast(SPAN))
     return out.select(F.col("doc").alias("doc_id"), "base", F.concat("base", more).alias("spans"))
 
 

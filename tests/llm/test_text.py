@@ -164,6 +164,18 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert got[0] == "email:15:37"
 
 
+def test_contexts_find_identifiers_of_several_words_and_without_digits(spark):
+    rows = [(i, f"please contact <{a}{b}@mail.example.org> now") for i, (a, b) in enumerate(itertools.product("abcde", "fghij"))]
+    rows += [(100, "please contact (521) 555-6210 today"), (101, "do contact 5215 55 62, then 77"), (102, "may contact jane@intranet or so")]
+    rows += [(103, "about (521) 555-6210 nothing"), (104, "about jane@home nothing"), (105, "contact 5 and 77, and 123"), (106, "contact a@b")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[0] == "email:16:35"
+    assert got[100] == "learned:15:29" and got[101] == "learned:11:21" and got[102] == "learned:12:25"
+    # the number is one wherever it stands, once a context has told it
+    assert got[103] == "learned:6:20"
+    assert got[104] == got[105] == got[106] == ""
+
+
 def test_pii_hazards(spark):
     df = H.hazards(spark)
     rows = pii.digest(pii.find(df)).collect()
