@@ -7,9 +7,11 @@ from surveyloom.llm import (
     grid_order,
     language,
     line_dedup,
+    merkle,
     mixing,
     packing,
     pii,
+    quality,
     sentence_spans,
     topk,
     url_filters,
@@ -70,6 +72,15 @@ def op10_packing(spark, sf):
     return packing.digest(packing.pack(docs, tokenizer_path()))
 
 
+def op11_merkle_manifest(spark, sf):
+    return merkle.digest(table(spark, sf, "documents"))
+
+
+def op12_quality_rules(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.judge(docs).select(*quality.RESULT)
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -83,6 +94,8 @@ ALL = {
         op8_embedding_dedup,
         op9_source_mixing,
         op10_packing,
+        op11_merkle_manifest,
+        op12_quality_rules,
     )
 }
 SQL = {
@@ -91,4 +104,6 @@ SQL = {
     "op7_top_k": topk.SQL,
     "op8_embedding_dedup": grid_order.SQL,
     "op9_source_mixing": mixing.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_quality_rules": quality.SQL,
 }
