@@ -27,7 +27,8 @@ RULES = {
     "vocabulary": ("n_distinct * n_distinct >= 25 * n_words OR n_words < 100 AND 2 * n_distinct >= n_words",
                    "n_distinct * n_distinct < 9 * n_words"),
 }
-START, STRENGTH, LEAST, MOST, PRIOR = 0.8, 10.0, 0.01, 0.999, 0.75
+VOTES, GOOD, BAD = (-1, 0, 1), (0.1, 0.2, 0.7), (0.5, 0.25, 0.25)
+STRENGTH, LEAST, MOST, PRIOR = 10.0, 0.001, 0.999, 0.75
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_letters",
     "n_capitals", "n_ends", "n_distinct",
@@ -101,43 +102,46 @@ def votes(rules=RULES) -> dict[str, Column]:
 
 
 class Model:
-    """Prior share of good texts and, for each rule, how often its votes are right on good and on bad texts."""
+    """Prior share of good texts and, for each rule, how often it votes -1, 0 and 1 on good and on bad texts."""
 
-    def __init__(self, prior: float, good: dict[str, float], bad: dict[str, float]):
+    def __init__(self, prior: float, good: dict[str, tuple], bad: dict[str, tuple]):
         self.prior, self.good, self.bad = prior, good, bad
 
     def posterior(self) -> Column:
         """Probability of a good text from the columns of the votes."""
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for k, s in self.good.items():
-            c = self.bad[k]
-            odds = odds + F.when(F.col(k) == 1, F.lit(math.log(s / (1 - c)))).when(F.col(k) == -1, F.lit(math.log((1 - s) / c))).otherwise(0.0)
+        logs = [math.log(x / y) for k, g in self.good.items() for x, y in zip(g, self.bad[k])]
+        # one array value, so that the compiled code is the same for all numbers
+        values = F.array(*[F.lit(x) for x in (*logs, math.log(self.prior / (1 - self.prior)))])
+        odds = F.get(values, F.lit(len(logs)))
+        for i, k in enumerate(self.good):
+            odds = odds + F.get(values, F.lit(len(VOTES) * i + 1) + F.col(k))
         return 1 / (1 + F.exp(-odds))
 
 
 def fit(voted: DataFrame, rules=RULES, rounds: int = ROUNDS) -> Model:
     """Accuracies of the rules from their agreement alone, over all rows of ``voted``.
 
-    Rows are counted once per combination of votes, of which there are 3^rules at
-    most (19,683); every round is an aggregation over this table. Estimates begin
-    at START and are drawn to it by STRENGTH rows' weight.
+    Abstaining tells something too, so it is an outcome like the votes. Rows are
+    counted once per combination of votes, of which there are 3^rules at most
+    (19,683); every round is an aggregation over this table. Estimates begin at
+    GOOD and BAD and are drawn to them by STRENGTH rows' weight.
     """
     names = list(rules)
-    table = written(voted.where("n_words > 0").groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "quality-votes")
-    model = Model(PRIOR, dict.fromkeys(names, START), dict.fromkeys(names, START))
+    table = written(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "quality-votes")
+    model = Model(PRIOR, dict.fromkeys(names, GOOD), dict.fromkeys(names, BAD))
     bounded = lambda x: min(MOST, max(LEAST, x))
     for _ in range(rounds):
-        t = table.withColumn("p", model.posterior()).select(*names, (F.col("n") * F.col("p")).alias("g"), (F.col("n") * (1 - F.col("p"))).alias("b"))
-        sums = [F.sum(c).alias(f"_{c}") for c in ("g", "b")]
-        for k in names:
-            sums += [F.sum(F.when(F.col(k) == v, F.col(c))).alias(f"{k}{c}{v}") for c in ("g", "b") for v in (1, -1)]
+        p = model.posterior()
+        t = table.select(*names, (F.col("n") * p).alias("g"), (F.col("n") * (1 - p)).alias("b"))
+        sums = [F.sum(c).alias(f"_{c}") for c in "gb"]
+        sums += [F.sum(F.when(F.col(k) == v, F.col(c))).alias(f"{k}{c}{v}") for c in "gb" for k in names for v in VOTES]
         r = {k: v or 0.0 for k, v in t.agg(*sums).first().asDict().items()}
-        right = lambda yes, no: bounded((yes + START * STRENGTH) / (yes + no + STRENGTH))
-        model = Model(
-            bounded((r["_g"] + PRIOR * STRENGTH) / (r["_g"] + r["_b"] + STRENGTH)),
-            {k: right(r[f"{k}g1"], r[f"{k}g-1"]) for k in names},
-            {k: right(r[f"{k}b-1"], r[f"{k}b1"]) for k in names},
+        share = lambda yes, all_, start: bounded((yes + start * STRENGTH) / (all_ + STRENGTH))
+        good, bad = (
+            {k: tuple(share(r[f"{k}{c}{v}"], r[f"_{c}"], x) for v, x in zip(VOTES, start)) for k in names}
+            for c, start in (("g", GOOD), ("b", BAD))
         )
+        model = Model(share(r["_g"], r["_g"] + r["_b"], PRIOR), good, bad)
     return model
 
 
@@ -145,7 +149,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """One row per document: measures, base_failed, the votes, ``quality`` (posterior, 6 decimals) and kept.
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated
-    windows. Others are kept if ``quality`` reaches ``least``.
+    windows. Others are kept if ``quality`` reaches ``least``; the accuracies are fitted
+    over all of these others, as texts that fail anyway would be taken for the bad ones.
 
     Null or empty text: no words, so base_failed, not kept, quality 0. Rows of equal
     ids, null ids and equal texts are judged each for itself. No rows: none. Very
@@ -153,9 +158,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """
     voted = measured(docs, id_col, text_col)
     voted = written(voted.select("*", *[c.alias(k) for k, c in votes(rules).items()]), "quality-measures")
-    model = fit(voted, rules)
-    p = F.when(F.col("n_words") > 0, F.round(model.posterior(), 6)).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    model = fit(voted.where(~failed), rules)
+    p = F.when(F.col("n_words") > 0, F.round(model.posterior(), 6)).otherwise(F.lit(0.0))
     out = voted.withColumn("quality", p).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
@@ -168,17 +173,17 @@ def _sql() -> str:
     cast = ", ".join(
         f"(CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END) AS {k}" for k, (good, bad) in RULES.items()
     )
+    part = {-1: "l", 0: "z", 1: "m"}
     odds = "ln(prior / (1 - prior))" + "".join(
-        f" + CASE {k} WHEN 1 THEN ln(g_{k} / (1 - b_{k})) WHEN -1 THEN ln((1 - g_{k}) / b_{k}) ELSE 0 END" for k in names
+        f" + CASE {k} " + " ".join(f"WHEN {v} THEN ln(g{c}_{k} / b{c}_{k})" for v, c in part.items()) + " END" for k in names
     )
-    bound = f"least({MOST}::DOUBLE, greatest({LEAST}::DOUBLE, {{}}))"
-    part = lambda k, c, v: f"coalesce(sum({c}) FILTER ({k} = {v}), 0)"
-    right = lambda k, c, yes, no: bound.format(
-        f"({part(k, c, yes)} + {START * STRENGTH}::DOUBLE) / ({part(k, c, yes)} + {part(k, c, no)} + {STRENGTH}::DOUBLE)"
+    share = lambda yes, all_, x: (
+        f"least({MOST}::DOUBLE, greatest({LEAST}::DOUBLE, ({yes} + {x * STRENGTH}::DOUBLE) / ({all_} + {STRENGTH}::DOUBLE)))"
     )
-    step = ", ".join(f"{right(k, 'g', 1, -1)}, {right(k, 'b', -1, 1)}" for k in names)
-    start = ", ".join([f"{START}::DOUBLE"] * 2 * len(names))
-    columns = ", ".join(f"g_{k}, b_{k}" for k in names)
+    each = [(k, c, v, n, x) for k in names for c, first in (("g", GOOD), ("b", BAD)) for (v, n), x in zip(part.items(), first)]
+    step = ", ".join(share(f"coalesce(sum({c}) FILTER ({k} = {v}), 0)", f"sum({c})", x) for k, c, v, n, x in each)
+    start = ", ".join(f"{x}::DOUBLE" for *_, x in each)
+    columns = ", ".join(f"{c}{n}_{k}" for k, c, v, n, _ in each)
     return rf"""
 WITH RECURSIVE
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -195,15 +200,15 @@ m AS (SELECT rid, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_tran
              len(regexp_extract_all(text, '\p{{L}}'))::BIGINT AS n_letters, len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_capitals,
              len(regexp_extract_all(text, '[.!?]([\x20\x09-\x0D]|$)'))::BIGINT AS n_ends, len(list_distinct(w))::BIGINT AS n_distinct
       FROM d LEFT JOIN r USING (rid)),
-v AS (SELECT *, {cast} FROM m),
-t AS (SELECT {", ".join(names)}, count(*)::DOUBLE AS n FROM v WHERE n_words > 0 GROUP BY ALL),
+v AS (SELECT *, {cast}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+t AS (SELECT {", ".join(names)}, count(*)::DOUBLE AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 em(it, prior, {columns}) AS (
       SELECT 0, {PRIOR}::DOUBLE, {start}
       UNION ALL
-      SELECT it + 1, {bound.format(f"(sum(g) + {PRIOR * STRENGTH}::DOUBLE) / (sum(g) + sum(b) + {STRENGTH}::DOUBLE)")}, {step}
+      SELECT it + 1, {share("sum(g)", "(sum(g) + sum(b))", PRIOR)}, {step}
       FROM (SELECT it, {", ".join(names)}, n / (1 + exp(-({odds}))) AS g, n - n / (1 + exp(-({odds}))) AS b FROM em, t WHERE it < {ROUNDS}) GROUP BY it),
-e AS (SELECT v.*, CASE WHEN n_words > 0 THEN round(1 / (1 + exp(-({odds}))), 6) ELSE 0 END AS quality,
-             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v, em WHERE it = {ROUNDS})
+e AS (SELECT v.*, CASE WHEN n_words > 0 THEN round(1 / (1 + exp(-({odds}))), 6) ELSE 0 END AS quality
+      FROM v, em WHERE it = {ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= 0.5 AS kept, quality FROM e
 """
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from surveyloom.llm import (
+    alignment,
     bag_minhash,
     grid_order,
     language,
@@ -19,10 +20,10 @@ from surveyloom.llm import (
 from surveyloom.llm.common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filters(spark, sf):
@@ -81,6 +82,11 @@ def op12_quality_rules(spark, sf):
     return quality.judge(docs).select(*quality.RESULT)
 
 
+def op13_cross_tokenizer_alignment(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.linked(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -96,6 +102,7 @@ ALL = {
         op10_packing,
         op11_merkle_manifest,
         op12_quality_rules,
+        op13_cross_tokenizer_alignment,
     )
 }
 SQL = {
