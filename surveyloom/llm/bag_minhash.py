@@ -168,25 +168,21 @@ def _likely(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     met = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a")
     met = met.join(marks.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
     same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
-    return met.where(same >= (similarity - SLACK) * BANDS * ROWS).select("a", "b")
+    return met.where(same >= (similarity - SLACK) * BANDS * ROWS).select("a", "b").distinct()
 
 
-def _leads(now: DataFrame, turn: int, draws: int) -> DataFrame:
-    """(band, h, lead, lead_class, lead_n): the drawn members of every bucket with more than one class.
+def _leads(now: DataFrame, turn: int) -> DataFrame:
+    """(band, h, lead, lead_class, lead_n): one drawn member of every bucket with more than one class.
 
-    Even draws pick a class by hash and take its smallest member, odd ones pick a member.
+    The draw goes by the class and the member alone, so buckets that share members
+    mostly draw the same one, and a pair that shares many bands is compared once.
     """
+    draw = F.xxhash64("class", F.lit(turn)).alias("d"), F.xxhash64("node", F.lit(turn)).alias("e")
     what = [F.col("class").alias("lead_class"), F.col("node").alias("lead"), F.col("n").alias("lead_n")]
-    picks = []
-    for i in range(draws):
-        by = ["class"] if i % 2 == 0 else ["class", "node"]
-        draw = F.xxhash64("band", "h", *by, F.lit(turn), F.lit(i)).alias("d")
-        picks.append(F.min(F.struct(draw, *what)))
     lead = now.groupBy("band", "h").agg(
-        F.array(*picks).alias("leads"), F.min("class").alias("c1"), F.max("class").alias("c2")
+        F.min(F.struct(*draw, *what)).alias("l"), F.min("class").alias("c1"), F.max("class").alias("c2")
     )
-    lead = lead.where("c1 < c2").select("band", "h", F.explode(F.array_distinct("leads")).alias("l"))
-    return lead.select("band", "h", "l.lead_class", "l.lead", "l.lead_n")
+    return lead.where("c1 < c2").select("band", "h", "l.lead_class", "l.lead", "l.lead_n")
 
 
 def _verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
@@ -261,42 +257,47 @@ def _left(now: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
     follows their first common item is long enough. None that reaches it is left out.
     """
     mixed = now.groupBy("band", "h").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 < c2")
-    still = now.join(mixed.select("band", "h"), ["band", "h"]).select("node", "class", "n").distinct()
-    bags = written(still.join(data.select(F.col("id").alias("node"), "bag"), "node"), "near-open")
+    still = now.join(mixed.select("band", "h"), ["band", "h"]).select("node", "class").distinct()
+    bags = still.join(data.select(F.col("id").alias("node"), "bag"), "node")
+    bags = written(bags.withColumn("n", F.expr("octet_length(bag) div 8").cast("long")), "near-open")
     rows = written(_prefixes(bags, similarity), "near-prefixes")
-    met = rows.groupBy("item").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("c1"), F.max("class").alias("c2"))
+    per = rows.groupBy("item", "class").agg(F.count(F.lit(1)).alias("size"))
+    met = per.groupBy("item").agg(
+        F.max_by("class", F.struct("size", "class")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("classes")
+    )
     blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    rows = rows.join(met.where("c1 < c2").select("item", blocks), "item")
-    one = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    all_ = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = one.select("item", "block", *[F.col(c).alias(f"{c}_x") for c in ("node", "class", "n", "at")])
+    rows = rows.join(met.where("classes > 1").select("item", "top", blocks), "item")
+    # of two members of different classes one is outside the item's largest class: that class is not paired with itself
+    all_ = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rows.where(F.col("class") != F.col("top")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = rest.select("item", "block", *[F.col(c).alias(f"{c}_x") for c in ("node", "class", "n", "at")])
     y = all_.select("item", "block", *[F.col(c).alias(f"{c}_y") for c in ("node", "class", "n", "at")])
     both = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     most = both >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-6
-    pairs = x.join(y, ["item", "block"]).where((F.col("node_x") < F.col("node_y")) & (F.col("class_x") != F.col("class_y")) & most)
-    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    pairs = x.join(y, ["item", "block"]).where((F.col("class_x") != F.col("class_y")) & most)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-    most_rounds: int = 3, draws: int = 6,
+    most_rounds: int = 3,
 ) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class) and kept (whether it is that one).
 
     A document is the multiset of its runs of ``width`` words (as they stand
     between white space; a shorter text is one run). Rows of equal multisets are
-    one candidate. BagMinHash values in bands give buckets. In the first round every
-    bucket draws one member, in each later one ``draws`` of them, by hash; a drawn
-    member is compared with the members of all other classes there, so a bucket of
-    any size costs a fixed number of comparisons for each of its members. Pairs
-    whose values agree often enough are compared exactly. Rounds go on while they
+    one candidate. BagMinHash values in bands give buckets. In each round every
+    bucket draws one member by hash; it is compared with the members of all other
+    classes there, so a bucket of any size costs one comparison for each of its
+    members. Pairs whose values agree often enough are compared exactly. Rounds go on while they
     find links, ``most_rounds`` at most. What they leave is finished exactly: all
     members of buckets that still hold several classes are joined on the rarest
     items of their multisets, so that every pair of different classes there that
     reaches ``similarity`` is compared. Classes are components of the verified links.
 
     Null or empty text and null ids have no links; such a row is a class of its own
-    (null for a null id). Rows of one id are one node of the graph. No rows: none.
+    (null for a null id). Rows of one id are one node of the graph, with the links of
+    all its texts. No rows: none.
     Other columns play no part.
     """
     by_value("surveyloom.llm.words", __name__)
@@ -314,12 +315,13 @@ def near_classes(
     known = F.broadcast(crowd) if few else crowd
     texts = slim.join(known, F.col("id") == F.col("node"), "left_semi")
     marks = written(groups.select("node", "marks").join(known, "node", "left_semi"), "near-marks")
-    # one row per node, whatever repeats its id
-    data = written(_bagged(texts, width).groupBy("id").agg(F.min("bag").alias("bag")), "near-bags")
+    # an id may have several texts; equal ones are one row
+    data = _bagged(texts, width).groupBy("id", F.xxhash64("bag").alias("key")).agg(F.min("bag").alias("bag"))
+    data = written(data.drop("key"), "near-bags")
     classes, links = members.select("node", F.col("node").alias("class")).where("false"), None
     for turn in range(most_rounds):
         now = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        lead = _leads(now, turn, draws if turn else 1)
+        lead = _leads(now, turn)
         pairs = now.join(lead, ["band", "h"]).where(
             (F.col("class") != F.col("lead_class")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n"))
         )

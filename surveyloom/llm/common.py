@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +29,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs inside hand at most ``rows`` rows at once to Python; whole texts need memory for each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` has not, whatever the letter case."""
     taken = {c.lower() for c in df.columns}
@@ -54,24 +67,36 @@ def every(conditions: list[Column]) -> Column:
     return out
 
 
+BUCKETS = 1024
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str):
     """Adds ``out``: the sum of ``value`` over the rows before this one in its group.
 
-    Rows are ordered by (bucket, *order). Sums per bucket are added up first,
-    so that no task sees a whole group, only one bucket of it.
+    Rows are ordered by (bucket, *order). Sums per bucket, and per run of BUCKETS
+    buckets, are added up first, so no task sees a whole group: one bucket of it,
+    one run of bucket sums, or the sums of its runs.
     """
-    base, within = fresh(df, "_base"), fresh(df, "_within")
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias(base))
-    sums = sums.withColumn(
-        base,
-        F.coalesce(F.sum(base).over(_before(group, [bucket])), F.lit(0)),
-    )
-    inner = df.withColumn(
-        within, F.coalesce(F.sum(value).over(_before([*group, bucket], order)), F.lit(0))
-    )
-    keyed = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*group, bucket])], base)
-    on = every([inner[c].eqNullSafe(keyed[f"_k{i}"]) for i, c in enumerate([*group, bucket])])
-    return inner.join(keyed, on).select(*df.columns, (F.col(base) + F.col(within)).alias(out))
+    base, far, run = fresh(df, "_base"), fresh(df, "_far"), fresh(df, "_run")
+    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias(base)).withColumn(run, F.floor(F.col(bucket) / BUCKETS))
+    runs = sums.groupBy(*group, run).agg(F.sum(base).alias(far))
+    runs = runs.withColumn(far, _sum_before(far, group, [run]))
+    sums = _met(sums.withColumn(base, _sum_before(base, [*group, run], [bucket])), runs, [*group, run], far)
+    sums = sums.withColumn(base, F.col(base) + F.col(far)).drop(run, far)
+    inner = df.withColumn(far, _sum_before(value, [*group, bucket], order))
+    met = _met(inner, sums, [*group, bucket], base)
+    return met.select(*df.columns, (F.col(base) + F.col(far)).alias(out))
+
+
+def _sum_before(value: str, group: list[str], order: list[str]) -> Column:
+    return F.coalesce(F.sum(value).over(_before(group, order)), F.lit(0))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], take: str) -> DataFrame:
+    """``left`` with the column ``take`` of ``right``, keys null-safe."""
+    keyed = right.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], take)
+    same = every([left[c].eqNullSafe(keyed[f"_k{i}"]) for i, c in enumerate(on)])
+    return left.join(keyed, same).select(*left.columns, take)
 
 
 def _before(group: list[str], order: list[str]):

@@ -12,7 +12,6 @@ from surveyloom.llm.common import fresh, numbered, running_total, written
 WORD = r"[^\x20\x09-\x0D]+"
 # 2^32 over the golden ratio: multiples of it modulo 2^32 are the golden-ratio points
 GOLDEN = 2654435769
-SHARES = 1 << 31
 ROWS_PER_BUCKET = 512
 
 
@@ -22,12 +21,15 @@ def sized(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
 
 
-def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per source: no, source_size, target, and its part [lo, hi) of the scale of points.
+def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, block: int = 4096) -> DataFrame:
+    """One row per source: no, source_size, target, goal, slots, and its part [lo, hi) of the slots.
 
     Sources by code point, null last, get the weights in turn. Targets are in
     proportion to the weights, add up to ``share`` of all sizes, and stop at
-    ``cap`` times the source; what is cut off goes to the others by weight.
+    ``cap`` times the source; what is cut off goes to the others by weight. Sources
+    in the order of cap / weight stop one after the other, so the level that the
+    others reach follows from sums along that order. ``goal`` is the target in whole
+    words, ``slots`` the blocks it takes: whole passes, and the last cut to its words.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = numbered(per, [F.col("source").asc_nulls_last()], "no", "mix-sources")
@@ -35,103 +37,106 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
     src = src.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
     size, w_all = src.agg(F.sum("source_size"), F.sum("weight")).first()
     total = min(share, cap) * (size or 0)
-    level = total / w_all if w_all else 0.0
-    while True:  # each round caps at least one more source, or ends
-        full = F.col("cap") <= F.lit(level) * F.col("weight")
-        capped, rest = src.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
-        if not rest:
-            level = math.inf
-            break
-        new = (total - (capped or 0.0)) / rest
-        if new <= level:
-            break
-        level = new
-    src = src.withColumn("target", F.least("cap", F.lit(level) * F.col("weight")))
-    src = src.withColumn("part", F.floor(F.col("target") / F.lit(total or 1.0) * SHARES))
-    src = src.withColumn("chunk", F.floor(F.col("no") / ROWS_PER_BUCKET))
-    src = running_total(src, [], "chunk", ["no"], "part", "lo")
-    return written(
-        src.select("source", "no", "source_size", "target", "lo", (F.col("lo") + F.col("part")).alias("hi")),
-        "mix-targets",
-    )
-
-
-def schedule(targets: DataFrame, slots: int = 1 << 20) -> tuple[DataFrame, int]:
-    """(slot, no, rank) of every slot, and the words of a block.
-
-    Slot j takes the point j times the golden ratio (modulo 1) through the
-    cumulative weights; ``rank`` counts the slots of its source before it. The
-    block size follows from the sum of the targets, so that about ``slots``
-    slots are enough at any size.
+    by = numbered(src, [F.col("cap") / F.col("weight"), F.col("no")], "place", "mix-order")
+    by = by.withColumn("chunk", F.floor(F.col("place") / ROWS_PER_BUCKET))
+    by = running_total(by, [], "chunk", ["place"], "cap", "capped")
+    by = running_total(by, [], "chunk", ["place"], "weight", "gone")
+    # the level if all sources before this one stop and this one does not
+    level = (F.lit(total) - F.col("capped")) / (F.lit(w_all or 1) - F.col("gone"))
+    reached = by.withColumn("level", level).where(F.col("cap") / F.col("weight") > F.col("level"))
+    first = reached.agg(F.min_by("level", "place")).first()[0]
+    target = F.col("cap") if first is None else F.least("cap", F.lit(first) * F.col("weight"))
+    src = src.withColumn("target", target)
+    src = src.withColumn("goal", F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * cap).cast("long"))
+    whole = F.floor(F.col("goal") / F.greatest("source_size", F.lit(1))) * F.ceil(F.col("source_size") / block)
+    rest = F.ceil(F.pmod("goal", F.greatest("source_size", F.lit(1))) / block)
+    src = src.withColumn("slots", (whole + rest).cast("long")).withColumn("chunk", F.floor(F.col("no") / ROWS_PER_BUCKET))
+    src = running_total(src, [], "chunk", ["no"], "slots", "lo")
+    return written(src.select("source", "no", "source_size", "target", "goal", "slots", "lo", (F.col("lo") + F.col("slots")).alias("hi")), "mix-targets")
+
+
+def schedule(targets: DataFrame) -> DataFrame:
+    """(slot, no, rank): one slot for every block that a source takes, ``rank`` counting those of its source.
+
+    There are as many points as slots, and each source's part of the scale is as
+    long as its slots are many. Slot j takes the point j times the golden ratio
+    (modulo 1), so every stretch of the schedule holds the sources in their shares.
+    A source's points may miss its number by a few: those over are left out, and what
+    is missing follows at the end, source by source.
     """
     spark = targets.sparkSession
-    total, parts, n_src = targets.agg(F.sum("target"), F.sum("hi") - F.sum("lo"), F.count(F.lit(1))).first()
-    total = math.floor((total or 0.0) + 0.01)  # the sum of doubles may miss a whole number by a little
-    block = max(1, math.ceil(total / slots))
-    n = math.ceil(total / block)
-    point = F.floor(F.pmod(F.col("id") * GOLDEN, F.lit(1 << 32)) * F.lit(parts or 0) / F.lit(float(1 << 32)))
+    n, n_src = targets.agg(F.sum("slots"), F.count(F.lit(1))).first()
+    n = n or 0
+    point = F.floor(F.pmod(F.col("id") * GOLDEN, F.lit(1 << 32)) * F.lit(float(n)) / F.lit(float(1 << 32)))
     points = spark.range(n).select(F.col("id").alias("slot"), point.cast("long").alias("point"))
     # a grid of as many cells as sources: a cell meets two sources on average
-    cell = lambda c: F.floor(c * n_src / F.lit(parts or 1))
+    cell = lambda c: F.floor(c * n_src / F.lit(n or 1))
     spans = targets.where("hi > lo").select(
-        "no", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell")
+        "no", "slots", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell")
     )
     hit = (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))
-    placed = points.withColumn("cell", cell(F.col("point"))).join(spans, "cell").where(hit).select("slot", "no")
+    placed = points.withColumn("cell", cell(F.col("point"))).join(spans, "cell").where(hit).select("slot", "no", "slots")
     placed = placed.withColumn("one", F.lit(1)).withColumn("chunk", F.floor(F.col("slot") / ROWS_PER_BUCKET))
-    return running_total(placed, ["no"], "chunk", ["slot"], "one", "rank").select("slot", "no", "rank"), block
+    placed = running_total(placed, ["no"], "chunk", ["slot"], "one", "rank").where("rank < slots").select("slot", "no", "rank")
+    placed = written(placed, "mix-slots")
+    had = placed.groupBy("no").agg(F.count(F.lit(1)).alias("had"))
+    more = targets.select("no", "slots").join(had, "no", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    more = more.where("had < slots").withColumn("missing", F.col("slots") - F.col("had"))
+    more = more.withColumn("chunk", F.floor(F.col("no") / ROWS_PER_BUCKET))
+    more = running_total(more, [], "chunk", ["no"], "missing", "before")
+    tail = more.select("no", "had", "before", F.explode(F.sequence(F.col("had"), F.col("slots") - 1)).alias("rank"))
+    tail = tail.select((F.lit(n) + F.col("before") + F.col("rank") - F.col("had")).alias("slot"), "no", "rank")
+    return placed.unionByName(tail)
 
 
 def mix(
     docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2),
-    share: float = 1.5, cap: int = 2, slots: int = 1 << 20, seed: str = "mix", exact: bool = False,
+    share: float = 1.5, cap: int = 2, block: int = 4096, seed: str = "mix",
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot.
 
     The words of a source form one stream: its documents in the order of
-    md5(seed:id). The stream is cut into blocks of equal words; the r-th slot
-    that the schedule gives to the source takes block r, from the first again
-    after the last, ``cap`` times at most. ``taken`` counts a document's words
-    in all blocks taken, so it is at most ``cap`` times its size.
-
-    Above ``slots`` words of target a block is more than a word, and a source gets
-    whole blocks only, so one smaller than a block may get nothing; the SQL below
-    is that rule. ``exact`` takes as many blocks of each source as its target
-    needs and cuts the last one: as blocks are taken in the order of the stream,
-    that is its stream from the start, and again, up to the target's words.
-
-    Null text: size 0, nothing taken. Null source: a source of its own, the last.
-    Null ids are ordinary ids. Rows that agree in id and size are laid one after
-    the other. No rows: none. Other columns of ``docs`` play no part.
+    md5(seed:id). The stream is cut into blocks of ``block`` words; the r-th slot
+    that the schedule gives to the source takes block r, from the first again after
+    the last, and its last slot takes only the words that its target still needs, so
+    every source's words meet its target to the word, however small it is.
+    ``taken`` counts a document's words in all blocks taken, so it is at most
+    ``cap`` times its size; ``first_slot`` is the slot that takes its first ones.
+
+    Null text: size 0, nothing taken, first_slot null. Null source: a source of its
+    own, the last. Null ids are ordinary ids. Rows that agree in id and size are laid
+    one after the other. No rows: none. Other columns of ``docs`` play no part.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = written(sized(docs, id_col, text_col, source_col).withColumn("hash", order), "mix-sizes")
-    targets = source_targets(docs, weights, share, cap)
+    targets = source_targets(docs, weights, share, cap, block)
     buckets = max(1, math.ceil(docs.count() / ROWS_PER_BUCKET))
     place = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * buckets
     t = targets.select(F.col("source").alias("_s"), "no", "source_size", "target")
     rows = docs.join(t, docs["source"].eqNullSafe(t["_s"])).drop("_s")
     rows = rows.withColumn("bucket", F.shiftright(place, 32))
-    none = rows.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    nothing = F.lit(None).cast("long").alias("first_slot")
+    none = rows.where("size = 0").select(
+        "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), nothing
+    )
     laid = running_total(rows.where("size > 0"), ["no"], "bucket", ["hash", "doc_id", "size"], "size", "at")
-    if exact:
-        goal = F.least(F.floor(F.col("target") + 0.5), F.lit(cap) * F.col("source_size"))
-        part = F.least(F.greatest(goal % F.col("source_size") - F.col("at"), F.lit(0)), "size")
-        taken = (F.floor(goal / F.col("source_size")) * F.col("size") + part).cast("long").alias("taken")
-        return laid.select("doc_id", "source", "size", "source_size", "target", taken).unionByName(none)
-    slot, block = schedule(targets, slots)
+    # a slot's stretch of the stream: a whole block, or what the last one still needs
+    slots = schedule(targets).join(targets.select("no", "source_size", "goal", "slots"), "no")
+    per_pass = F.ceil(F.col("source_size") / block)
+    slots = slots.withColumn("block", F.pmod("rank", per_pass))
+    left = F.col("goal") - F.floor(F.col("rank") / per_pass) * F.col("source_size") - F.col("block") * block
+    slots = slots.select("no", "block", "slot", F.least(F.lit(block), left).alias("words"))
+    drawn = slots.groupBy("no", "block").agg(F.collect_list(F.struct("slot", "words")).alias("draws"))  # cap + 1 at most
     end = F.col("at") + F.col("size")
-    first, last = F.floor(F.col("at") / block), F.floor((end - 1) / block)
-    pieces = laid.withColumn("block", F.explode(F.sequence(first, last)))
-    words = F.least(end, (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    blocks = F.ceil(F.col("source_size") / block)
-    drawn = slot.join(targets.select("no", "source_size"), "no").where(F.col("rank") < cap * blocks)
-    drawn = drawn.groupBy("no", F.pmod("rank", blocks).alias("block")).agg(F.count(F.lit(1)).alias("draws"))
-    taken = (
-        pieces.withColumn("words", words)
-        .join(drawn, ["no", "block"], "left")
-        .groupBy("no", "at", "doc_id", "source", "size", "source_size", "target")
-        .agg(F.sum(F.col("words") * F.coalesce("draws", F.lit(0))).alias("taken"))
+    pieces = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))))
+    lo = F.greatest(F.col("at") - F.col("block") * block, F.lit(0))
+    hi = F.least(end - F.col("block") * block, F.lit(block))
+    pieces = pieces.join(drawn, ["no", "block"], "left")
+    met = F.filter("draws", lambda d: d["words"] > lo)
+    words = F.aggregate(met, F.lit(0).cast("long"), lambda n, d: n + F.least(d["words"], hi) - lo)
+    pieces = pieces.withColumn("words", F.coalesce(words, F.lit(0))).withColumn("slot", F.array_min(F.transform(met, lambda d: d["slot"])))
+    taken = pieces.groupBy("no", "at", "doc_id", "source", "size", "source_size", "target").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot")
     )
     return taken.drop("no", "at").unionByName(none)
 
@@ -166,22 +171,25 @@ c AS (SELECT k, (total - capped) / rest AS lam FROM o, a WHERE rest > 0
 lam AS (SELECT lam FROM c LEFT JOIN o ON o.k = c.k + 1 WHERE o.ratio IS NULL OR o.ratio > lam ORDER BY c.k LIMIT 1),
 t AS (SELECT w.*, CASE WHEN (SELECT count(*) FROM lam) = 0 THEN cap ELSE least(cap, (SELECT lam FROM lam) * weight) END AS target
       FROM w),
-p AS (SELECT t.*, floor(target / total * 2147483648)::BIGINT AS part FROM t, a),
-q AS (SELECT *, sum(part) OVER (ORDER BY no)::BIGINT AS hi, sum(part) OVER ()::BIGINT AS parts FROM p),
-b AS (SELECT greatest(1, ceil(floor(total) / 1048576))::BIGINT AS block, floor(total) AS total FROM a),
-j AS (SELECT slot, floor((((slot * 2654435769) % 4294967296) * (SELECT max(parts) FROM q))::DOUBLE / 4294967296)::BIGINT AS point
-      FROM b, range(0, ceil(total / block)::BIGINT) x(slot)),
-r AS (SELECT no, source_size, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank
-      FROM j JOIN q ON point >= hi - part AND point < hi),
-d AS (SELECT no, rank % ceil(source_size / block)::BIGINT AS block_no, count(*) AS draws
-      FROM r, b WHERE rank < 2 * ceil(source_size / block)::BIGINT GROUP BY ALL),
+p AS (SELECT *, least(floor(target + 0.5), 2 * source_size)::BIGINT AS goal FROM t),
+q AS (SELECT *, (goal // source_size * ceil(source_size / 4096) + ceil(goal % source_size / 4096))::BIGINT AS slots
+      FROM p WHERE source_size > 0),
+u AS (SELECT *, sum(slots) OVER (ORDER BY no)::BIGINT AS hi, sum(slots) OVER ()::BIGINT AS n FROM q),
+j AS (SELECT slot, floor(((slot * 2654435769) % 4294967296)::DOUBLE * n / 4294967296)::BIGINT AS point
+      FROM (SELECT DISTINCT n, unnest(range(0, n)) AS slot FROM u)),
+h AS (SELECT no, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank
+      FROM j JOIN u ON point >= hi - slots AND point < hi QUALIFY rank < max(slots) OVER (PARTITION BY no)),
+m AS (SELECT no, unnest(range((SELECT count(*) FROM h WHERE h.no = u.no), slots)) AS rank, n FROM u),
+r AS (SELECT no, slot, rank FROM h
+      UNION ALL SELECT no, n + row_number() OVER (ORDER BY no, rank) - 1, rank FROM m),
+d AS (SELECT r.no, slot, rank % ceil(source_size / 4096)::BIGINT * 4096 AS lo,
+             least(4096, goal - rank // ceil(source_size / 4096)::BIGINT * source_size - lo) + lo AS hi FROM r JOIN q USING (no)),
 e AS (SELECT s.*, no, source_size, target,
-             sum(size) OVER (PARTITION BY no ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS pos
-      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-f AS (SELECT e.*, block, unnest(range(pos // block, (pos + size - 1) // block + 1)) AS block_no FROM e, b WHERE size > 0),
-h AS (SELECT f.doc_id, f.source, f.size, f.source_size, f.target, f.no, f.pos,
-             sum((least(pos + size, (f.block_no + 1) * block) - greatest(pos, f.block_no * block)) * coalesce(draws, 0))::BIGINT AS taken
-      FROM f LEFT JOIN d ON f.no = d.no AND f.block_no = d.block_no GROUP BY ALL)
-SELECT doc_id, size, source_size, target, taken FROM h
-UNION ALL SELECT doc_id, size, source_size, target, 0 FROM e WHERE size = 0
+             sum(size) OVER (PARTITION BY no ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS pos,
+             row_number() OVER () AS rid
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT e.doc_id, e.size, e.source_size, e.target,
+       coalesce(sum(least(pos + size, hi) - greatest(pos, lo)) FILTER (slot IS NOT NULL), 0)::BIGINT AS taken, min(slot) AS first_slot
+FROM e LEFT JOIN d ON d.no = e.no AND d.lo < e.pos + e.size AND d.hi > e.pos AND e.size > 0
+GROUP BY e.rid, e.doc_id, e.size, e.source_size, e.target
 """

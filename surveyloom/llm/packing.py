@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import by_value, fresh, running_total, written
-from surveyloom.llm.words import ranges, slices, split
+from surveyloom.llm.common import batches_of, by_value, fresh, running_total, written
+from surveyloom.llm.words import give_back, ranges, slices, split
 
 PIECE = pa.schema(
     [
@@ -26,9 +26,11 @@ PIECE = pa.schema(
 DDL = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, fill long"
 MERGED = 1 << 62
 # words kept with their ids for the next batch; more are encoded once per batch
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 # text tokenized at once; its arrays take some ten times as much
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 2 << 20
+# rows handed to Python at once
+BATCH_ROWS = 1000
 _PUNCTUATION = ".,!?;:|"
 
 
@@ -91,8 +93,10 @@ class Encoder:
 
 def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, each closed by ``end_id``, and the bounds of the texts."""
-    # the tokenizer lowers letters itself; doing it here for ASCII leaves fewer words
-    words, ids, bounds = split(pc.ascii_lower(texts), ("\n",))
+    # the tokenizer lowers letters itself; doing it here for ASCII leaves fewer words. It looks for
+    # its own tokens first, as they are written, so texts that may hold one stay as they are
+    lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    words, ids, bounds = split(lower, ("\n",))
     flat, size = Encoder.of(path).encode(words.to_pylist())
     first = np.cumsum(size) - size
     per_word = size[ids]
@@ -178,6 +182,7 @@ def pack(
         raise ValueError("the length of a sequence is a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         packer = Packer(length, windows, TaskContext.get().partitionId() << 33)
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
@@ -188,10 +193,12 @@ def pack(
                         yield packer.take()
         packer.close()
         yield packer.take()
+        give_back()
 
     by_value("surveyloom.llm.words", __name__)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = written(slim.mapInArrow(run, DDL), "pack-pieces")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        pieces = written(slim.mapInArrow(run, DDL), "pack-pieces")
     return pieces.where("not open").drop("open", "fill").unionByName(_merged(pieces.where("open"), length))
 
 

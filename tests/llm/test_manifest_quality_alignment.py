@@ -27,6 +27,12 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
+def test_corpus_queries_have_sql_but_for_those_named():
+    # no SQL form; their own tests compare them with brute force
+    none = {"op2_language", "op3_pii", "op5_minhash_near_dedup", "op6_substring_dedup", "op10_packing", "op13_cross_tokenizer_alignment"}
+    assert set(queries.ALL) - set(queries.SQL) == none and set(queries.SQL) <= set(queries.ALL)
+
+
 # ---- operator 11
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -70,6 +71,14 @@ def test_large_groups_of_near_copies(spark):
     assert {got[i] for i in range(60)} == {0} and {got[200 + i] for i in range(50)} == {200} and got[301] == 300 and got[302] == 302
 
 
+def test_links_of_every_text_of_a_repeated_id(spark):
+    base = [[f"{c}{i}" for i in range(80)] for c in "pqr"]
+    near = lambda k, *own: " ".join(base[k][:60] + list(own) + base[k][60:])
+    docs = [(1, near(0)), (1, near(1)), (2, near(0, "x")), (3, near(1, "y")), (4, near(2)), (4, near(2)), (5, near(2, "z"))]
+    got = sorted(tuple(r) for r in bag_minhash.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 1, True)] * 2 + [(2, 1, False), (3, 1, False)] + [(4, 4, True)] * 2 + [(5, 4, False)])
+
+
 def test_few_links_in_a_large_group_are_all_found(spark):
     # pairs of copies (similarity 0.97) in one family whose other pairs lie around 0.74
     rng = np.random.default_rng(5)
@@ -194,20 +203,33 @@ def test_mix_stays_near_its_targets(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
-@pytest.mark.parametrize("slots", [64, 1 << 20])
-def test_exact_mix_gives_small_sources_their_targets(spark, slots):
-    rows = [(i, "word " * 500, "big") for i in range(40)] + [(100 + i, "few " * 10, f"s{i}") for i in range(5)]
+@pytest.mark.parametrize("block", [1, 64, 4096])
+def test_mix_gives_small_sources_their_targets(spark, block):
+    rows = [(i, "word " * 500, "big") for i in range(40)] + [(100 + i, "few " * 10, f"s{i}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     by = defaultdict(list)
-    for r in mixing.mix(df, slots=slots, exact=True).collect():
+    for r in mixing.mix(df, block=block).collect():
         assert 0 <= r.taken <= 2 * r.size
         by[r.source].append(r)
-    assert len(by) == 6
+    assert len(by) == 21
     for rs in by.values():
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= 0.5
     assert all(r.taken == 20 for s, rs in by.items() if s != "big" for r in rs)
 
 
+def test_schedule_gives_each_source_its_slots_evenly(spark):
+    df = spark.createDataFrame([(i, "w " * (400 + 600 * (i % 3 == 0)), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    targets = mixing.source_targets(mixing.sized(df), block=16)
+    want = {r.no: r.slots for r in targets.collect()}
+    rows = sorted((r.slot, r.no, r["rank"]) for r in mixing.schedule(targets).collect())
+    assert len({s for s, _, _ in rows}) == len(rows) == sum(want.values())
+    for no, n in want.items():
+        own = [(s, k) for s, x, k in rows if x == no]
+        assert [k for _, k in own] == list(range(n))
+        # any prefix of the schedule holds the source in its share, but for a few slots
+        assert max(abs(k - s * n / len(rows)) for s, k in own) < 8
+
+
 def test_mixing_stage_keeps_small_sources_of_large_corpora(spark):
     rows = [(i, "word " * 20_000, "en", "big", 100_000) for i in range(120)]
     rows += [(1000 + i, "few", "en", f"small{i}", 3) for i in range(20)]
@@ -218,6 +240,16 @@ def test_mixing_stage_keeps_small_sources_of_large_corpora(spark):
     assert {s: n for s, n in got.items() if s != "big"} == {f"small{i}": 2 for i in range(20)}
 
 
+def test_near_copy_stage_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (5, text), (6, text + " end"), (None, "no id here"), (None, "no id here"), (None, "other words"), (7, "one"), (7, "two")]
+    rows += [(9, None), (9, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, H.SF).select("doc_id", "text").collect()
+    want = [(5, text), (None, "no id here"), (None, "other words"), (7, "one"), (7, "two"), (9, None), (8, "")]
+    assert sorted(map(tuple, got), key=H.key) == sorted(want, key=H.key)
+
+
 def test_mix_hazards(spark):
     df = H.hazards(spark)
     rows = mixing.mix(df).collect()
@@ -234,6 +266,18 @@ def test_mix_hazards(spark):
 # ---- operator 10
 
 
+def test_ids_of_the_tokenizers_own_tokens(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(queries.tokenizer_path())
+    forms = [f"<|{w}|>" for t in ("startoftext", "endoftext") for w in (t, t.upper(), t.capitalize(), t[:5] + " " + t[5:])]
+    texts = forms + [f"Some{f}Words {f}. End{f}" for f in forms] + ["<| The END |>", "A<|b|>C plain WORDS."]
+    for t in texts:
+        ids, bounds = packing.encode(pa.array([t]), queries.tokenizer_path(), 2)
+        assert ids.tolist() == [*model.encode(t, add_special_tokens=False).ids, 2], t
+        assert bounds.tolist() == [0, len(ids)]
+
+
 def round_trip(docs, rows):
     from tokenizers import Tokenizer
 
