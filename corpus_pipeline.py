@@ -33,14 +33,26 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each class of near copies the document with the smallest id stays."""
-    kept = bag_minhash.near_classes(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*COLUMNS)
+    """Operator 5: of each class of near copies the document with the smallest id stays, one row of it.
+
+    Rows without an id, and rows of an id with several texts, go by a number of id
+    and text above all other ids: equal ones are one document.
+    """
+    text = F.xxhash64(F.col("text").isNull(), "text")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min(text) != F.max(text)).alias("_several"))
+    again = again.where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"), "_several")
+    keyed = docs.select(*COLUMNS).join(again, docs["doc_id"] == F.col("_twice"), "left")
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), text), 3)
+    keyed = keyed.withColumn("_key", F.when(F.coalesce("_several", F.col("doc_id").isNull()), own).otherwise(F.col("doc_id")))
+    kept = bag_minhash.near_classes(keyed, id_col="_key").where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    stay = keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi")
+    once = F.col("doc_id").isNotNull() & F.col("_twice").isNull()
+    return stay.where(once).unionByName(stay.where(~once).dropDuplicates(["_key"])).select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: every document as often as the mix takes it, from not at all to twice; each source's words meet its target."""
-    return mixing.repeated(docs.select(*COLUMNS), mixing.mix(docs, exact=True))
+    return mixing.repeated(docs.select(*COLUMNS), mixing.mix(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
