@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import by_value, written
-from surveyloom.llm.words import ranges, slices
+from surveyloom.llm.common import batches_of, by_value, written
+from surveyloom.llm.words import give_back, ranges, slices
 
 # text whose tokens are aligned at once, and whose pairs are numbered together
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
+# rows handed to Python at once, words encoded as one text, and words kept with their ids
+BATCH_ROWS, RUN_WORDS, KEPT_WORDS = 1000, 200, 150_000
 # a pair is one number: the A id above these bits, the B id below
 B_BITS = 24
 # a place in a text is one number: the text above these bits, the byte offset below
@@ -56,6 +60,9 @@ class Side:
     def ids(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return self.bytes.take(pa.array(ids)).buffers()[2].to_pybytes() if len(ids) else b""
+
 
 class ByteLevel(Side):
     """Byte-level BPE of a space and the text; special tokens' strings are plain text."""
@@ -101,33 +108,79 @@ def words_of(text: str | None) -> list[str]:
     return [text] if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
-
-
-def _exact(side: Side, ids: np.ndarray, size: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Whether the tokens of each word join to a space and the word."""
-    joined = side.bytes.take(pa.array(ids))
-    ends = np.concatenate(([0], np.cumsum(side.size[ids])))
-    at = ends[np.concatenate(([0], np.cumsum(size)))]
-    data = joined.buffers()[2].to_pybytes() if len(ids) else b""
-    return np.array([data[a:b] == w for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), words)], bool)
-
-
-def encode(texts: list[str | None], sides: tuple[Side, Side]) -> list[pa.LargeListArray]:
-    """Ids of each text by both tokenizers; texts whose tokens do not join to them have none.
-
-    Each distinct word of the slice is encoded once.
+class Words:
+    """Ids of words by both tokenizers, each word encoded once while it is kept."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.sides = (ByteLevel(a_path), Pieces(b_path))
+        self.place: dict[str, int] = {}
+        self.exact = np.zeros(0, bool)
+        self.parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in self.sides]  # ids, ids per word
+
+    @staticmethod
+    def of(a_path: str, b_path: str) -> Words:
+        """Those of a worker process; they outlive the task."""
+        name = "surveyloom_worker_store"
+        store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+        if (a_path, b_path) not in store:
+            store[(a_path, b_path)] = Words(a_path, b_path)
+        return store[(a_path, b_path)]
+
+    def learn(self, words: list[str]) -> None:
+        """Words without spaces are encoded many at once, as one text, and cut again at their bytes."""
+        words = sorted(words, key=lambda w: " " in w)
+        plain = next((i for i, w in enumerate(words) if " " in w), len(words))
+        runs = [words[i : min(i + RUN_WORDS, plain)] for i in range(0, plain, RUN_WORDS)] + [[w] for w in words[plain:]]
+        coded = [_cut(s, [" ".join(r) for r in runs], runs) for s in self.sides]
+        self.exact = np.concatenate((self.exact, np.logical_and(*[c[2] for c in coded])))
+        self.parts = [tuple(np.concatenate(x) for x in zip(p, c[:2])) for p, c in zip(self.parts, coded)]
+        n = len(self.place)
+        self.place.update((w, n + i) for i, w in enumerate(words))
+
+    def of_slice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
+        """(place of each word, whether a place's tokens are exact, ids and ids per place); new words go again if too many are kept."""
+        new = [w for w in words if w not in self.place]
+        before = self.exact, self.parts
+        if new:
+            self.learn(new)
+        out = np.fromiter((self.place[w] for w in words), np.int64, len(words)), self.exact, self.parts
+        if len(self.place) > KEPT_WORDS:
+            for w in new:
+                del self.place[w]
+            self.exact, self.parts = before
+        return out
+
+
+def _cut(side: Side, texts: list[str], runs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all words, ids per word, whether a word's tokens join to a space and the word); texts are the words of runs.
+
+    A run that its tokens do not join to is encoded word by word.
     """
+    ids, sizes, exact = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for x, text, words in zip(side.ids(texts), texts, runs):
+        one = np.array(x, np.int32)
+        fits = side.joined(one) == f" {text}".encode()
+        size = np.array([len(one)])
+        if len(words) > 1:
+            ends, cuts = np.cumsum(side.size[one]), np.cumsum([len(w.encode()) + 1 for w in words])
+            at = np.searchsorted(ends, cuts)
+            if fits and np.array_equal(ends[at], cuts):
+                size = np.diff(at + 1, prepend=0)
+            else:
+                one, size, fits = _cut(side, words, [[w] for w in words])
+        ids.append(one)
+        sizes.append(size)
+        exact.append(np.broadcast_to(fits, len(words)))
+    return np.concatenate(ids), np.concatenate(sizes), np.concatenate(exact)
+
+
+def encode(texts: list[str | None], known: Words) -> list[pa.LargeListArray]:
+    """Ids of each text by both tokenizers; texts whose tokens do not join to them have none."""
     lists = [words_of(t) for t in texts]
     count = np.fromiter(map(len, lists), np.int64, len(lists))
     coded = pa.array(chain.from_iterable(lists), pa.large_string()).dictionary_encode()
-    words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    raw = [f" {w}".encode() for w in words]
-    parts = [_flat(s.ids(words)) for s in sides]
-    exact = np.logical_and(*[_exact(s, *p, raw) for s, p in zip(sides, parts)])
-    doc = np.repeat(np.arange(len(lists)), count)
+    at, exact, parts = known.of_slice(coded.dictionary.to_pylist())
+    place, doc = at[coded.indices.to_numpy()], np.repeat(np.arange(len(lists)), count)
     bad = np.zeros(len(lists), bool)
     bad[doc[~exact[place]]] = True
     place, doc = place[~bad[doc]], doc[~bad[doc]]
@@ -221,12 +274,13 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = (ByteLevel(a_path), Pieces(b_path))
+        give_back()
+        known = Words.of(a_path, b_path)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
-                ids = encode(part.column("text").to_pylist(), sides)
-                per, links = align(ids, sides)
+                ids = encode(part.column("text").to_pylist(), known)
+                per, links = align(ids, known.sides)
                 pairs, held = _numbered(links, part.num_rows)
                 own = {f.name: _flattened(c, f.type) for t in (per, held) for f, c in ((ALIGNED.field(k), t[k]) for k in t.column_names)}
                 yield _rows(part.num_rows, slice=pa.repeat(pa.scalar(number, pa.int64()), part.num_rows), doc_id=part.column("doc_id"), **own)
@@ -234,10 +288,12 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                     one = {k: pa.ListArray.from_arrays(pa.array([0, pairs.num_rows], pa.int32()), pairs[c].combine_chunks()) for k, c in (("pairs", "pair"), ("docs", "docs"))}
                     yield _rows(1, slice=pa.array([number]), **one)
                 number += 1
+            give_back()
 
     by_value("surveyloom.llm.words", __name__)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(slim.mapInArrow(run, DDL), "align")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return written(slim.mapInArrow(run, DDL), "align")
 
 
 def pair_counts(table: DataFrame) -> DataFrame:

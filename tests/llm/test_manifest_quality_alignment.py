@@ -262,6 +262,7 @@ def test_alignment_of_odd_texts_in_many_slices(spark, sides, monkeypatch):
     docs += [(100 + i, "".join(rng.choice(letters, int(rng.integers(1, 60))))) for i in range(300)]
     df = spark.createDataFrame([(*r, 1, 2) for r in docs], "doc_id long, text string, slice int, pairs int")
     monkeypatch.setattr(alignment, "TEXT_BYTES", 2000)
+    monkeypatch.setattr(alignment, "KEPT_WORDS", 50)
     got = [tuple(r) for r in alignment.linked(df, A, B).collect()]
     assert sorted(got, key=H.key) == sorted(plain_result(docs, sides), key=H.key)
     assert any(g[1] for g in got) and sum(not g[1] for g in got) > 3
@@ -270,7 +271,7 @@ def test_alignment_of_odd_texts_in_many_slices(spark, sides, monkeypatch):
 
 def test_links_of_a_slice(sides):
     texts = ["some words of text", None, "other words"]
-    ids = alignment.encode(texts, sides)
+    ids = alignment.encode(texts, alignment.Words(A, B))
     per, links = alignment.align(ids, sides)
     assert per["n_links"].to_pylist() == [len(plain_alignment(t, sides)[3]) for t in texts]
     assert [tuple(r.values())[1:] for r in links.to_pylist()] == [p for t in texts for p in plain_alignment(t, sides)[3]]
