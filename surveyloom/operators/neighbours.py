@@ -235,6 +235,29 @@ def vote(neighbours: DataFrame, weights: str = "distance") -> DataFrame:
     return best.select("qid", F.col("y").alias("pred"), "nearest", "farthest")
 
 
+def vote_grid(neighbours: DataFrame, ks: Sequence[int], weights: Sequence[str] = ("uniform", "distance")) -> DataFrame:
+    """Predictions of all settings from one list of neighbours: (qid, k, weights, pred).
+
+    ``neighbours`` holds the largest k of every query. A neighbour counts for each k
+    that its rank reaches, so all settings come from one aggregation. Under
+    ``distance`` a class with more neighbours at distance 0 wins before any other.
+    """
+    grid = neighbours.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k")
+    near = F.sum(F.when(F.col("dist") == 0, 1).otherwise(0))
+    per = grid.groupBy("qid", "k", "y").agg(
+        F.count("*").cast("double").alias("votes"), near.cast("double").alias("zero"),
+        F.sum(F.when(F.col("dist") > 0, 1 / F.col("dist")).otherwise(0.0)).alias("near"),
+    )
+    score = {
+        "uniform": (F.col("votes"), F.lit(0.0)),
+        "distance": (F.col("zero"), F.when(F.col("zero") == 0, F.col("near")).otherwise(0.0)),
+    }
+    each = F.array(*[F.struct(F.lit(w).alias("weights"), score[w][0].alias("a"), score[w][1].alias("b")) for w in weights])
+    each = per.select("qid", "k", "y", F.inline(each))
+    top = Window.partitionBy("qid", "k", "weights").orderBy(F.desc("a"), F.desc("b"), F.asc("y"))
+    return each.withColumn("r", F.row_number().over(top)).where("r = 1").select("qid", "k", "weights", F.col("y").alias("pred"))
+
+
 def _as_array(df: DataFrame, col: str) -> Column:
     if isinstance(df.schema[col].dataType, VectorUDT):
         return vector_to_array(F.col(col))

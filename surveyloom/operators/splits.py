@@ -133,6 +133,60 @@ def stratified_group_kfold(
     return attach_by_key(df, materialise(folds, "group-folds"), group_col, out, "_rows")
 
 
+def balanced_group_kfold(
+    df: DataFrame, label: str, group_col: str, n_splits: int = 5, seed=42, out: str = "fold", bundles: int = 64
+) -> DataFrame:
+    """Folds of like size and like classes whose rows keep each group together.
+
+    Groups with more than 1 / (n_splits * bundles) of the rows, of which there are
+    fewer than that many, are placed one by one; all others are dealt by hash into
+    n_splits * bundles bundles, placed whole. The largest come first, and each goes
+    to the fold where its classes are rarest so far, counted in shares of the class
+    and of all rows. Only class counts of groups and bundles reach the driver.
+
+    A null group is a group, a null label a class. No rows: none.
+    """
+    units = n_splits * bundles
+    sizes = df.groupBy(group_col, label).agg(F.count("*").alias("_n"))
+    per = sizes.groupBy(group_col).agg(
+        F.sum("_n").alias("_rows"), F.map_from_entries(F.collect_list(F.struct(_named(label).alias("k"), "_n"))).alias("_by")
+    )
+    groups = materialise(per.withColumn("_of", F.conv(F.substring(hash_order(seed, F.coalesce(F.col(group_col).cast("string"), F.lit("\0"))), 1, 8), 16, 10).cast("long") % units), "groups")
+    total = groups.agg(F.sum("_rows")).first()[0] or 0
+    unit = F.when(F.col("_rows") * units > total, F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit("-")))
+    groups = groups.withColumn("_unit", F.coalesce(unit, F.col("_of").cast("string")))
+    counts = groups.select("_unit", F.explode("_by").alias("_class", "_n")).groupBy("_unit", "_class").agg(F.sum("_n").alias("_n"))
+    placed = _placed({(r["_unit"], r["_class"]): r["_n"] for r in counts.collect()}, n_splits)
+    folds = df.sparkSession.createDataFrame(sorted(placed.items()), f"_unit string, `{out}` int")
+    folds = groups.join(F.broadcast(folds), "_unit").select(group_col, out, "_rows")
+    return attach_by_key(df, materialise(folds, "group-folds"), group_col, out, "_rows")
+
+
+def _named(label: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("-"))
+
+
+def _placed(counts: dict[tuple[str, str], int], n_splits: int) -> dict[str, int]:
+    """Fold of each unit from its class counts; whole numbers, so every run and engine agrees."""
+    per, of_class = {}, {}
+    for (unit, c), n in counts.items():
+        per.setdefault(unit, {})[c] = n
+        of_class[c] = of_class.get(c, 0) + n
+    total = sum(of_class.values())
+    weight = {c: 1_000_000 * total * total // (n * n) for c, n in of_class.items()}
+    folds, rows, out = [dict.fromkeys(of_class, 0) for _ in range(n_splits)], [0] * n_splits, {}
+    for unit in sorted(per, key=lambda u: (-sum(per[u].values()), u)):
+        mine = per[unit]
+        size = sum(mine.values())
+        cost = [sum(weight[c] * n * f[c] for c, n in mine.items()) + 1_000_000 * len(of_class) * size * r for f, r in zip(folds, rows)]
+        best = cost.index(min(cost))
+        out[unit] = best
+        rows[best] += size
+        for c, n in mine.items():
+            folds[best][c] += n
+    return out
+
+
 def attach_by_key(df: DataFrame, table: DataFrame, key: str, value: str, rows: str) -> DataFrame:
     """Left join of one value per key that survives a hot key.
 

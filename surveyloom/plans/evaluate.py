@@ -10,11 +10,12 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.operators.multihot import categories_by_fold
 from surveyloom.operators.naive_bayes import count_by_fold, score_texts, tokenized
+from surveyloom.operators.neighbours import nearest, vote_grid
 from surveyloom.operators.splits import holdout, stratified_group_kfold, stratified_kfold
 from surveyloom.plans.train import (
     Layout,
@@ -158,6 +159,52 @@ def grid_search(
     }, ranked
 
 
+def grid_search_knn(
+    df: DataFrame,
+    ks: Sequence[int] = tuple(GRIDS["knn"]["k"]),
+    weights: Sequence[str] = tuple(GRIDS["knn"]["weights"]),
+    powers: Sequence[int] = tuple(GRIDS["knn"]["p"]),
+    id_col: str = "row_id",
+    label: str = "label",
+    vector: str = "x",
+    n_splits: int = 3,
+    seed=42,
+    **search,
+) -> tuple[dict, DataFrame]:
+    """Best setting of a neighbour model and the ranked settings (k, weights, p, fold_scores, mean, deviation, place).
+
+    Each fold is searched once per power with the largest k; the votes of every k
+    and weighting come from that one list. Rows without a label or vector are left out.
+    """
+    known = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    folded = stratified_kfold(known.select(id_col, label), label, id_col, n_splits, seed).select(id_col, "fold")
+    rows = materialise(known.select(id_col, label, vector).join(folded, id_col), "knn-folds")
+
+    def accuracies(task: tuple[int, int]) -> DataFrame:
+        fold, p = task
+        train = rows.where(F.col("fold") != fold).select(F.col(id_col).alias("tid"), F.col(label).alias("y"), F.col(vector).alias("x"))
+        asked = rows.where(F.col("fold") == fold).select(F.col(id_col).alias("qid"), F.col(vector).alias("x"))
+        found = materialise(nearest(train, asked, max(ks), p, **search), "knn-found")
+        truth = rows.select(F.col(id_col).alias("qid"), F.col(label).alias("truth"))
+        scored = vote_grid(found, ks, weights).join(truth, "qid")
+        return materialise(
+            scored.groupBy("k", "weights").agg(accuracy("pred", "truth").alias("acc")).select(
+                "k", "weights", F.lit(p).alias("p"), F.lit(fold).alias("fold"), "acc"
+            ), "knn-accuracy",
+        )
+
+    per_fold = _at_once(df, accuracies, list(product(range(n_splits), powers)), n_splits * len(powers))
+    table = per_fold[0]
+    for t in per_fold[1:]:
+        table = table.unionByName(t)
+    results = summarise(table, ["k", "weights", "p"])
+    # one partition, but of settings only; equal results go by their setting
+    order = Window.orderBy(F.desc(F.round("mean_val_acc", 9)), F.asc(F.round("std_val_acc", 9)), "k", "weights", "p")
+    ranked = materialise(results.withColumn("place", F.row_number().over(order)), "knn-ranked").orderBy("place")
+    best = ranked.first()
+    return {c: best[c] for c in ("k", "weights", "p", "mean_val_acc", "std_val_acc")}, ranked
+
+
 def evaluate_holdout(
     df: DataFrame,
     recipe: Recipe,

@@ -372,6 +372,30 @@ def sql() -> dict[str, str]:
                 (PARTITION BY user_id ORDER BY n DESC, event_type DESC) AS r FROM sizes) WHERE r = 1),
             placed AS (SELECT user_id, row_number() OVER (ORDER BY m, {keyed.format('user_id')}, user_id) - 1 AS place FROM major)
             SELECT event_id, events.user_id, event_type, (place % 5)::INTEGER AS fold FROM events JOIN placed USING (user_id)""",
+        "group_kfold_balanced": """WITH RECURSIVE g AS (SELECT user_id, count(*) AS n,
+                ('0x' || left(md5('42:' || user_id), 8))::BIGINT % 320 AS bundle FROM events GROUP BY user_id),
+            u AS (SELECT user_id, CASE WHEN n * 320 > (SELECT count(*) FROM events) THEN '=' || user_id ELSE bundle::VARCHAR END AS unit FROM g),
+            c AS (SELECT event_type AS c, row_number() OVER (ORDER BY event_type) AS i,
+                (1000000::HUGEINT * (SELECT count(*) FROM events) * (SELECT count(*) FROM events)) // (count(*) * count(*)) AS w
+                FROM events GROUP BY event_type),
+            z AS (SELECT count(*) AS m, list(w::HUGEINT ORDER BY i) AS ws FROM c),
+            k AS (SELECT x.unit, c.i, coalesce(y.n, 0) AS n FROM (SELECT DISTINCT unit FROM u) x CROSS JOIN c
+                LEFT JOIN (SELECT unit, event_type, count(*) AS n FROM events JOIN u USING (user_id) GROUP BY 1, 2) y
+                ON y.unit = x.unit AND y.event_type = c.c),
+            o AS (SELECT unit, row_number() OVER (ORDER BY sum(n) DESC, unit) AS step, sum(n)::HUGEINT AS size,
+                list(n::HUGEINT ORDER BY i) AS ns FROM k GROUP BY unit),
+            r(step, unit, fold, full_, rows_) AS (
+                SELECT 0::BIGINT, ''::VARCHAR, -1::BIGINT, list_transform(range(5 * m), lambda x: 0::HUGEINT),
+                    list_transform(range(5), lambda x: 0::HUGEINT) FROM z
+                UNION ALL
+                SELECT step, unit, best,
+                    list_transform(range(1, 5 * m + 1), lambda x: full_[x] + CASE WHEN (x - 1) // m = best THEN ns[(x - 1) % m + 1] ELSE 0 END),
+                    list_transform(range(5), lambda f: rows_[f + 1] + CASE WHEN f = best THEN size ELSE 0 END)
+                FROM (SELECT *, list_position(costs, list_min(costs)) - 1 AS best FROM (
+                    SELECT o.*, full_, rows_, m, list_transform(range(5), lambda f: list_reduce(list_transform(range(1, m + 1),
+                        lambda j: ws[j] * ns[j] * full_[f * m + j]), lambda a, b: a + b) + 1000000 * m * size * rows_[f + 1]) AS costs
+                    FROM r JOIN o ON o.step = r.step + 1, z)))
+            SELECT event_id, events.user_id, event_type, fold::INTEGER AS fold FROM events JOIN u USING (user_id) JOIN r USING (unit)""",
         "holdout": f"""SELECT event_id, event_type, rn <= (CASE WHEN n >= 2 THEN greatest(1, least(n - 1, {held.format('0.8')}))
             ELSE {held.format('0.8')} END) AS is_train FROM
             (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type) AS n,
@@ -381,6 +405,24 @@ def sql() -> dict[str, str]:
                 row_number() OVER (ORDER BY {keyed.format('event_id')}, event_id) AS rn FROM events)""",
         "knn": knn,
         "knn_cells": knn,
+        "grid_search_knn": f"""WITH placed AS (SELECT *, row_number() OVER (ORDER BY first_, label, {keyed.format('vec_id')}, vec_id) - 1 AS place
+                FROM (SELECT *, min(vec_id) OVER (PARTITION BY label) AS first_ FROM embeddings WHERE label IS NOT NULL)),
+            f AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x, place % 3 AS fold FROM placed),
+            d AS (SELECT q.vec_id, q.label AS truth, q.fold, t.vec_id AS tid, t.label, list_transform(list_zip(q.x, t.x), lambda e: abs(e[1] - e[2])) AS e
+                FROM f q JOIN f t ON q.fold <> t.fold),
+            s AS (SELECT * EXCLUDE e, 1 AS p, list_sum(e) AS d FROM d
+                UNION ALL SELECT * EXCLUDE e, 2, sqrt(list_sum(list_transform(e, lambda v: v * v))) FROM d),
+            n AS (SELECT *, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, tid) AS r FROM s QUALIFY r <= 13),
+            v AS (SELECT vec_id, truth, fold, p, k, label, count(*)::DOUBLE AS votes, count(*) FILTER (d = 0) AS zero,
+                sum(CASE WHEN d > 0 THEN 1 / d ELSE 0 END) AS near
+                FROM n, (SELECT unnest([5, 7, 9, 11, 13]) AS k) WHERE r <= k GROUP BY ALL),
+            w AS (SELECT *, 'uniform' AS weights, votes AS a, 0 AS b FROM v
+                UNION ALL SELECT *, 'distance', zero, CASE WHEN zero = 0 THEN near ELSE 0 END FROM v),
+            h AS (SELECT *, row_number() OVER (PARTITION BY vec_id, p, k, weights ORDER BY a DESC, b DESC, label) AS first_ FROM w QUALIFY first_ = 1),
+            a AS (SELECT k, weights, p, fold, avg((label = truth)::INT) AS acc FROM h GROUP BY ALL),
+            m AS (SELECT k, weights, p, avg(acc) AS mean_val_acc, stddev_pop(acc) AS std_val_acc FROM a GROUP BY ALL)
+            SELECT row_number() OVER (ORDER BY round(mean_val_acc, 9) DESC, round(std_val_acc, 9), k, weights, p)::INTEGER AS place, k, weights, p,
+                round(mean_val_acc, 6) AS mean_val_acc, round(std_val_acc, 6) AS std_val_acc FROM m""",
         "score_batch": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
         "score_stream": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
     }

@@ -483,6 +483,11 @@ def group_kfold(spark, sf):
     return P.stratified_group_kfold(df, "event_type", "user_id", 5, 42)
 
 
+def group_kfold_balanced(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return P.balanced_group_kfold(df, "event_type", "user_id", 5, 42)
+
+
 def holdout(spark, sf):
     df = table(spark, sf, "events").select("event_id", "event_type")
     return P.holdout(df, "event_type", "event_id", 0.8, 42)
@@ -578,6 +583,15 @@ def grid_search(spark, sf):
     return ranked
 
 
+def grid_search_knn(spark, sf):
+    """Twenty settings over all labelled vectors from two searches per fold, best first."""
+    df = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    _, ranked = E.grid_search_knn(df, id_col="vec_id")
+    return ranked.select(
+        "place", "k", "weights", "p", r6("mean_val_acc").alias("mean_val_acc"), r6("std_val_acc").alias("std_val_acc")
+    )
+
+
 def repeated_holdout(spark, sf):
     df, layout = _role_table(spark, sf)
     return E.repeated_holdout(df, T.Recipe("logistic", ROLE_TRAIN), range(3), layout)
@@ -650,6 +664,7 @@ ALL = {
     "feature_table": feature_table,
     "kfold": kfold,
     "group_kfold": group_kfold,
+    "group_kfold_balanced": group_kfold_balanced,
     "holdout": holdout,
     "holdout_random": holdout_random,
     "knn": knn,
@@ -661,6 +676,7 @@ ALL = {
     "evaluate": evaluate,
     "evaluate_grouped": evaluate_grouped,
     "grid_search": grid_search,
+    "grid_search_knn": grid_search_knn,
     "repeated_holdout": repeated_holdout,
     "score_batch": score_batch,
     "score_stream": score_stream,
