@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.functions.scales import NUMBER
+from surveyloom.operators.quantiles import medians
 
 
 def missing_count(cols: Iterable[str]) -> Column:
@@ -72,3 +78,43 @@ def audit(df: DataFrame, checks: Sequence[tuple[str, str, str, Column]]) -> Data
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Rows per value; NULL is a value of its own."""
     return df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+
+
+class _FillParams(Params):
+    inputCols = Param(Params._dummy(), "inputCols", "number columns", TypeConverters.toListString)
+    batch = Param(Params._dummy(), "batch", "whether the rows at hand are asked first", TypeConverters.toBoolean)
+
+
+class FillsModel(Model, _FillParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Fills NULLs with the median of the rows at hand, else that of the training rows, else 0.
+
+    A stream has no rows at hand: set ``batch`` to false there, or one record would
+    be filled from itself.
+    """
+
+    values = Param(Params._dummy(), "values", "training medians as JSON", TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(batch=True)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        columns = [c for c in self.getOrDefault(self.inputCols) if c in df.columns]
+        own = medians(df, columns) if self.getOrDefault(self.batch) and not df.isStreaming else {}
+        fills = first_known(own, json.loads(self.getOrDefault(self.values)), dict.fromkeys(columns, 0.0))
+        return fill_values(df, {c: fills[c] for c in columns})
+
+
+class Fills(Estimator, _FillParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Keeps the medians of the training rows as a stage of a pipeline."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, batch=True):
+        super().__init__()
+        self._setDefault(batch=True)
+        self._set(**{n: v for n, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame) -> FillsModel:
+        values = json.dumps(medians(df, self.getOrDefault(self.inputCols)))
+        model = FillsModel()._set(values=values)
+        return self._copyValues(model)

@@ -421,3 +421,93 @@ def count_by_fold(
     for (f, c, _), entry in sorted(found.items(), key=lambda kv: (-kv[1][1], kv[1][0])):
         ranked.setdefault((f, c), []).append(entry)
     return FoldCounts(columns, classes, n_folds, rows_in, ranked)
+
+
+# Bytes of one hash, each the draw of a row for one seed.
+DRAWS = 32
+
+
+def training_sides(id_col: str, seeds: int, train_size: float = 0.8) -> Column:
+    """For each seed 0, 1, .. whether a row is a training row: 1 or 0, each from a byte of a hash of its id.
+
+    The share of training rows is ``train_size`` to the next 1/256.
+    """
+    limit, parts = round(train_size * 256), []
+    for block in range(0, seeds, DRAWS):
+        here = F.sha2(F.concat(F.lit(f"{block // DRAWS}:"), F.col(id_col).cast("string")), 256)
+        draws = range(min(DRAWS, seeds - block))
+        parts += [(F.conv(F.substring(here, 2 * i + 1, 2), 16, 10).cast("int") < limit).cast("int") for i in draws]
+    return F.array(*parts)
+
+
+@dataclass
+class RepeatedModels:
+    """Models of one text column for many random splits; lists run over seeds, then over classes."""
+
+    classes: list
+    prior: list
+    base: list
+    vocab: list
+    # per token of any seed's vocabulary: what it adds to (seed, class), and whether it is in the seed's vocabulary
+    deltas: list
+    within: list
+
+    def predicted(self, df: DataFrame, column: str, out: str = "preds") -> DataFrame:
+        """The place of the predicted class for each seed: one look-up of a text's tokens, no join."""
+        n, flat = len(self.classes), lambda rows: [x for r in rows for x in r]
+        table = F.from_json(F.lit(json.dumps(self.deltas)), "array<array<double>>")
+        inside = F.from_json(F.lit(json.dumps(self.within)), "array<array<int>>")
+        add = lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)
+        names = df.columns
+        df = presence_vector(df, column, self.vocab, "_v").withColumn("_hits", F.unwrap_udt("_v")["indices"])
+        df = df.withColumn("_sum", F.aggregate("_hits", _array(flat(self.base)), lambda a, i: add(a, F.get(table, i))))
+        none = F.from_json(F.lit(json.dumps([0] * len(self.prior))), "array<int>")
+        df = df.withColumn("_seen", F.aggregate("_hits", none, lambda a, i: add(a, F.get(inside, i))))
+        prior = _array(flat(self.prior))
+
+        def best(s: Column) -> Column:
+            score = F.when(F.get("_seen", s) == 0, F.slice(prior, s * n + 1, n)).otherwise(F.slice("_sum", s * n + 1, n))
+            score = F.transform(score, lambda x: F.round(x, 9))
+            return (F.array_position(score, F.array_max(score)) - 1).cast("int")
+
+        seeds = F.sequence(F.lit(0), F.lit(len(self.prior) - 1))
+        return df.withColumn(out, F.transform(seeds, best)).select(*[F.col(f"`{c}`") for c in names], out)
+
+
+def fit_repeated(df: DataFrame, label: str, column: str, sides: str, seeds: int, k: int, alpha: float = 0.5) -> RepeatedModels:
+    """The models of all splits from one scan of the tokens.
+
+    ``sides`` holds a 1 for each seed whose training rows a row belongs to. Counts of a
+    (token, class) are sums along it, one per seed; vocabularies are ranked from them.
+    The driver receives seeds x classes totals and seeds x k x classes counts.
+    """
+    sums = lambda: F.array(*[F.sum(F.get(sides, F.lit(i))) for i in range(seeds)])
+    known = df.where(F.col(label).isNotNull())
+    totals = {r[label]: r["n"] for r in known.groupBy(label).agg(sums().alias("n")).collect()}
+    classes = sorted(totals)
+    hits = known.select(label, sides, F.explode(tokens_of(known, column)).alias("token"))
+    counts = materialise(hits.groupBy("token", label).agg(sums().alias("n")), "repeated-counts")
+    each = counts.select("token", label, F.posexplode("n").alias("seed", "c")).where("c > 0")
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("df"), F.asc("token")))
+    top = each.groupBy("seed", "token").agg(F.sum("c").alias("df")).withColumn("_r", rank).where(F.col("_r") <= k)
+    found = each.join(F.broadcast(top.select("seed", "token")), ["seed", "token"]).collect()
+    seen: dict[tuple, dict] = {}
+    for r in found:
+        seen.setdefault((r["seed"], r["token"]), {})[r[label]] = r["c"]
+    vocab = sorted({t for _, t in seen})
+    prior = [[math.log(max(totals[c][s], CLIP) / max(1, sum(totals[d][s] for d in classes))) for c in classes] for s in range(seeds)]
+    base = [list(row) for row in prior]
+    deltas, within = [], []
+    for t in vocab:
+        row, here = [], []
+        for s in range(seeds):
+            by = seen.get((s, t))
+            here.append(int(by is not None))
+            for i, c in enumerate(classes):
+                p = _smoothed(by.get(c, 0), totals[c][s], alpha) if by else None
+                row.append(math.log(p) - math.log(1.0 - p) if by else 0.0)
+                if by:
+                    base[s][i] += math.log(1.0 - p)
+        deltas.append(row)
+        within.append(here)
+    return RepeatedModels(classes, prior, base, vocab, deltas, within)

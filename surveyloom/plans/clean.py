@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from surveyloom.operators.cleaning import (
     numeric_columns,
 )
 from surveyloom.operators.quantiles import medians, upper_caps
-from surveyloom.schema import MISSING, SURVEY, SURVEY_ALTERNATIVE, SURVEY_SCRIPT, CleanSpec
+from surveyloom.schema import MISSING, RAW_TO_CANONICAL, SURVEY, SURVEY_ALTERNATIVE, SURVEY_SCRIPT, CleanSpec
 from surveyloom.session import materialise, spread
-from surveyloom.sources.tables import ensure_survey_schema, is_cleaned, read_csv, write_csv
+from surveyloom.sources.tables import ensure_survey_schema, headers, is_cleaned, read_csv, typed_cleaned, write_csv
 
 
 @dataclass
@@ -221,3 +222,25 @@ def clean_csv(spark: SparkSession, source: str, target: str, plan=clean_alternat
 def resolve_training(df: DataFrame, spec: CleanSpec = SURVEY) -> DataFrame:
     """A table with labels is taken as cleaned, any other one is cleaned first."""
     return df if is_cleaned(df, spec) else clean(df, spec).df
+
+
+def resolve_folder(
+    spark: SparkSession, path: str, spec: CleanSpec = SURVEY, names: Mapping = RAW_TO_CANONICAL, multi_line: bool = True
+) -> DataFrame:
+    """Cleaned rows of a folder of raw and cleaned CSV files, told apart by the header of each file.
+
+    Files with the label column are taken as cleaned, all others are cleaned
+    together; the parts are united by column name. Files of one header are read as
+    one table, so there are as many reads as headers, not files.
+    """
+    raw, done = [], []
+    for r in headers(spark, path).orderBy("header").collect():
+        df = read_csv(spark, r["files"], names, multi_line)
+        (done if is_cleaned(df, spec) else raw).append(df)
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    parts = [typed_cleaned(union(done), spec)] if done else []
+    if raw:
+        parts.append(clean(union(raw), spec).df)
+    if not parts:
+        raise ValueError(f"no CSV files in {path}")
+    return union(parts)

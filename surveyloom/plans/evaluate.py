@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.operators.multihot import categories_by_fold
-from surveyloom.operators.naive_bayes import count_by_fold, score_texts, tokenized
+from surveyloom.operators.naive_bayes import count_by_fold, fit_repeated, score_texts, tokenized, training_sides
 from surveyloom.operators.neighbours import nearest, vote_grid
 from surveyloom.operators.splits import holdout, stratified_group_kfold, stratified_kfold
 from surveyloom.plans.train import (
@@ -252,6 +252,32 @@ def repeated_holdout(df: DataFrame, recipe: Recipe, seeds: Iterable, layout: Lay
     )
 
 
+def repeated_nb(
+    df: DataFrame, column: str, label: str, id_col: str, seeds: int = 50, k: int = 40, alpha: float = 0.5, train_size: float = 0.8
+) -> DataFrame:
+    """Accuracy of a naive Bayes text model on many random splits: (seed, train_rows, val_rows, train_acc, val_acc).
+
+    All splits share one tokenized table, one counting scan and one scoring scan.
+    Rows without a label are left out.
+    """
+    known = df.where(F.col(label).isNotNull()).select(id_col, label, column)
+    known = tokenized(known.withColumn("_sides", training_sides(id_col, seeds, train_size)), [column])
+    model = fit_repeated(known, label, column, "_sides", seeds, k, alpha)
+    truth = (F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col(label)) - 1).cast("int")
+    scored = model.predicted(known, column, "_preds").select("_sides", "_preds", truth.alias("_truth"))
+
+    def one(s: int, side: int) -> Column:
+        right = (F.get("_preds", F.lit(s)) == F.col("_truth")).cast("double")
+        here = F.get("_sides", F.lit(s)) == side
+        return F.struct(F.count_if(here).alias("n"), F.avg(F.when(here, right)).alias("acc"))
+
+    per = scored.agg(F.array(*[F.struct(F.lit(s).alias("seed"), one(s, 1).alias("t"), one(s, 0).alias("v")) for s in range(seeds)]).alias("r"))
+    return per.select(F.inline("r")).select(
+        "seed", F.col("t.n").alias("train_rows"), F.col("v.n").alias("val_rows"),
+        F.col("t.acc").alias("train_acc"), F.col("v.acc").alias("val_acc"),
+    )
+
+
 def text_model_accuracy(df: DataFrame, scores: PipelineModel, label: str = "label") -> DataFrame:
     """Accuracy of each text model alone: (column, accuracy)."""
     models = scores.stages[-1].models

@@ -325,6 +325,14 @@ def sql() -> dict[str, str]:
         "clean_table": CLEANED,
         "clean_audit": _audit(),
         "csv_round_trip": CLEANED,
+        "resolve_mixed": CLEANED.replace("FROM orders)", "FROM orders WHERE o_orderkey % 2 = 0)")
+        + f" UNION ALL SELECT * FROM ({CLEANED}) WHERE order_id::BIGINT % 2 = 1",
+        "fill_fallback": """WITH p AS (SELECT p_partkey,
+                CASE WHEN p_size BETWEEN 5 AND 40 AND p_partkey % 2 = 0 THEN p_size::DOUBLE END AS size,
+                CASE WHEN p_retailprice BETWEEN 910 AND 1500 THEN p_retailprice END AS price FROM part)
+            SELECT p_partkey, coalesce(size, (SELECT median(size) FROM p WHERE p_partkey % 2 = 0)) AS size,
+                coalesce(price, (SELECT median(price) FROM p WHERE p_partkey % 2 = 1)) AS price, 0.0::DOUBLE AS none
+            FROM p WHERE p_partkey % 2 = 1""",
         "tokenize": f"""SELECT doc_id, len(t)::INTEGER AS n, coalesce(array_to_string(t, ' '), '') AS tokens
             FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)""",
         "vocab_topk": f"""SELECT t AS token, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS t FROM documents)
@@ -423,6 +431,26 @@ def sql() -> dict[str, str]:
             m AS (SELECT k, weights, p, avg(acc) AS mean_val_acc, stddev_pop(acc) AS std_val_acc FROM a GROUP BY ALL)
             SELECT row_number() OVER (ORDER BY round(mean_val_acc, 9) DESC, round(std_val_acc, 9), k, weights, p)::INTEGER AS place, k, weights, p,
                 round(mean_val_acc, 6) AS mean_val_acc, round(std_val_acc, 6) AS std_val_acc FROM m""",
+        "repeated_nb": f"""WITH r AS (SELECT conv_id * 1000 + turn AS id, role AS y, list_distinct({tokens('text')}) AS toks FROM conversations),
+            m AS (SELECT id, y, s AS seed, ('0x' || substr(sha256((s // 32) || ':' || id), (2 * (s % 32) + 1)::INT, 2))::INT < 205 AS inside
+                FROM r, range(50) x(s)),
+            ex AS (SELECT id, y, t FROM (SELECT id, y, unnest(toks) AS t FROM r) WHERE t <> 'missing'),
+            cls AS (SELECT seed, y, count(*) AS n, row_number() OVER (PARTITION BY seed ORDER BY y) AS ci, sum(count(*)) OVER (PARTITION BY seed) AS total
+                FROM m WHERE inside GROUP BY seed, y),
+            seen AS (SELECT seed, m.y, t, count(*) AS c FROM ex JOIN m USING (id) WHERE inside GROUP BY ALL),
+            vocab AS (SELECT seed, t FROM (SELECT seed, t, sum(c) AS df FROM seen GROUP BY ALL)
+                QUALIFY row_number() OVER (PARTITION BY seed ORDER BY df DESC, t) <= 40),
+            par AS (SELECT v.seed, v.t, cls.y, (coalesce(c, 0) + 0.5::DOUBLE) / (n + 1.0::DOUBLE) AS p
+                FROM vocab v JOIN cls USING (seed) LEFT JOIN seen s ON s.seed = v.seed AND s.t = v.t AND s.y = cls.y),
+            base AS (SELECT cls.seed, cls.y, ci, ln(n::DOUBLE / total) AS prior, sum(ln(1 - p)) AS miss
+                FROM cls JOIN par ON par.seed = cls.seed AND par.y = cls.y GROUP BY ALL),
+            hit AS (SELECT id, par.seed, par.y, sum(ln(p) - ln(1 - p)) AS d FROM ex JOIN par USING (t) GROUP BY ALL),
+            sc AS (SELECT m.id, m.seed, m.y AS truth, inside, b.y, ci, round(CASE WHEN d IS NULL THEN prior ELSE prior + miss + d END, 9) AS score
+                FROM m JOIN base b ON b.seed = m.seed LEFT JOIN hit h ON h.id = m.id AND h.seed = m.seed AND h.y = b.y),
+            pr AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY id, seed ORDER BY score DESC, ci) = 1)
+            SELECT seed::INTEGER AS seed, count(*) FILTER (inside) AS train_rows, count(*) FILTER (NOT inside) AS val_rows,
+                round(avg((y = truth)::INT) FILTER (inside), 6) AS train_acc, round(avg((y = truth)::INT) FILTER (NOT inside), 6) AS val_acc
+            FROM pr GROUP BY seed""",
         "score_batch": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
         "score_stream": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
     }

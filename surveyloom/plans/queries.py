@@ -24,7 +24,7 @@ from surveyloom.operators import standardize as Z
 from surveyloom.operators.quantiles import medians, quantiles, upper_caps
 from surveyloom.plans import evaluate as E
 from surveyloom.plans import train as T
-from surveyloom.plans.clean import Cleaned, clean
+from surveyloom.plans.clean import Cleaned, clean, resolve_folder
 from surveyloom.schema import CleanSpec, TrainSpec
 from surveyloom.session import fresh_path, spread
 from surveyloom.sources.tables import complete_schema, read_cleaned, read_csv, write_csv
@@ -300,6 +300,26 @@ def csv_round_trip(spark, sf):
     return read_cleaned(spark, f"{base}/cleaned", ORDER_SURVEY).fillna("Missing", ["note", "status"])
 
 
+def resolve_mixed(spark, sf):
+    """A folder with raw answers in some files and cleaned rows in others."""
+    base, even = fresh_path(spark, "mixed"), F.col("order_id").cast("long") % 2 == 0
+    write_csv(order_survey(spark, sf).where(even), f"{base}/raw", {})
+    write_csv(_cleaned_orders(spark, sf).df.where(~even), f"{base}/cleaned", {})
+    found = resolve_folder(spark, base, ORDER_SURVEY, {}, multi_line=False)
+    return found.fillna("Missing", ["note", "status"])
+
+
+def fill_fallback(spark, sf):
+    """Sizes and prices filled by a saved pipeline: from the rows at hand, else the training rows, else 0."""
+    size = F.when(F.col("p_size").between(5, 40) & (F.col("p_partkey") % 2 == 0), F.col("p_size").cast("double"))
+    price = F.when(F.col("p_retailprice").between(910, 1500), F.col("p_retailprice"))
+    df = table(spark, sf, "part").select("p_partkey", size.alias("size"), price.alias("price"), F.lit(None).cast("double").alias("none"))
+    path = fresh_path(spark, "fills")
+    stage = C.Fills(inputCols=["size", "price", "none"]).fit(df.where("p_partkey % 2 = 0"))
+    PipelineModel(stages=[stage]).write().save(path)
+    return PipelineModel.load(path).transform(df.where("p_partkey % 2 = 1"))
+
+
 def clean_audit(spark, sf):
     return _cleaned_orders(spark, sf, with_audit=True).audit
 
@@ -592,6 +612,13 @@ def grid_search_knn(spark, sf):
     )
 
 
+def repeated_nb(spark, sf):
+    """Fifty random splits from one table of tokens, one count and one scoring."""
+    df = _roles(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "role", "text")
+    out = E.repeated_nb(df, "text", "role", "row_id", 50, VOCAB, ALPHA)
+    return out.select("seed", "train_rows", "val_rows", r6("train_acc").alias("train_acc"), r6("val_acc").alias("val_acc"))
+
+
 def repeated_holdout(spark, sf):
     df, layout = _role_table(spark, sf)
     return E.repeated_holdout(df, T.Recipe("logistic", ROLE_TRAIN), range(3), layout)
@@ -646,6 +673,8 @@ ALL = {
     "clean_table": clean_table,
     "clean_audit": clean_audit,
     "csv_round_trip": csv_round_trip,
+    "resolve_mixed": resolve_mixed,
+    "fill_fallback": fill_fallback,
     "tokenize": tokenize,
     "vocab_topk": vocab_topk,
     "multi_hot": multi_hot,
@@ -678,6 +707,7 @@ ALL = {
     "grid_search": grid_search,
     "grid_search_knn": grid_search_knn,
     "repeated_holdout": repeated_holdout,
+    "repeated_nb": repeated_nb,
     "score_batch": score_batch,
     "score_stream": score_stream,
 }

@@ -91,3 +91,16 @@ def read_cleaned(spark: SparkSession, path: str, spec: CleanSpec = SURVEY) -> Da
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     return typed_cleaned(read_csv(spark, path), spec)
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(header, files) of the CSV files below a folder: the first line of each, files of equal headers together.
+
+    Only the first split of a file is looked at; its first line has the smallest row number there.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    return first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))

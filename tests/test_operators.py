@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import tokenize
+from surveyloom.operators import cleaning as C
 from surveyloom.operators import multihot as M
 from surveyloom.operators import naive_bayes as N
+from surveyloom.operators import neighbours as G
 from surveyloom.operators import splits as P
 from surveyloom.operators import standardize as Z
 from surveyloom.operators.neighbours import nearest, vote
@@ -236,3 +238,39 @@ def test_neighbours_against_brute_force(spark, p, layout):
                 w[y[t]] += 1 / d[t]
         assert votes[i] == int(np.argmax(w))
         assert plain[i] == int(np.argmax(np.bincount(y[order], minlength=3)))
+
+
+def test_balanced_groups_stay_within_their_bound(spark):
+    sizes = [500] + [40] * 10 + [1] * 900
+    rng = random.Random(3)
+    rows = [(i, g, rng.choice("ab")) for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    df = spark.createDataFrame([*rows, (9_000, None, "a"), (9_001, None, None)], "i int, g int, y string")
+    out = P.balanced_group_kfold(df, "y", "g", 5, 42).collect()
+    assert len(out) == len(rows) + 2
+    of, per, by = {}, Counter(), Counter()
+    for r in out:
+        assert of.setdefault(r.g, r.fold) == r.fold
+        per[r.fold] += 1
+        by[(r.fold, r.y)] += 1
+    assert sorted(per) == list(range(5)) and max(per.values()) <= max(500, 1.1 * len(out) / 5)
+    assert all(abs(by[(f, "a")] - by[(f, "b")]) <= 60 for f in range(5))
+    assert P.balanced_group_kfold(df.where("false"), "y", "g").collect() == []
+
+
+def test_votes_of_many_settings_equal_votes_of_one(spark):
+    near = [(q, t, "xyz"[(q * t) % 3], float((q + 3 * t) % 7), r + 1) for q in range(20) for r, t in enumerate(sorted(range(12), key=lambda t: ((q + 3 * t) % 7, t)))]
+    df = spark.createDataFrame(near, "qid int, tid int, y string, dist double, rank int")
+    got = {(r.qid, r.k, r.weights): r.pred for r in G.vote_grid(df, [1, 4, 12]).collect()}
+    for k in (1, 4, 12):
+        for w in ("uniform", "distance"):
+            want = {(r.qid, k, w): r.pred for r in G.vote(df.where(f"rank <= {k}"), w).collect()}
+            assert {x: p for x, p in got.items() if x[1:] == (k, w)} == want
+
+
+def test_fills_fall_back_to_the_training_rows(spark):
+    train = spark.createDataFrame([(1.0, 10.0, None), (3.0, 20.0, None)], "a double, b double, c double")
+    model = C.Fills(inputCols=["a", "b", "c"]).fit(train)
+    rows = spark.createDataFrame([(None, 5.0, None), (None, None, None)], "a double, b double, c double")
+    assert [tuple(r) for r in model.transform(rows).collect()] == [(2.0, 5.0, 0.0), (2.0, 5.0, 0.0)]
+    alone = C.Fills(inputCols=["a", "b"], batch=False).fit(train)
+    assert [tuple(r) for r in alone.transform(rows).collect()] == [(2.0, 5.0, None), (2.0, 15.0, None)]
