@@ -12,6 +12,8 @@ from surveyloom.llm.common import written
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 3
+# places in a text that a window's number can tell apart
+PLACE_BITS = 20
 ROUNDS = 20
 # Each rule votes for a text (first condition), against it (second), or abstains. Conditions read the measures
 # below and are plain SQL. Beginning and limits of the accuracies follow.
@@ -43,34 +45,59 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words that lie in windows of ``width`` words found twice or more in the same text.
 
-    Windows are sorted with their places, so that equal ones stand side by side:
-    n log n steps for a text of n words.
+    A window is one number, the high bits of its hash with its place below, so that
+    sorting puts equal windows side by side: n log n steps for a text of n words. The
+    words of neighbours are then compared; where hashes agree and words do not, or a
+    text has more places than numbers, the windows themselves are sorted.
     """
+    mask = (1 << PLACE_BITS) - 1
 
-    def covered(at):
-        gap = F.transform(at, lambda p, k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - p, F.lit(width))))
-        return F.aggregate(gap, F.lit(0), lambda a, b: a + b)
+    def key(w, i):
+        h = F.xxhash64(w, *[F.get(words, i + j) for j in range(1, width)])
+        return h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))
 
-    def places(ws):
-        def equal(x, k):
-            y = F.get(ws, k)
-            return F.coalesce(every([x[f] == y[f] for f in ("h", *[f"w{i}" for i in range(width)])]), F.lit(False))
+    def alike(x, y):
+        return F.coalesce(F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0, F.lit(False))
 
-        twice = F.filter(ws, lambda x, k: equal(x, k - 1) | equal(x, k + 1))
-        return let(F.array_sort(F.transform(twice, lambda x: x["at"])), covered)
+    def at(x):
+        return x.bitwiseAND(F.lit(mask)).cast("int")
+
+    def differ(x, y):
+        other = ~F.get(words, at(x)).eqNullSafe(F.get(words, at(y)))
+        for i in range(1, width):
+            other = other | ~F.get(words, at(x) + i).eqNullSafe(F.get(words, at(y) + i))
+        return other
+
+    def checked(ts):
+        clash = F.transform(ts, lambda x, k: alike(x, F.get(ts, k - 1)) & differ(x, F.get(ts, k - 1)))
+        plain = let(F.sort_array(F.transform(ts, lambda x: at(x))), lambda ps: _covered(ps, width))
+        return F.when(F.size(ts) == 0, 0).when(F.exists(clash, lambda c: c), _by_windows(words, width)).otherwise(plain)
+
+    def twins(ks):
+        return let(F.filter(ks, lambda x, k: alike(x, F.get(ks, k - 1)) | alike(x, F.get(ks, k + 1))), checked)
+
+    keys = F.sort_array(F.slice(F.transform(words, key), 1, F.size(words) - (width - 1)))
+    fits = F.size(words) <= mask
+    return F.when(F.size(words) < width, 0).when(fits, let(keys, twins)).otherwise(_by_windows(words, width))
 
-    def every(cs):
-        out = cs[0]
-        for c in cs[1:]:
-            out = out & c
-        return out
 
-    def window(at):
-        w = [F.get(words, at + i) for i in range(width)]
-        return F.struct(F.xxhash64(*w).alias("h"), *[c.alias(f"w{i}") for i, c in enumerate(w)], at.alias("at"))
+def _covered(places: Column, width: int) -> Column:
+    gap = F.transform(places, lambda p, k: F.least(F.lit(width), F.coalesce(F.get(places, k + 1) - p, F.lit(width))))
+    return F.aggregate(gap, F.lit(0), lambda a, b: a + b)
+
+
+def _by_windows(words: Column, width: int) -> Column:
+    """The same by sorting the windows' words themselves."""
+
+    def window(i):
+        return F.struct(F.slice(words, i + 1, width).alias("w"), i.alias("at"))
+
+    def places(ws):
+        equal = lambda x, k: F.coalesce(x["w"] == F.get(ws, k)["w"], F.lit(False))
+        twice = F.filter(ws, lambda x, k: equal(x, k - 1) | equal(x, k + 1))
+        return let(F.sort_array(F.transform(twice, lambda x: x["at"])), lambda ps: _covered(ps, width))
 
-    all_ = F.transform(F.sequence(F.lit(0), F.size(words) - width), window)
-    return F.when(F.size(words) >= width, let(F.array_sort(all_), places)).otherwise(F.lit(0))
+    return let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - width), window)), places)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

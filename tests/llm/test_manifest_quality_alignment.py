@@ -143,6 +143,13 @@ def test_measures_equal_plain_ones(spark):
     check_measures(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+@pytest.mark.parametrize("bits", [2, 62])
+def test_windows_that_clash_or_have_no_number(spark, monkeypatch, bits):
+    # few places, or hashes of two bits that agree for different windows
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
+    check_measures(table(spark, H.SF, "documents").select("doc_id", "text").where("doc_id < 60"))
+
+
 def plain_em(patterns, names):
     share = lambda yes, of, x: min(quality.MOST, max(quality.LEAST, (yes + x * quality.STRENGTH) / (of + quality.STRENGTH)))
     start = quality.GOOD, quality.BAD
