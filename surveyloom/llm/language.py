@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.common import by_value, fresh
-from surveyloom.llm.words import slices, split, sums
+from surveyloom.llm.words import ranges, slices, split, sums
 
 UNKNOWN = "und"
 BITS = 18
-RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+RUN = pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())])
+RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("runs", pa.list_(RUN))])
+# Longer lines are cut into chains of so many words, each read with some words more on both sides:
+# what is further away than those does not reach a word's probabilities.
+CHAIN = 400
+OVERLAP = 40
 # around words, not part of them
 _MARKS = ".,!?;:|\"'()[]{}*#%$&<>=+-_/\\~^`«»“”„…"
 
@@ -176,13 +181,14 @@ def clean(words: pa.Array) -> pa.Array:
 
 def train(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
-    docs_per_lang: int = 400, chunk_words: int = 40, max_chunks: int = 4000,
+    docs_per_lang: int = 400, chunk_words: int = 40, chunks_per_lang: int = 1000,
 ) -> Model | None:
     """A model from a bounded sample of labelled rows; None if no row is labelled.
 
     The sample is some ``docs_per_lang`` documents of each language by hash of the
-    id, of these ``max_chunks`` runs of up to ``chunk_words`` words by hash; only
-    those words come to the driver. Rows without text or language teach nothing.
+    id, of these some ``chunks_per_lang`` runs of up to ``chunk_words`` words of each
+    language by hash, so long texts of one language leave the others their share;
+    only those words come to the driver. Rows without text or language teach nothing.
     """
     rows = docs.select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id")
@@ -198,13 +204,49 @@ def train(
     n = F.size("w")
     parts = F.transform(F.sequence(F.lit(0), n - 1, F.lit(chunk_words)), lambda i: F.slice("w", i + 1, F.lit(chunk_words)))
     runs = some.select("lang", "id", n.alias("n"), F.posexplode(parts).alias("pos", "chunk"))
-    got = runs.orderBy(F.xxhash64("id", "pos"), "id", "pos", "lang").limit(max_chunks).collect()
+    found = {r["lang"]: r["count"] for r in runs.groupBy("lang").count().collect()}
+    if not found:
+        return None
+    place = F.pmod(F.xxhash64(F.lit("run"), "id", "pos"), F.lit(1_000_000)) / 1_000_000
+    share = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, chunks_per_lang / n))])
+    got = runs.where(place < share[F.col("lang")]).orderBy(F.xxhash64("id", "pos"), "id", "pos", "lang").collect()
     chunks = [clean(pa.array(r["chunk"])).to_pylist() for r in got]
     return fit(chunks, [r["lang"] for r in got]) if got else None
 
 
+def marginals(em: np.ndarray, ids: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
+    """Marginals of the words of lines of any length, those above CHAIN words in overlapping chains."""
+    size = np.diff(bounds)
+    if size.max(initial=0) <= CHAIN:
+        return forward_backward(em, ids, bounds, model.transitions, model.first)[0]
+    chains = np.maximum(1, -(-size // CHAIN))
+    line = np.repeat(np.arange(len(size)), chains)
+    lo, hi = bounds[:-1][line], bounds[1:][line]
+    start = lo + CHAIN * (np.arange(len(line)) - np.repeat(np.cumsum(chains) - chains, chains))
+    end = np.minimum(start + CHAIN, hi)
+    first, last = np.maximum(start - OVERLAP, lo), np.minimum(end + OVERLAP, hi)
+    at = ranges(first, last - first)
+    own = (at >= np.repeat(start, last - first)) & (at < np.repeat(end, last - first))
+    wide = np.concatenate(([0], np.cumsum(last - first)))
+    return forward_backward(em, ids[at], wide, model.transitions, model.first)[0][own]
+
+
+def labelled_runs(got: np.ndarray, at: np.ndarray, langs: list[str]) -> pa.ListArray:
+    """Runs (lang, first, words) of words of one most likely language, for each text; ``first`` counts from the text's start."""
+    best = got.argmax(axis=1)
+    new = np.ones(len(best), bool)
+    new[1:] = best[1:] != best[:-1]
+    new[at[:-1][np.diff(at) > 0]] = True
+    start = np.flatnonzero(new)
+    text = np.searchsorted(at, start, side="right") - 1
+    size = np.diff(np.append(start, len(best)))
+    runs = [pa.array(langs, pa.string()).take(pa.array(best[start])), pa.array(start - at[text]), pa.array(size)]
+    ends = np.searchsorted(start, at).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(runs, fields=list(RUN)))
+
+
 def predict(texts: pa.Array, model: Model) -> pa.StructArray:
-    """(lang, score) of each text: the language with the largest mean marginal over words with a letter."""
+    """(lang, score, runs) of each text: the language with the largest mean marginal over words with a letter, and the words' own."""
     lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
     line_at = lines.offsets.to_numpy()
     words, ids, bounds = split(lines.flatten(), ("\t", "\r"))
@@ -214,7 +256,7 @@ def predict(texts: pa.Array, model: Model) -> pa.StructArray:
     names = distinct.to_pylist()
     em = emissions(features(names), model.weights, len(names))
     ids = to[ids]
-    got, _ = forward_backward(em, ids, bounds, model.transitions, model.first)
+    got = marginals(em, ids, bounds, model)
     counted = has_letter[ids]
     at = bounds[line_at - line_at[0]]
     total = sums(got * counted[:, None], at)
@@ -222,23 +264,29 @@ def predict(texts: pa.Array, model: Model) -> pa.StructArray:
     best = total.argmax(axis=1)
     score = np.where(n > 0, total[np.arange(len(best)), best] / np.maximum(n, 1), 0.0)
     names = np.array([*model.langs, UNKNOWN], object)[np.where(n > 0, best, len(model.langs))]
-    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], fields=list(RESULT))
-
-
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col="lang_pred", score_col="score") -> DataFrame:
-    """All rows and columns of ``docs`` with the predicted language and its score.
-
-    Words are what white space parts; a line is a chain. The score is the mean
-    probability of the language over the words that have a letter. Null text,
-    text without a letter, or no model: ``und`` with score 0. Equal texts get
-    equal results. Whole texts are read, a slice of a batch at a time. Columns
-    named like the results are replaced.
+    runs = labelled_runs(got, at, model.langs)
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), runs], fields=list(RESULT))
+
+
+def identify(
+    docs: DataFrame, model: Model | None, text_col: str = "text", pred_col="lang_pred", score_col="score", runs_col="lang_runs"
+) -> DataFrame:
+    """All rows and columns of ``docs`` with the predicted language, its score and the languages of the words.
+
+    Words are what white space parts; a line is a chain, cut above CHAIN words.
+    The score is the mean probability of the language over the words that have a
+    letter. ``runs_col`` tells the languages within the text: runs (lang, first,
+    words) of consecutive words with the same most likely language. Null text,
+    text without a letter, or no model: ``und`` with score 0; without words or
+    model no runs. Equal texts get equal results. Whole texts are read, a slice of
+    a batch at a time. Columns named like the results are replaced.
     """
+    kind = "array<struct<lang: string, first: long, words: long>>"
     if model is None:
-        return docs.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
+        return docs.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(0.0), runs_col: F.array().cast(kind)})
     by_value("surveyloom.llm.words", __name__)
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf(f"struct<lang: string, score: double, runs: {kind}>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = pa.record_batch([texts], names=["text"])
@@ -247,7 +295,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", pred_
 
     found = fresh(docs, "_found")
     out = docs.withColumn(found, judge(F.col(text_col)))
-    return out.withColumns({pred_col: F.col(found)["lang"], score_col: F.col(found)["score"]}).drop(found)
+    new = {pred_col: F.col(found)["lang"], score_col: F.col(found)["score"], runs_col: F.col(found)["runs"]}
+    return out.withColumns(new).drop(found)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -19,8 +19,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text: stays null, no lines. Empty text: one line. Fewer lines than a
     window: nothing goes. A window of blank lines only is none. Rows equal in id
     and text are one document: they keep or lose the same lines. A null id comes
-    before all others. Other columns are passed on; n_lines or n_removed must
-    not be among them.
+    before all others. Other columns are passed on; columns named n_lines or
+    n_removed are replaced.
     """
     return without_runs(
         docs, id_col, text_col, lambda t: F.split(t, "\n", -1), "\n", window, count="n_lines",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +47,20 @@ def _valid(kind: str):
     return lambda span: _holds(kind, span["value"])
 
 
-def located(found: Column, pieces: Column, kind: int) -> Column:
-    """Array of (start, end, kind, value) in code points, end exclusive."""
+# Running sums are made in blocks of so many matches, so that no step copies more than a block or a value for each.
+BLOCK = 128
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(BLOCK)), lambda i: F.slice(items, i + 1, F.lit(BLOCK)))
+
+
+def _placed(blocks: Column, kind: int) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -54,8 +69,45 @@ def located(found: Column, pieces: Column, kind: int) -> Column:
         span = F.struct(at.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def ahead(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(
+            block["out"],
+            lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value")),
+        )
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return _let(
+        F.transform(blocks, lambda b: F.aggregate(b, start, step)),
+        lambda own: F.flatten(F.zip_with(own, F.aggregate(own, none, ahead)["out"], moved)),
+    )
+
+
+def located(found: Column, pieces: Column, kind: int) -> Column:
+    """Array of (start, end, kind, value) in code points, end exclusive, of matches and the pieces before them."""
     pairs = F.arrays_zip(found.alias("value"), F.slice(pieces, F.lit(1), F.size(found)).alias("piece"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    some = _let(pairs, lambda p: _let(_blocks(p), lambda b: _placed(b, kind)))
+    return F.when(F.size(found) > 0, some).otherwise(F.array().cast(SPAN))
+
+
+def starting_before(spans: Column, at: Column) -> Column:
+    """How many of the spans, sorted by start, start before ``at``: found by halving."""
+    n = F.size(spans)
+    steps = F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def step(k: Column, more: Column) -> Column:
+        further = (k + more <= n) & (F.get(spans, k + more - 1)["start"] < at)
+        return F.when(further, k + more).otherwise(k)
+
+    return F.when(n > 0, F.aggregate(steps, F.lit(0), step)).otherwise(0)
+
+
+def touched(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of the spans, sorted and without overlap, shares a character with [start, end)."""
+    last = F.get(spans, starting_before(spans, end) - 1)
+    return F.coalesce(last["end"] > start, F.lit(False))
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,15 +174,18 @@ def occurrences(found: DataFrame, min_length: int = 6) -> DataFrame:
         F.col("w.value").alias("instance"), F.lit(True).alias("seed"),
     )
     numbered = lambda w: w["s"]["value"].rlike("[0-9]")
+    kinds = [f"_b{i}" for i in range(len(FORMS))]  # spans of one kind have no overlap
     flagged = F.transform(
         "words",
         lambda w, i: F.struct(
             w["s"]["start"].alias("start"), w["s"]["end"].alias("end"), w["s"]["value"].alias("value"), w["before"].alias("before"),
-            F.exists("base", lambda b: (b["start"] < w["s"]["end"]) & (b["end"] > w["s"]["start"])).alias("base"),
+            reduce(or_, [touched(F.col(b), w["s"]["start"], w["s"]["end"]) for b in kinds]).alias("base"),
             (w["gap"] & numbered(w)).alias("gap"), numbered(w).alias("numbered"),
         ),
     )
-    w = found.where(F.size("words") > 0).select("doc", "h", flagged.alias("words"))
+    own = lambda i: F.filter("base", lambda b: b["kind"] == i)
+    w = found.where(F.size("words") > 0).select("doc", "h", "words", *[own(i).alias(b) for i, b in enumerate(kinds)])
+    w = w.select("doc", "h", flagged.alias("words"))
     # a word goes on with the run of the one before it, unless that one ends in punctuation
     goes_on = lambda x, y: (
         y["gap"] & x["numbered"] & ~x["base"] & ~y["base"] & x["value"].rlike(r"[\p{L}\p{N})\]]$")
@@ -175,12 +230,14 @@ def bootstrap(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: fl
     Patterns and instances form a graph with one edge for each distinct pair. A
     seed scores 1. In each round a pattern scores the mean of its instances'
     scores, if ``min_seeds`` of them score at least ``min_score``, and an
-    instance scores one minus the product of what its patterns leave open.
-    Both are sums by key with partial sums per task; no group meets in one task.
+    instance that is no seed scores one minus the product of what its patterns
+    leave open, so it loses its score again with theirs. Both are sums by key with
+    partial sums per task; no group meets in one task.
     """
-    edges = written(
-        occ.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("score")), "pii-edges"
-    )
+    seed = F.max("seed").alias("seed")
+    edges = occ.groupBy("pattern", "instance").agg(seed)
+    seeds = occ.groupBy("instance").agg(seed).withColumn("score", F.col("seed").cast("double"))
+    edges = written(edges.drop("seed").join(seeds, "instance").select("pattern", "instance", "seed", "score"), "pii-edges")
     for i in range(rounds):
         good = F.sum((F.col("score") >= min_score).cast("int"))
         patterns = (
@@ -191,9 +248,8 @@ def bootstrap(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: fl
         )
         scored = edges.join(patterns, "pattern", "left")
         open_ = F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-12)))))
-        new = scored.groupBy("instance").agg(F.greatest(F.max((F.col("score") == 1).cast("double")), 1 - open_).alias("new"))
-        edges = edges.join(new, "instance").select("pattern", "instance", F.round("new", 9).alias("score"))
-        edges = written(edges, f"pii-edges-{i}")
+        new = scored.groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(F.round(1 - open_, 9)).alias("score"))
+        edges = written(edges.drop("score").join(new, "instance").select("pattern", "instance", "seed", "score"), f"pii-edges-{i}")
     return edges.where(F.col("score") >= min_score).select("instance").distinct()
 
 
@@ -223,9 +279,15 @@ def find(
         .select(F.col("doc").alias("d2"), F.col("h").alias("h2"), "more")
     )
     out = found.join(learned, every([found["doc"].eqNullSafe(learned["d2"]), found["h"].eqNullSafe(learned["h2"])]), "left")
-    # a word within a found run is told by the run
-    wider = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
-    more = F.coalesce(F.filter("more", lambda x: ~F.exists("more", lambda y: wider(x, y))), F.array().cast(SPAN))
+    # a word within a found run is told by the run; runs have a space inside and no overlap
+    out = out.withColumn("more", F.coalesce(F.array_sort("more"), F.array().cast(SPAN)))
+    out = out.withColumn("runs", F.filter("more", lambda x: F.instr(x["value"], " ") > 0))
+
+    def within(x: Column) -> Column:
+        y = F.get("runs", starting_before(F.col("runs"), x["start"] + 1) - 1)
+        return F.coalesce((y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]), F.lit(False))
+
+    more = F.filter("more", lambda x: ~within(x))
     return out.select(F.col("doc").alias("doc_id"), "base", F.concat("base", more).alias("spans"))
 
 

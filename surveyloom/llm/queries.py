@@ -34,7 +34,7 @@ def op2_language(spark, sf):
     docs = table(spark, sf, "documents")
     model = language.train(docs.where(~language.held_out()))
     found = language.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "lang_runs")
 
 
 def op3_pii(spark, sf):

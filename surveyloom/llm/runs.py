@@ -50,8 +50,10 @@ def without_runs(
 
     ``parts`` cuts a text column into an array of units, ``glue`` joins them
     again. Adds ``count`` (units of the text), ``removed`` and, if named,
-    ``spans`` (covered positions). A null text stays null and has 0 units.
+    ``spans`` (covered positions); columns of ``docs`` of these names are
+    replaced. A null text stays null and has 0 units.
     """
+    new_names = {c.lower() for c in (count, removed, spans) if c}
     words = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
     hashed = F.transform(
         parts(F.col("_t")),
@@ -77,7 +79,7 @@ def without_runs(
     left = F.array_except(F.sequence(F.lit(0), total - 1), F.col(covered))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col(arr), i)), glue)
     new = F.when(hit, kept).otherwise(F.col(text_col))
-    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in new_names]
     extra = [
         F.when(F.col(text_col).isNull(), 0).otherwise(total).cast("long").alias(count),
         F.when(hit, F.size(covered)).otherwise(0).cast("long").alias(removed),

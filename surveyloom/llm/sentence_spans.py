@@ -24,6 +24,7 @@ def dedup_spans(
 
     Null text: stays null, no sentences. Empty text: one empty sentence. Rows
     equal in id and text are one document. A null id comes before all others.
+    Columns named like the three new ones are replaced.
     """
     return without_runs(
         docs, id_col, text_col, lambda t: F.split(t, _ENDS, -1), "", sentences, min_words,

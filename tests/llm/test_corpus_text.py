@@ -7,6 +7,7 @@ import math
 import os
 import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -135,6 +136,40 @@ def test_language_hazards(spark):
     assert language.identify(df.where("false"), model).collect() == []
 
 
+def test_long_lines_are_cut_without_a_trace(spark):
+    model = language.train(table(spark, H.SF, "documents"))
+    rng = np.random.default_rng(5)
+    em, ids = rng.normal(size=(50, len(model.langs))), rng.integers(0, 50, 5000)
+    bounds = np.array([0, 3, 3, 4100, 4101, 5000])
+    whole, _ = language.forward_backward(em, ids, bounds, model.transitions, model.first)
+    assert np.abs(language.marginals(em, ids, bounds, model) - whole).max() < 1e-3
+
+
+def test_languages_of_words_are_told_as_runs(spark):
+    docs = table(spark, H.SF, "documents")
+    model = language.train(docs)
+    one, other = (docs.where(f"lang = '{x}' and length(text) > 300").orderBy("doc_id").first().text for x in ("de", "fr"))
+    mixed = " ".join(one.split()[:30] + other.split()[:30])
+    rows = [(1, mixed, 5), (2, None, 5), (3, "", 5), (4, " ".join([one] * 3000), 5)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, Lang_Runs int"), model).collect()}
+    runs = got[1].lang_runs
+    assert sum(r.words for r in runs) == 60 and [r.first for r in runs] == [0, *np.cumsum([r.words for r in runs])[:-1]]
+    assert sum(r.words for r in runs if r.lang == "de" and r.first < 30) >= 26
+    assert sum(r.words for r in runs if r.lang == "fr" and r.first >= 28) >= 26
+    assert got[2].lang_runs == got[3].lang_runs == []
+    assert got[4].lang_pred == "de" and sum(r.words for r in got[4].lang_runs) == len(one.split()) * 3000
+
+
+def test_long_texts_of_one_language_leave_others_their_share(spark):
+    docs = table(spark, H.SF, "documents").where("lang in ('de', 'fr')")
+    de = " ".join(r.text for r in docs.where("lang = 'de'").collect())
+    fr = [r.text for r in docs.where("lang = 'fr'").orderBy("doc_id").limit(8).collect()]
+    rows = [(i, "de", de) for i in range(40)] + [(100 + i, "fr", t) for i, t in enumerate(fr)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    rest = docs.where("lang = 'fr'").orderBy(docs.doc_id.desc()).limit(10)
+    assert [r.lang_pred for r in language.identify(rest, model).collect()].count("fr") >= 9
+
+
 # ---- operator 3
 
 ODD = [
@@ -176,6 +211,41 @@ def test_contexts_find_identifiers_of_several_words_and_without_digits(spark):
     assert got[104] == got[105] == got[106] == ""
 
 
+def test_a_text_of_very_many_identifiers_is_no_square(spark):
+    ips = [f"{i % 256}.{i // 256}.1.1" for i in range(50_000)]
+    df = spark.createDataFrame([(1, " ".join(ips)), (2, "nothing here")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    assert time.perf_counter() - start < 60
+    spans = H.base_spans(" ".join(ips))
+    assert got[1].n_ip == len(spans) and got[1].base_sha256 == H.span_hash(spans) and got[2].spans == ""
+
+
+def scores_by_hand(pairs, seeds, rounds=3, least=3, score=0.8):
+    """The instances that the graph of (pattern, instance) pairs finds, by plain scoring."""
+    value = {i: float(i in seeds) for _, i in pairs}
+    for _ in range(rounds):
+        trust = {}
+        for p in {p for p, _ in pairs}:
+            own = [value[i] for q, i in pairs if q == p]
+            if sum(v >= score for v in own) >= least and sum(own) / len(own) >= score:
+                trust[p] = sum(own) / len(own)
+        value = {
+            i: 1.0 if i in seeds else round(1 - math.prod(max(1 - trust.get(p, 0), 1e-12) for p, j in pairs if j == i), 9) for i in value
+        }
+    return {i for i, v in value.items() if v >= score}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_graph_scores_equal_plain_scoring(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = {(f"p{min(rng.integers(0, 6), rng.integers(0, 6))}", f"i{rng.integers(0, 40)}") for _ in range(150)}
+    seeds = {f"i{i}" for i in range(33)}
+    rows = [(p, i, i in seeds) for p, i in sorted(pairs)]
+    got = {r.instance for r in pii.bootstrap(spark.createDataFrame(rows, "pattern string, instance string, seed boolean")).collect()}
+    assert got == scores_by_hand(pairs, seeds) and got - seeds
+
+
 def test_pii_hazards(spark):
     df = H.hazards(spark)
     rows = pii.digest(pii.find(df)).collect()
@@ -234,6 +304,15 @@ def test_window_hazards(spark, cut):
         assert by[6][0].text == "other end"
 
 
+@pytest.mark.parametrize("cut", [line_dedup.dedup_lines, sentence_spans.dedup_spans])
+def test_columns_named_like_results_are_replaced(spark, cut):
+    names = ("n_lines", "N_Removed", "n_sentences", "removed")
+    df = spark.createDataFrame([(1, "a\nb\nc", *names), (2, "a\nb\nc", *names)], ["doc_id", "text", *names])
+    out = cut(df)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert {r.doc_id for r in out.collect()} == {1, 2} and dict(out.dtypes)["n_removed"] == "bigint"
+
+
 def test_sentence_spans_equal_a_plain_scan(spark):
     docs = texts(spark)
     got = {r.doc_id: (r.text, r.n_removed) for r in queries.op6_substring_dedup(spark, H.SF).collect()}
