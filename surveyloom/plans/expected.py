@@ -243,6 +243,41 @@ def nb_fold_scores(k: int) -> str:
            round(max(acc) FILTER (WHERE fold = 2), 6) AS fold2, avg(acc) AS mean_acc, stddev_pop(acc) AS std_acc FROM acc"""
 
 
+def order_model(steps: int = 15) -> str:
+    """CTEs: train (cleaned orders of odd keys), mom (m, s), fit (b, d): log-odds b + d * scaled rate, by Newton steps."""
+    cleaned = CLEANED.replace("FROM orders)", "FROM orders WHERE o_orderkey % 2 = 1)")
+    ctes = [
+        f"train AS (SELECT * FROM ({cleaned}) WHERE label IS NOT NULL)",
+        "mom AS (SELECT avg(rate) AS m, stddev_pop(rate) AS s FROM train)",
+        # the penalty 1 / (C * rows) lies on both classes' weights, d / 2 and -d / 2
+        "grp AS (SELECT (rate - m) / s AS x, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS ones FROM train CROSS JOIN mom GROUP BY 1)",
+        "tot AS (SELECT sum(n) AS n, 1 / (0.5 * sum(n)) / 2 AS half FROM grp)",
+        "w0 AS (SELECT 0::DOUBLE AS b, 0::DOUBLE AS d)",
+    ]
+    for i in range(steps):
+        ctes.append(f"""w{i + 1} AS (SELECT b - (hdd * gb - hbd * gd) / (hbb * hdd - hbd * hbd) AS b,
+                d - (hbb * gd - hbd * gb) / (hbb * hdd - hbd * hbd) AS d FROM
+            (SELECT b, d, sum(n * p - ones) / t AS gb, sum((n * p - ones) * x) / t + half * d AS gd, sum(n * p * (1 - p)) / t AS hbb,
+                    sum(n * p * (1 - p) * x) / t AS hbd, sum(n * p * (1 - p) * x * x) / t + half AS hdd FROM
+                (SELECT grp.*, b, d, tot.n AS t, half, 1 / (1 + exp(-(b + d * x))) AS p FROM grp CROSS JOIN w{i} CROSS JOIN tot)
+             GROUP BY b, d, t, half))""")
+    return ", ".join(ctes) + f", fit AS (SELECT * FROM w{steps})"
+
+
+ORDER_REPORT = """
+    part AS (SELECT o_orderkey, o_orderkey % 101 = 0 AS torn, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END::INTEGER AS label,
+            CASE WHEN o_orderkey % 13 BETWEEN 1 AND 10 THEN (o_orderkey % 13)::DOUBLE END AS rate FROM orders WHERE o_orderkey % 2 = 0),
+    mid AS (SELECT median(rate) AS r FROM part WHERE NOT torn),
+    odds AS (SELECT part.*, 1 / (1 + exp(-(b + d * (round_even(coalesce(rate, r), 0) - m) / s))) AS p
+            FROM part CROSS JOIN mid CROSS JOIN mom CROSS JOIN fit),
+    report AS (SELECT o_orderkey::VARCHAR AS order_id,
+            CASE WHEN torn THEN 'damaged' WHEN label IS NULL THEN 'unknown' ELSE 'scored' END AS state,
+            CASE WHEN NOT torn THEN label END AS label, CASE WHEN NOT torn THEN CASE label WHEN 0 THEN 'F' WHEN 1 THEN 'O' END END AS true_name,
+            CASE WHEN NOT torn THEN (p > 0.5)::INTEGER END AS pred, CASE WHEN NOT torn THEN CASE WHEN p > 0.5 THEN 'O' ELSE 'F' END END AS pred_name,
+            CASE WHEN NOT torn THEN round(p, 4) END AS p1 FROM odds)
+"""
+
+
 def sql() -> dict[str, str]:
     docs, conv = "SELECT * FROM documents", "SELECT * FROM conversations"
     keyed = "md5('42:' || {0})"
@@ -312,6 +347,15 @@ def sql() -> dict[str, str]:
         "median_spiky": """SELECT quantile_cont(v, 0.1) AS low, median(v) AS middle, quantile_cont(v, 0.99) AS high FROM
             (SELECT CASE WHEN l_orderkey % 8 < 3 THEN 1.0 WHEN l_orderkey % 8 < 6 THEN 2.0 WHEN l_orderkey % 8 = 6
                 THEN -l_extendedprice ELSE l_extendedprice + 2 END::DOUBLE AS v FROM lineitem)""",
+        "median_merged": """SELECT c AS "column", q::DOUBLE AS q, n, true AS holds FROM
+            (SELECT 'l_extendedprice' AS c, count(l_extendedprice) AS n FROM lineitem UNION ALL SELECT 'l_quantity', count(l_quantity) FROM lineitem)
+            CROSS JOIN (SELECT unnest([0.25, 0.5, 0.99]) AS q)""",
+        "logistic_one": f"""WITH {order_model()} SELECT order_id, label, round(p, 4) AS p1, CASE WHEN p > 0.5 THEN 'O' ELSE 'F' END AS pred_name
+            FROM (SELECT order_id, label, 1 / (1 + exp(-(b + d * (rate - m) / s))) AS p FROM train CROSS JOIN mom CROSS JOIN fit)""",
+        "score_file": f"WITH {order_model()}, {ORDER_REPORT} SELECT * FROM report",
+        "evaluate_file": f"""WITH {order_model()}, {ORDER_REPORT} SELECT count(*) AS lines, count(*) FILTER (WHERE state = 'damaged') AS damaged,
+            count(*) FILTER (WHERE state = 'unknown') AS unknown, count(*) FILTER (WHERE state = 'scored') AS scored,
+            round(avg((pred = label)::INTEGER::DOUBLE) FILTER (WHERE state = 'scored'), 6) AS accuracy FROM report""",
         "audit_counts": " UNION ALL ".join(
             [
                 _metric("rows", "*", "raw", "true", "events"),
@@ -453,4 +497,5 @@ def sql() -> dict[str, str]:
             FROM pr GROUP BY seed""",
         "score_batch": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
         "score_stream": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
+        "score_stream_restart": nb_scores(conv, ["conv_id", "turn"], "text", "role", 40, 3),
     }

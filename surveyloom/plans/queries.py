@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,16 +20,18 @@ from surveyloom.operators import cleaning as C
 from surveyloom.operators import multihot as M
 from surveyloom.operators import naive_bayes as N
 from surveyloom.operators import neighbours as G
+from surveyloom.operators import sketches as K
 from surveyloom.operators import splits as P
 from surveyloom.operators import standardize as Z
 from surveyloom.operators.quantiles import medians, quantiles, upper_caps
 from surveyloom.plans import evaluate as E
+from surveyloom.plans import score as R
 from surveyloom.plans import train as T
 from surveyloom.plans.clean import Cleaned, clean, resolve_folder
 from surveyloom.schema import CleanSpec, TrainSpec
 from surveyloom.session import fresh_path, spread
 from surveyloom.sources.tables import complete_schema, read_cleaned, read_csv, write_csv
-from surveyloom.streaming.score import run_available
+from surveyloom.streaming.score import run_available, run_batches
 
 VOCAB = 40
 ALPHA = 0.5
@@ -229,6 +232,25 @@ def median_spiky(spark, sf):
     return spark.createDataFrame([tuple(found)], "low double, middle double, high double")
 
 
+def median_merged(spark, sf):
+    """Quantiles from sketches of ten parts, two of them appended later, and whether their ranks hold."""
+    df = table(spark, sf, "lineitem").select(F.pmod("l_orderkey", F.lit(10)).alias("part"), "l_extendedprice", "l_quantity")
+    path, cols, asked = fresh_path(spark, "sketches"), ["l_extendedprice", "l_quantity"], [0.25, 0.5, 0.99]
+    K.sketched(df.where("part < 8"), cols, "part").write.parquet(path)
+    K.sketched(df.where("part >= 8"), cols, "part").write.mode("append").parquet(path)
+    found = K.merged_quantiles(spark.read.parquet(path), {c: asked for c in cols})
+    ranks = [
+        F.struct(
+            F.lit(c).alias("column"), F.lit(q).alias("q"), F.count(c).alias("n"),
+            F.count_if(F.col(c) < v).alias("below"), F.count_if(F.col(c) <= v).alias("upto"),
+        )
+        for c in cols for q, v in zip(asked, found[c])
+    ]
+    slack = 3 * K.rank_error() * F.col("n")
+    holds = (F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)
+    return df.agg(F.array(*ranks).alias("r")).select(F.inline("r")).select("column", "q", "n", holds.alias("holds"))
+
+
 def audit_counts(spark, sf):
     v = F.col("value")
     return C.audit(
@@ -652,6 +674,72 @@ def score_stream(spark, sf):
     return run_available(stream, "scores", lambda s: _score_table(s, model, ["conv_id", "turn"]))
 
 
+def score_stream_restart(spark, sf):
+    """The same scores from a stream over four files that stops after a batch it had not noted, and goes on."""
+    df = _roles(spark, sf)
+    model = N.fit_text_models(df, "role", {"text": VOCAB}, ALPHA)[0]
+    files, out = fresh_path(spark, "turns"), fresh_path(spark, "restarted")
+    df.repartition(4, "conv_id").write.parquet(files)
+
+    def stop(number: int) -> None:
+        if number == 1:
+            raise InterruptedError("stopped between two batches")
+
+    def run(written=None):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(files)
+        return run_batches(stream, "scores", lambda s: _score_table(s, model, ["conv_id", "turn"]), out, written)
+
+    try:
+        run(stop)
+    except StreamingQueryException:
+        return run()
+    return run()  # too few files for a second batch
+
+
+ORDER_TITLES = {0: "F", 1: "O"}
+ORDER_LAYOUT = T.Layout(
+    texts=(), multi_selects=(), row_id="order_id", exclude=("order_id", "status", "note", "priority", "offer", "units"),
+)
+
+
+def _order_model(spark, sf) -> tuple[DataFrame, PipelineModel]:
+    """Cleaned orders of odd keys and the logistic model of their status by one scale, saved and reloaded."""
+    odd = F.col("order_id").cast("long") % 2 == 1
+    cleaned = clean(order_survey(spark, sf).where(odd), ORDER_SURVEY).df
+    path = fresh_path(spark, "orders-model")
+    T.save_model(T.train(cleaned, T.Recipe("logistic", TrainSpec({}, ALPHA, 0.5)), ORDER_LAYOUT), path)
+    return cleaned, T.load_model(path)
+
+
+def logistic_one(spark, sf):
+    """Probabilities of a logistic model with one scaled feature."""
+    cleaned, model = _order_model(spark, sf)
+    scored = R.score_cleaned(cleaned.where("label is not null"), model, ORDER_TITLES)
+    return scored.select("order_id", "label", F.round(vector_to_array("probability")[1], 4).alias("p1"), "pred_name")
+
+
+def _order_report(spark, sf) -> DataFrame:
+    _, model = _order_model(spark, sf)
+    raw, path = order_survey(spark, sf).where("order_id % 2 = 0"), fresh_path(spark, "orders-file")
+    torn = F.col("order_id").cast("long") % 101 == 0
+    write_csv(raw.where(~torn), path, {})
+    write_csv(raw.where(torn).select(raw.columns[:3]), path, {}, mode="append")
+    return R.file_report(
+        spark, path, model, ORDER_TITLES, ORDER_SURVEY, {}, multi_line=False, columns=raw.columns
+    )
+
+
+def score_file(spark, sf):
+    """A raw file with torn lines and unknown classes: every line with its state and title."""
+    p1 = F.round(F.get("probability", F.lit(1)), 4).alias("p1")
+    return _order_report(spark, sf).select("order_id", "state", "label", "true_name", "pred", "pred_name", p1)
+
+
+def evaluate_file(spark, sf):
+    report = R.summarise_report(_order_report(spark, sf))
+    return report.withColumn("accuracy", r6("accuracy"))
+
+
 ALL = {
     "schema_complete": schema_complete,
     "normalize_text": normalize_text,
@@ -668,6 +756,7 @@ ALL = {
     "missing_filter": missing_filter,
     "median_impute": median_impute,
     "median_spiky": median_spiky,
+    "median_merged": median_merged,
     "audit_counts": audit_counts,
     "value_counts": value_counts,
     "clean_table": clean_table,
@@ -710,4 +799,8 @@ ALL = {
     "repeated_nb": repeated_nb,
     "score_batch": score_batch,
     "score_stream": score_stream,
+    "score_stream_restart": score_stream_restart,
+    "logistic_one": logistic_one,
+    "score_file": score_file,
+    "evaluate_file": evaluate_file,
 }

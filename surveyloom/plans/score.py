@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.functions.scales import label_title
-from surveyloom.plans.clean import clean_final
+from surveyloom.plans.clean import clean, clean_final
 from surveyloom.plans.evaluate import accuracy
 from surveyloom.plans.train import with_row_id
-from surveyloom.schema import LABEL_TITLES, RAW_TO_CANONICAL
-from surveyloom.sources.tables import null_tokens_to_null, read_csv
+from surveyloom.schema import LABEL_TITLES, RAW_TO_CANONICAL, SURVEY, CleanSpec
+from surveyloom.sources.tables import null_tokens_to_null, read_csv, read_csv_checked
 
 
 def score_cleaned(df: DataFrame, model: PipelineModel, titles: Mapping = LABEL_TITLES) -> DataFrame:
@@ -69,3 +70,35 @@ def evaluate_file(spark: SparkSession, path: str, model: PipelineModel, titles:
         "rows_without_label": row["unknown"],
         "pred_df": scored.select("row_id", "label", "true_name", "pred", "pred_name"),
     }
+
+
+def file_report(
+    spark: SparkSession, path: str, model: PipelineModel, titles: Mapping = LABEL_TITLES, spec: CleanSpec = SURVEY,
+    names: Mapping[str, str] = RAW_TO_CANONICAL, drop_unknown: bool = False, **scan,
+) -> DataFrame:
+    """Every line of a raw CSV that may be damaged, with its title: row_id, the id, state, line, label, true_name, pred, pred_name.
+
+    ``state`` is "scored" for a record of known class, "unknown" for one without a
+    class or of one that the survey does not know (it gets a title all the same,
+    unless ``drop_unknown`` leaves such records out), and "damaged" for a line that
+    is no record, whose text is in ``line`` and which has no title. ``scan`` goes to
+    ``read_csv_checked``. Probabilities of the classes, if the model gives them, are in ``probability``.
+    """
+    records, damaged = read_csv_checked(spark, path, names, **scan)
+    cleaned = clean(records, spec, drop_sparse=False, drop_unlabelled=drop_unknown).df
+    scored = score_cleaned(cleaned, model, titles)
+    known = F.col(spec.label_col).isNotNull()
+    scored = scored.select(
+        "row_id", spec.id_col, F.when(known, "scored").otherwise("unknown").alias("state"), F.lit(None).cast("string").alias("line"),
+        F.col(spec.label_col).alias("label"), label_title(F.col(spec.label_col), titles).alias("true_name"), "pred", "pred_name",
+        *[vector_to_array(c).alias(c) for c in ("probability",) if c in scored.columns],
+    )
+    bad = damaged.select("row_id", spec.id_col, F.lit("damaged").alias("state"), "line")
+    return scored.unionByName(bad, allowMissingColumns=True)
+
+
+def summarise_report(report: DataFrame) -> DataFrame:
+    """One row: lines, damaged, unknown, scored and the accuracy over the scored ones (null without any)."""
+    count = lambda state: F.count_if(F.col("state") == state).alias(state)
+    hit = F.when(F.col("state") == "scored", (F.col("pred") == F.col("label")).cast("double"))
+    return report.agg(F.count(F.lit(1)).alias("lines"), count("damaged"), count("unknown"), count("scored"), F.avg(hit).alias("accuracy"))

@@ -116,14 +116,15 @@ def fit_scores(df: DataFrame, recipe: Recipe, layout: Layout) -> PipelineModel:
                 inputCols=list(layout.multi_selects), sep=layout.sep, prefixes=_indicator_prefixes(layout)
             ).fit(df)
         )
-    stages.append(
-        TextScores(
-            labelCol=layout.label,
-            sizes=recipe.train.vocab_sizes,
-            alpha=recipe.train.nb_alpha,
-            includePred=recipe.include_pred,
-        ).fit(df)
-    )
+    if recipe.train.vocab_sizes:
+        stages.append(
+            TextScores(
+                labelCol=layout.label,
+                sizes=recipe.train.vocab_sizes,
+                alpha=recipe.train.nb_alpha,
+                includePred=recipe.include_pred,
+            ).fit(df)
+        )
     return PipelineModel(stages=stages)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.schema import CANONICAL_TO_RAW, NULL_TOKENS, RAW_TO_CANONICAL, SURVEY, CleanSpec
+from surveyloom.session import materialise
 
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -52,6 +53,27 @@ def read_csv(
     return rename(null_tokens_to_null(raw), names)
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, names: Mapping[str, str] = RAW_TO_CANONICAL, multi_line: bool = True,
+    columns: Sequence[str] | None = None, line: str = "line",
+) -> tuple[DataFrame, DataFrame]:
+    """(records, damaged): a header CSV with the lines of too few or too many cells kept apart.
+
+    Both have a ``row_id`` that grows in file order. Damaged lines have their text
+    in ``line`` and the cells that could be told. ``columns`` are the raw names in
+    file order; without them the header of one of the files tells. The file is
+    parsed once and written as a table, since all its cells are needed to tell.
+    """
+    plain = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", "UTF-8")
+    columns = list(columns or plain.csv(path).columns)
+    cells = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, line]])
+    scan = plain.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", line).option("columnPruning", False)
+    parsed = scan.schema(cells).csv(path).select(F.monotonically_increasing_id().alias("row_id"), "*")
+    stored = materialise(parsed, "lines")
+    fine = null_tokens_to_null(stored.where(F.col(f"`{line}`").isNull()).drop(line))
+    return rename(fine, names), rename(stored.where(F.col(f"`{line}`").isNotNull()), names)
+
+
 def write_csv(df: DataFrame, path: str, names: Mapping[str, str] = CANONICAL_TO_RAW, mode: str = "error") -> None:
     """Header CSV with the raw names; list columns are written as JSON text."""
     nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}

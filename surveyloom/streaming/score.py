@@ -48,3 +48,35 @@ def run_available(
     )
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/rows")
+
+
+def run_batches(
+    stream: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame] | None = None, path: str | None = None,
+    written: Callable[[int], None] | None = None,
+) -> DataFrame:
+    """Run a stream over all input present now, one folder of rows for each batch; the result is the table of all.
+
+    A batch that ran but was not noted in the stream's progress (a stop between the
+    two) runs again after a restart and replaces its own folder, so no row is lost
+    or there twice. ``transform`` sees one batch as an ordinary table and may look
+    at all its rows; none of its columns may be named batch_number. ``written`` is
+    called after each batch with its number.
+    """
+    spark = stream.sparkSession
+    base = path or fresh_path(spark, name)
+    change = transform or (lambda df: df)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{base}/rows/batch_number={number}")
+        if written:
+            written(number)
+
+    query: StreamingQuery = (
+        stream.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = change(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(schema).parquet(f"{base}/rows").drop("batch_number")

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,10 +12,10 @@ from surveyloom.operators.neighbours import NeighboursModel
 from surveyloom.plans import evaluate as E
 from surveyloom.plans import train as T
 from surveyloom.plans.clean import clean_final
-from surveyloom.plans.score import evaluate_file, predict_file, predict_records, score_raw
+from surveyloom.plans.score import evaluate_file, file_report, predict_file, predict_records, score_raw, summarise_report
 from surveyloom.schema import CANONICAL_TO_RAW, LABEL_TITLES, RAW_TO_CANONICAL
 from surveyloom.session import fresh_path, materialise
-from surveyloom.streaming.score import run_available, score_survey_stream
+from surveyloom.streaming.score import run_available, run_batches, score_survey_stream
 
 TITLES = set(LABEL_TITLES.values())
 SMALL = {"food_text": 8, "feeling_text": 10, "soundtrack_text": 8}
@@ -118,6 +119,53 @@ def test_stream_scores_equal_batch_scores(spark, raw_survey, model):
     assert {r["row_id"]: r["pred_name"] for r in out.collect()} == want and len(want) == 150
 
 
+def test_damaged_file_keeps_every_line(spark, raw_survey, model, tmp_path):
+    path = str(tmp_path / "torn")
+    write_raw(raw_survey.limit(20).withColumn("painting", F.when(F.col("unique_id") == "2", "No such title").otherwise(F.col("painting"))), path)
+    header = ",".join(f'"{c}"' for c in RAW_TO_CANONICAL)
+    torn = ['77,"The Starry Night",5', "78," + "," * 30, "", "79"]
+    (tmp_path / "torn" / "part-99.csv").write_text("\n".join([header, *torn]) + "\n")
+    found = materialise(file_report(spark, path, model, columns=list(RAW_TO_CANONICAL), multi_line=False))
+    rows = found.collect()
+    bad = [r for r in rows if r.state == "damaged"]
+    assert sorted(r.line for r in bad) == sorted(x for x in torn if x)  # a blank line is none
+    assert all(r.pred is None and r.label is None for r in bad) and {r.unique_id for r in bad} == {"77", "78", "79"}
+    assert len(rows) == 23 and len({r.row_id for r in rows}) == 23
+    assert [r.unique_id for r in rows if r.state == "unknown"] == ["2"] * 3
+    assert all(r.pred_name in TITLES and abs(sum(r.probability) - 1) < 1e-9 for r in rows if r.state != "damaged")
+    done = summarise_report(found).first()
+    right = [r.pred == r.label for r in rows if r.state == "scored"]
+    assert (done.lines, done.damaged, done.unknown, done.scored) == (23, 3, 3, 17) and math.isclose(done.accuracy, np.mean(right))
+    less = file_report(spark, path, model, columns=list(RAW_TO_CANONICAL), multi_line=False, drop_unknown=True)
+    assert summarise_report(less).first()[:4] == (20, 3, 0, 17)
+    assert summarise_report(found.where("false")).first() == (0, 0, 0, 0, None)
+
+
+def test_stopped_stream_writes_no_row_twice(spark):
+    source, base = fresh_path(spark, "numbers"), fresh_path(spark, "numbers-out")
+    spark.range(100).repartition(5).write.parquet(source)
+    runs, stopped = [], []
+
+    def stop(number):
+        runs.append(number)
+        if number in (1, 3) and number not in stopped:
+            stopped.append(number)
+            raise InterruptedError("written, but not noted")
+
+    def go():
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+        return run_batches(stream, "n", lambda b: b.withColumn("size", F.lit(b.count())), base, stop)
+
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            go()
+    out = go()
+    assert runs == [0, 1, 1, 2, 3, 3, 4] and out.columns == ["id", "size"]
+    assert sorted(r.id for r in out.collect()) == list(range(100))
+    assert out.select(F.sum(1 / F.col("size"))).first()[0] == pytest.approx(5)
+    assert go().count() == 100  # nothing new: nothing changes
+
+
 def test_cross_validation_fits_without_the_fold(spark, cleaned, recipe):
     other = recipe.with_(C=0.05)
     results = E.cross_validate(cleaned, [recipe, other], n_splits=3).collect()

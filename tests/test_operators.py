@@ -12,9 +12,11 @@ from surveyloom.operators import cleaning as C
 from surveyloom.operators import multihot as M
 from surveyloom.operators import naive_bayes as N
 from surveyloom.operators import neighbours as G
+from surveyloom.operators import sketches
 from surveyloom.operators import splits as P
 from surveyloom.operators import standardize as Z
 from surveyloom.operators.neighbours import nearest, vote
+from surveyloom.session import materialise
 
 
 def labelled(spark, n=403, seed=1):
@@ -274,3 +276,23 @@ def test_fills_fall_back_to_the_training_rows(spark):
     assert [tuple(r) for r in model.transform(rows).collect()] == [(2.0, 5.0, 0.0), (2.0, 5.0, 0.0)]
     alone = C.Fills(inputCols=["a", "b"], batch=False).fit(train)
     assert [tuple(r) for r in alone.transform(rows).collect()] == [(2.0, 5.0, None), (2.0, 15.0, None)]
+
+
+def test_merged_sketches_stay_within_their_rank_error(spark):
+    df = spark.range(200_000).select(
+        (F.col("id") % 10).alias("part"), F.when(F.col("id") % 7 != 0, F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double")).alias("a"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") / 1000).alias("b"), F.lit(None).cast("double").alias("none"),
+    )
+    parts = materialise(sketches.sketched(df, ["a", "b", "none"], "part"))
+    assert parts.count() == 20 and {r.name for r in parts.select("name").distinct().collect()} == {"a", "b"}
+    asked = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = sketches.merged_quantiles(parts, {"a": asked, "b": asked, "none": [0.5]})
+    assert got["none"] == [None]
+    for c in ("a", "b"):
+        n = df.select(c).dropna().count()
+        for q, v in zip(asked, got[c]):
+            below, upto = df.agg(F.count_if(F.col(c) < v), F.count_if(F.col(c) <= v)).first()
+            slack = 3 * sketches.rank_error() * n
+            assert below - slack <= q * n <= upto + slack
+    assert parts.agg(F.max(F.octet_length("sketch"))).first()[0] < 8 * 3 * sketches.K
+    assert sketches.merged_medians(parts.where("false"), ["a"]) == {"a": None}
