@@ -172,17 +172,19 @@ def _likely(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
 
 
 def _leads(now: DataFrame, turn: int) -> DataFrame:
-    """(band, h, lead, lead_class, lead_n): one drawn member of every bucket with more than one class.
+    """(band, h, lead, lead_class, lead_n): of every bucket with more than one class the member that meets most others.
 
-    The draw goes by the class and the member alone, so buckets that share members
-    mostly draw the same one, and a pair that shares many bands is compared once.
+    A text from which many copies were made shares more buckets than its copies
+    do, so it comes first and joins most of them at once. Members that led before
+    do not lead again. Buckets that share members mostly have the same lead, and a
+    pair that shares many bands is compared once.
     """
-    draw = F.xxhash64("class", F.lit(turn)).alias("d"), F.xxhash64("node", F.lit(turn)).alias("e")
+    first = F.col("meets"), F.xxhash64("node", F.lit(turn)).alias("e")
     what = [F.col("class").alias("lead_class"), F.col("node").alias("lead"), F.col("n").alias("lead_n")]
     lead = now.groupBy("band", "h").agg(
-        F.min(F.struct(*draw, *what)).alias("l"), F.min("class").alias("c1"), F.max("class").alias("c2")
+        F.max(F.when(~F.col("led"), F.struct(*first, *what))).alias("l"), F.min("class").alias("c1"), F.max("class").alias("c2")
     )
-    return lead.where("c1 < c2").select("band", "h", "l.lead_class", "l.lead", "l.lead_n")
+    return lead.where("c1 < c2 and l is not null").select("band", "h", "l.lead_class", "l.lead", "l.lead_n")
 
 
 def _verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
@@ -287,9 +289,9 @@ def near_classes(
     A document is the multiset of its runs of ``width`` words (as they stand
     between white space; a shorter text is one run). Rows of equal multisets are
     one candidate. BagMinHash values in bands give buckets. In each round every
-    bucket draws one member by hash; it is compared with the members of all other
-    classes there, so a bucket of any size costs one comparison for each of its
-    members. Pairs whose values agree often enough are compared exactly. Rounds go on while they
+    bucket takes the member that meets most others; it is compared with the members
+    of all other classes there, so a bucket of any size costs one comparison for each
+    of its members. Pairs whose values agree often enough are compared exactly. Rounds go on while they
     find links, ``most_rounds`` at most. What they leave is finished exactly: all
     members of buckets that still hold several classes are joined on the rarest
     items of their multisets, so that every pair of different classes there that
@@ -308,20 +310,25 @@ def near_classes(
         real.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "near-groups"
     )
     rows = groups.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    shared = rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    shared = rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(rows.join(shared, ["band", "h"]), "near-members")
-    crowd = written(members.select("node").distinct(), "near-crowd")
+    crowd = written(members.groupBy("node").agg(F.sum("size").alias("meets")), "near-crowd")
+    members = members.drop("size")
     few = crowd.count() <= BROADCAST_IDS
-    known = F.broadcast(crowd) if few else crowd
+    known = F.broadcast(crowd.select("node")) if few else crowd.select("node")
     texts = slim.join(known, F.col("id") == F.col("node"), "left_semi")
     marks = written(groups.select("node", "marks").join(known, "node", "left_semi"), "near-marks")
     # an id may have several texts; equal ones are one row
     data = _bagged(texts, width).groupBy("id", F.xxhash64("bag").alias("key")).agg(F.min("bag").alias("bag"))
     data = written(data.drop("key"), "near-bags")
-    classes, links = members.select("node", F.col("node").alias("class")).where("false"), None
+    classes, links, led = crowd.select("node", F.col("node").alias("class")).where("false"), None, None
     for turn in range(most_rounds):
-        now = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        lead = _leads(now, turn)
+        of = crowd.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        of = of.withColumn("led", F.lit(False)) if led is None else of.join(led, "node", "left").fillna(False, ["led"])
+        now = members.join(of, "node")
+        lead = written(_leads(now, turn), f"near-leads-{turn}")
+        again = lead.select(F.col("lead").alias("node"), F.lit(True).alias("led")).distinct()
+        led = again if led is None else led.union(again).distinct()
         pairs = now.join(lead, ["band", "h"]).where(
             (F.col("class") != F.col("lead_class")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n"))
         )
@@ -335,7 +342,7 @@ def near_classes(
                 components(links, f"near-classes-{turn}").select("node", F.col("component").alias("class")), f"near-classes-{turn}"
             )
         elif turn:
-            break  # draws find no more
+            break  # leads find no more
     now = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     new = written(_verified(written(_left(now, data, similarity), "near-pairs-left"), data, similarity), "near-links-left")
     if new.count():
