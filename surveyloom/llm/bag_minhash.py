@@ -132,7 +132,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 t, h, c = bags(*shingles(part.column("text"), width))
                 f1, f2, n = fingerprints(t, h, c, part.num_rows)
                 values = signatures(t, h, c, part.num_rows, BANDS * ROWS)
@@ -151,7 +151,7 @@ def _bagged(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 t, h, c = bags(*shingles(part.column("text"), width))
                 copy = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
                 items, text = mix(np.repeat(h, c) + copy.astype(np.uint64) * _STEP), np.repeat(t, c)
