@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.common import by_value, fresh
-from surveyloom.llm.words import ranges, slices, split, sums
+from surveyloom.llm.words import give_back, ranges, slices, split, sums
 
 UNKNOWN = "und"
 BITS = 18
@@ -21,6 +21,8 @@ RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("runs", pa.
 # Longer lines are cut into chains of so many words, each read with some words more on both sides:
 # what is further away than those does not reach a word's probabilities.
 CHAIN = 400
+# text labelled at once; its marginals take some hundred times as much
+TEXT_BYTES = 2 << 20
 OVERLAP = 40
 # around words, not part of them
 _MARKS = ".,!?;:|\"'()[]{}*#%$&<>=+-_/\\~^`«»“”„…"
@@ -290,7 +292,8 @@ def identify(
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = pa.record_batch([texts], names=["text"])
-            parts = [predict(b.column("text"), model) for b in slices(rows, "text")]
+            parts = [predict(b.column("text"), model) for b in slices(rows, "text", TEXT_BYTES)]
+            give_back()
             yield pa.chunked_array(parts, type=RESULT).combine_chunks()
 
     found = fresh(docs, "_found")
