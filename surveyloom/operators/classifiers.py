@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators.neighbours import Neighbours
-from surveyloom.schema import FOREST_PARAMS, KNN_PARAMS, MLP_PARAMS
+from surveyloom.operators.perceptron import PenalizedPerceptron
+from surveyloom.schema import FOREST_PARAMS, KNN_PARAMS, MLP_PARAMS, PENALIZED_MLP_PARAMS
 
 # Spark grows trees to at most this depth; it stands for "no limit".
 DEEPEST = 30
@@ -59,7 +60,8 @@ class PenalizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable)
 class Perceptron(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Spark's multilayer perceptron with layer sizes taken from the data.
 
-    It has sigmoid hidden layers and no weight penalty or early stopping.
+    It has sigmoid hidden layers and no weight penalty or early stopping;
+    ``PenalizedPerceptron`` has both.
     """
 
     hidden = Param(Params._dummy(), "hidden", "hidden layer sizes", TypeConverters.toListInt)
@@ -128,6 +130,23 @@ def perceptron(
     return Perceptron(labelCol=label, hidden=list(hidden), maxIter=max_iter, seed=seed)
 
 
+def penalized_perceptron(
+    label: str = "label",
+    hidden=PENALIZED_MLP_PARAMS["hidden"],
+    penalty: float = PENALIZED_MLP_PARAMS["penalty"],
+    rate: float = PENALIZED_MLP_PARAMS["rate"],
+    batch: int = PENALIZED_MLP_PARAMS["batch"],
+    max_iter: int = PENALIZED_MLP_PARAMS["max_iter"],
+    patience: int = PENALIZED_MLP_PARAMS["patience"],
+    seed: int = PENALIZED_MLP_PARAMS["seed"],
+    rows_per_part: int = 16_384,
+) -> PenalizedPerceptron:
+    return PenalizedPerceptron(
+        labelCol=label, hidden=list(hidden), penalty=penalty, rate=rate, batch=batch, maxIter=max_iter,
+        patience=patience, rowsPerPart=rows_per_part, seed=seed,
+    )
+
+
 def neighbours(
     label: str = "label",
     id_col: str = "row_id",

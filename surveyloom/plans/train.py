@@ -26,7 +26,7 @@ from surveyloom.schema import (
 from surveyloom.session import materialise
 from surveyloom.sources.tables import read_cleaned, read_csv
 
-KINDS = ("logistic", "knn", "forest", "mlp")
+KINDS = ("logistic", "knn", "forest", "mlp", "mlp_penalized")
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ class Recipe:
 
     @property
     def include_pred(self) -> bool:
-        return self.kind != "mlp"
+        return self.kind not in ("mlp", "mlp_penalized")
 
     @property
     def scale(self) -> bool:
@@ -95,6 +95,7 @@ PRESETS = {
     "knn": Recipe("knn", ALTERNATIVE),
     "forest": Recipe("forest", ALTERNATIVE),
     "mlp": Recipe("mlp", ALTERNATIVE),
+    "mlp_penalized": Recipe("mlp_penalized", ALTERNATIVE),
 }
 
 
@@ -140,7 +141,7 @@ def scores_from_parts(models, options, recipe: Recipe, layout: Layout) -> Pipeli
 
 
 def classifier(recipe: Recipe, layout: Layout):
-    p = {k: v for k, v in recipe.params.items() if k not in ("subset_size", "seed") or recipe.kind in ("forest", "mlp")}
+    p = {k: v for k, v in recipe.params.items() if k not in ("subset_size", "seed") or recipe.kind in ("forest", "mlp", "mlp_penalized")}
     if recipe.kind == "logistic":
         return K.logistic(layout.label, C=recipe.train.C)
     if recipe.kind == "knn":
@@ -149,6 +150,8 @@ def classifier(recipe: Recipe, layout: Layout):
         return K.forest(layout.label, **p)
     if recipe.kind == "mlp":
         return K.perceptron(layout.label, **p)
+    if recipe.kind == "mlp_penalized":
+        return K.penalized_perceptron(layout.label, **p)
     raise ValueError(f"unknown classifier {recipe.kind}")
 
 

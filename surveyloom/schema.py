@@ -145,3 +145,7 @@ FOREST_PARAMS = {
     "trees": 146, "depth": 9, "min_leaf": 2, "features": "log2", "bootstrap": True, "seed": 42,
 }
 MLP_PARAMS = {"hidden": (64, 32), "max_iter": 500, "seed": 42}
+# the perceptron with a penalty and early stopping
+PENALIZED_MLP_PARAMS = {
+    "hidden": (64, 32), "penalty": 5e-3, "rate": 2e-3, "batch": 16, "max_iter": 500, "patience": 20, "seed": 42,
+}

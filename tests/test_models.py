@@ -193,7 +193,11 @@ def test_grid_search_ranks(spark, cleaned):
 
 
 @pytest.mark.parametrize(
-    "kind,params", [("forest", {"trees": 10}), ("mlp", {"hidden": (8,), "max_iter": 40}), ("knn", {"k": 5})]
+    "kind,params",
+    [
+        ("forest", {"trees": 10}), ("mlp", {"hidden": (8,), "max_iter": 40}), ("knn", {"k": 5}),
+        ("mlp_penalized", {"hidden": (8,), "max_iter": 30, "rate": 1e-2}),
+    ],
 )
 def test_alternatives_learn(cleaned, kind, params):
     recipe = T.PRESETS[kind].with_(**SMALL, **params)

@@ -19,7 +19,7 @@ def con():
 
 # fitted classifiers and their accuracies; tests/test_models.py checks them
 NO_SQL = {
-    "logistic", "forest", "mlp", "knn_roles", "evaluate", "evaluate_grouped", "grid_search", "repeated_holdout",
+    "logistic", "forest", "mlp", "mlp_penalized", "knn_roles", "evaluate", "evaluate_grouped", "grid_search", "repeated_holdout",
 }
 
 
