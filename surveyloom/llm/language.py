@@ -21,8 +21,9 @@ RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("runs", pa.
 # Longer lines are cut into chains of so many words, each read with some words more on both sides:
 # what is further away than those does not reach a word's probabilities.
 CHAIN = 400
-# text labelled at once; its marginals take some hundred times as much
-TEXT_BYTES = 2 << 20
+# text split into words at once, and words labelled at once: whole texts of about so many
+TEXT_BYTES = 4 << 20
+WORDS = 1 << 15
 OVERLAP = 40
 # around words, not part of them
 _MARKS = ".,!?;:|\"'()[]{}*#%$&<>=+-_/\\~^`«»“”„…"
@@ -257,10 +258,20 @@ def predict(texts: pa.Array, model: Model) -> pa.StructArray:
     has_letter = pc.match_substring_regex(distinct, r"\p{L}").to_numpy(zero_copy_only=False)
     names = distinct.to_pylist()
     em = emissions(features(names), model.weights, len(names))
-    ids = to[ids]
-    got = marginals(em, ids, bounds, model)
+    ids, at = to[ids], bounds[line_at - line_at[0]]
+    out, a = [], 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + WORDS, side="right")) - 1)
+        lines = bounds[line_at[a] - line_at[0] : line_at[b] - line_at[0] + 1]
+        out.append(_labelled(em, ids[at[a] : at[b]], lines - at[a], at[a : b + 1] - at[a], has_letter, model))
+        a = b
+    return pa.concat_arrays(out) if out else pa.array([], RESULT)
+
+
+def _labelled(em, ids, lines, at, has_letter, model: Model) -> pa.StructArray:
+    """(lang, score, runs) of the texts that start at the words ``at``, their lines at the words ``lines``."""
+    got = marginals(em, ids, lines, model)
     counted = has_letter[ids]
-    at = bounds[line_at - line_at[0]]
     total = sums(got * counted[:, None], at)
     n = sums(counted.astype(np.float64), at)
     best = total.argmax(axis=1)
