@@ -242,6 +242,43 @@ def test_neighbours_against_brute_force(spark, p, layout):
         assert plain[i] == int(np.argmax(np.bincount(y[order], minlength=3)))
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_neighbours_travel_once_per_group_and_chunk(spark, monkeypatch, p):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(700, 20)), rng.normal(size=(1, 20)) + rng.normal(0, 1e-9, size=(100, 20)), 1e6 * rng.normal(size=(5, 20))])
+    q = np.vstack([rng.normal(size=(120, 20)), x[700:720], x[:10]])
+    rows = [(i, i % 3, [float(v) for v in r]) for i, r in enumerate(x)]
+    odd = [(-1, 0, None), (-2, 0, [float("nan")] * 20), (-3, 0, [None] + [0.0] * 19), (-4, 0, [float("inf")] * 20)]
+    train = spark.createDataFrame([*rows, *odd], "tid long, y int, x array<double>")
+    asked = [(i, [float(v) for v in r]) for i, r in enumerate(q)]
+    queries = spark.createDataFrame([*asked, (900, None), (901, [float("nan")] * 20)], "qid long, x array<double>")
+    sent, inner = [spark.sparkContext.accumulator(0) for _ in range(2)], G._nearest_in_group
+    left, right = sent
+
+    def counted(*args):
+        run = inner(*args)
+
+        def both(a, b):
+            left.add(a.num_rows)
+            right.add(b.num_rows)
+            return run(a, b)
+
+        return both
+
+    monkeypatch.setattr(G, "_nearest_in_group", counted)
+    monkeypatch.setattr(G, "LEAST_TASK_ROWS", 1)
+    # tiles of 8 by 4: blocks and chunks of that size would travel 38 and 101 times
+    near = nearest(train, queries, 9, p, pivots=12, block_rows=8, chunk_rows=4, task_rows=300).collect()
+    assert left.value <= 2 * 810 * (G.CHUNKS + 1) and right.value <= 150 * (2 * G.GROUPS + 2)
+    got = {}
+    for r in sorted(near, key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append((r["dist"], r["tid"]))
+    assert set(got) == set(range(len(q)))
+    for i, v in enumerate(q):
+        d = G._distances(v[None], x, p)[0]
+        assert got[i] == sorted(zip(d.tolist(), range(len(x))))[:9]
+
+
 def test_balanced_groups_stay_within_their_bound(spark):
     sizes = [500] + [40] * 10 + [1] * 900
     rng = random.Random(3)
