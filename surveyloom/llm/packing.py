@@ -27,6 +27,10 @@ DDL = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, o
 MERGED = 1 << 62
 # words kept with their ids for the next batch; more are encoded once per batch
 KEPT_WORDS = 250_000
+# new words encoded as one line: the tokenizer's costs for a text are shared
+JOINED = 128
+# new words encoded at once
+LEARNED = 8_192
 # text tokenized at once; its arrays take some ten times as much
 TEXT_BYTES = 2 << 20
 # rows handed to Python at once
@@ -54,33 +58,42 @@ class Encoder:
         return store.__dict__[path]
 
     def _learn(self, words: list[str]) -> None:
-        coded = [c.ids for c in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of new words, a line of JOINED words at a time; where a token starts tells its word."""
+        lines = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        coded = self.model.encode_batch(["\n".join(x) for x in lines], add_special_tokens=False)
+        ids = [c.ids for c in coded]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        start = np.fromiter((o[0] for c in coded for o in c.offsets), np.int64, int(size.sum()))
+        del coded
+        # the words end to end, each with its line break; a token starts within its word
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        base = np.concatenate(([0], ends))[np.arange(len(lines)) * JOINED]
+        word = np.searchsorted(ends, start + np.repeat(base, size), side="right")
         n = len(self.ends) - 1
-        self.place.update((w, n + i + 1) for i, w in enumerate(words))
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum()))))
+        self.place.update(zip(words, range(n + 1, n + 1 + len(words))))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.bincount(word, minlength=len(words)))))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, len(start))))
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, ids per word).
 
         Punctuation after an ASCII letter is a token of its own, so words are
         looked up without it.
         """
-        cores, tails = list(words), [""] * len(words)
-        for i, w in enumerate(words):
-            if w and w[-1] in _PUNCTUATION:
-                core = w.rstrip(_PUNCTUATION)
-                if core and "a" <= core[-1] <= "z" and "<|" not in w:
-                    cores[i], tails[i] = core, w[len(core) :]
+        core = pc.utf8_rtrim(words, characters=_PUNCTUATION)
+        apart = pc.and_not(pc.match_substring_regex(core, "[a-z]$"), pc.match_substring(words, "<|"))
+        apart = pc.and_(apart, pc.less(pc.binary_length(core), pc.binary_length(words)))
+        cores = pc.if_else(apart, core, words).to_pylist()
+        cut = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        tails = [w[len(cores[i]) :] for i, w in zip(cut.tolist(), words.take(pa.array(cut)).to_pylist())]
         place, flat, ends = self.place, self.flat, self.ends
-        new = [w for w in dict.fromkeys(chain(cores, tails)) if w not in place]
-        if new:
-            self._learn(new)
-        parts = np.empty((len(words), 2), np.int64)
-        parts[:, 0] = [place[w] for w in cores]
-        parts[:, 1] = [place[w] for w in tails]
-        starts = np.concatenate(([0], self.ends[:-1]))  # place 0 is the empty word
+        new = list(dict.fromkeys(w for w in chain(cores, tails) if w not in place))
+        for i in range(0, len(new), LEARNED):
+            self._learn(new[i : i + LEARNED])
+        parts = np.zeros((len(cores), 2), np.int64)  # place 0 is the empty word
+        parts[:, 0] = np.fromiter(map(place.__getitem__, cores), np.int64, len(cores))
+        parts[cut, 1] = np.fromiter(map(place.__getitem__, tails), np.int64, len(tails))
+        starts = np.concatenate(([0], self.ends[:-1]))
         size = np.concatenate(([0], np.diff(self.ends)))
         at = parts.ravel()
         out = self.flat[ranges(starts[at], size[at])], size[parts].sum(axis=1)
@@ -97,7 +110,7 @@ def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndar
     # its own tokens first, as they are written, so texts that may hold one stay as they are
     lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
     words, ids, bounds = split(lower, ("\n",))
-    flat, size = Encoder.of(path).encode(words.to_pylist())
+    flat, size = Encoder.of(path).encode(words)
     first = np.cumsum(size) - size
     per_word = size[ids]
     ends = np.concatenate(([0], np.cumsum(per_word)))[bounds]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,11 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go() -> None:
+    """Drops the tokenizers and words that earlier tasks of other operators kept in this worker."""
+    sys.modules.pop("surveyloom_worker_store", None)
+
+
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of rows [bounds[i], bounds[i + 1]) along the first axis."""
     total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))

@@ -18,6 +18,7 @@ import helpers as H  # noqa: E402
 from surveyloom.llm import bag_minhash, grid_order, mixing, packing, queries, topk  # noqa: E402
 from surveyloom.llm.common import table  # noqa: E402
 from surveyloom.llm.components import components  # noqa: E402
+from surveyloom.llm.words import let_go  # noqa: E402
 
 NAN, INF = float("nan"), float("inf")
 
@@ -350,3 +351,28 @@ def test_pipeline_of_hazards_and_nothing(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, H.SF)
         docs.collect()
+
+
+def test_words_encoded_together_keep_their_own_ids():
+    words = ["cóté", "́x", "naïve", "it's", "don't'", "<|endoftext|>a", " ", "x ", "한국", "한", "🙂🙂", "12a3", "--", "ß.", "end.", "END!?", "a<|b."]
+    words += [f"w{i}{chr(97 + i % 26) * (i % 7)}" for i in range(3 * packing.JOINED)]
+    encoder = packing.Encoder(queries.tokenizer_path())
+    alone = [encoder.model.encode(w, add_special_tokens=False).ids for w in words]
+    calls, model = [], encoder.model
+
+    class Counted:
+        def encode_batch(self, lines, **how):
+            calls.extend(lines)
+            return model.encode_batch(lines, **how)
+
+    encoder.model = Counted()
+    for _ in range(2):
+        flat, size = encoder.encode(pa.array(words))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == alone
+    assert len(calls) <= 5
+
+
+def test_labelling_lets_go_of_kept_words():
+    packing.Encoder.of(queries.tokenizer_path())
+    let_go()
+    assert "surveyloom_worker_store" not in sys.modules
