@@ -387,7 +387,9 @@ def nearest(
     lo, hi = (np.array([cells[c][end] if c in cells else other for c in range(len(points))]) for end, other in (("lo", np.inf), ("hi", -np.inf)))
     visits = asked.join(reach, "qid", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
     go = _reachable(points, p, lo, hi, members)("x", "cell", "reach")
-    visits = visits.withColumn("group", F.explode(go))
+    # rows of one id ask together: each of their visits is made with the vector of each
+    visits = visits.select("qid", "cell", "reach", go.alias("go")).join(asked.select("qid", "x"), "qid")
+    visits = visits.withColumn("group", F.explode("go")).drop("go")
     chunks = {g: math.ceil(m / asked_at_once) or 1 for g in range(members.shape[1])}
     more = _meet(placed, visits, chunks, search(False), schema)
     return _best(found.unionByName(more), k)
