@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 from collections.abc import Iterator
@@ -45,8 +46,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.place = {"": 0}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.words = pa.array([""], pa.large_string())
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)  # the empty word has no ids
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -57,51 +58,52 @@ class Encoder:
             store.__dict__[path] = Encoder(path)
         return store.__dict__[path]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, a line of JOINED words at a time; where a token starts tells its word."""
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words and their number per word, a line of JOINED words at a time; where a token starts tells its word."""
         lines = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         coded = self.model.encode_batch(["\n".join(x) for x in lines], add_special_tokens=False)
         ids = [c.ids for c in coded]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = np.fromiter((o[0] for c in coded for o in c.offsets), np.int64, int(size.sum()))
+        n = int(size.sum())
+        spans = chain.from_iterable(c.offsets for c in coded)
+        start = np.fromiter(chain.from_iterable(spans), np.int64, 2 * n)[::2]
         del coded
         # the words end to end, each with its line break; a token starts within its word
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         base = np.concatenate(([0], ends))[np.arange(len(lines)) * JOINED]
         word = np.searchsorted(ends, start + np.repeat(base, size), side="right")
-        n = len(self.ends) - 1
-        self.place.update(zip(words, range(n + 1, n + 1 + len(words))))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.bincount(word, minlength=len(words)))))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, len(start))))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, n), np.bincount(word, minlength=len(words))
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, ids per word).
 
         Punctuation after an ASCII letter is a token of its own, so words are
-        looked up without it.
+        looked up without it. They are looked up in Arrow: only new ones become
+        Python strings.
         """
+        words = words.cast(pa.large_string())
         core = pc.utf8_rtrim(words, characters=_PUNCTUATION)
         apart = pc.and_not(pc.match_substring_regex(core, "[a-z]$"), pc.match_substring(words, "<|"))
         apart = pc.and_(apart, pc.less(pc.binary_length(core), pc.binary_length(words)))
-        cores = pc.if_else(apart, core, words).to_pylist()
-        cut = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
-        tails = [w[len(cores[i]) :] for i, w in zip(cut.tolist(), words.take(pa.array(cut)).to_pylist())]
-        place, flat, ends = self.place, self.flat, self.ends
-        new = list(dict.fromkeys(w for w in chain(cores, tails) if w not in place))
-        for i in range(0, len(new), LEARNED):
-            self._learn(new[i : i + LEARNED])
-        parts = np.zeros((len(cores), 2), np.int64)  # place 0 is the empty word
-        parts[:, 0] = np.fromiter(map(place.__getitem__, cores), np.int64, len(cores))
-        parts[cut, 1] = np.fromiter(map(place.__getitem__, tails), np.int64, len(tails))
-        starts = np.concatenate(([0], self.ends[:-1]))
-        size = np.concatenate(([0], np.diff(self.ends)))
+        tails = pc.replace_substring_regex(words.filter(apart), "^(?s:.*)[a-z]", "")
+        asked = pa.concat_arrays([pc.if_else(apart, core, words), tails])
+        found = pc.index_in(asked, value_set=self.words)
+        unknown = asked.filter(found.is_null())
+        new = unknown.unique()
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        at[found.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + pc.index_in(unknown, value_set=new).to_numpy()
+        names = new.to_numpy(zero_copy_only=False).tolist()
+        got = [self._learn(names[i : i + LEARNED]) for i in range(0, len(names), LEARNED)]
+        flat = np.concatenate([self.flat, *[ids for ids, _ in got]])
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *[n for _, n in got]]))])
+        parts = np.zeros((len(words), 2), np.int64)  # place 0 is the empty word
+        parts[:, 0] = at[: len(words)]
+        parts[apart.to_numpy(zero_copy_only=False), 1] = at[len(words) :]
+        size = np.diff(ends)
+        if len(self.words) + len(names) <= KEPT_WORDS:
+            self.words, self.flat, self.ends = pa.concat_arrays([self.words, new]), flat, ends
         at = parts.ravel()
-        out = self.flat[ranges(starts[at], size[at])], size[parts].sum(axis=1)
-        if len(place) > KEPT_WORDS:
-            for w in new:
-                del place[w]
-            self.flat, self.ends = flat, ends
-        return out
+        return flat[ranges(ends[at], size[at])], size[parts].sum(axis=1)
 
 
 def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +197,7 @@ def pack(
         raise ValueError("the length of a sequence is a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         give_back()
         packer = Packer(length, windows, TaskContext.get().partitionId() << 33)
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -376,3 +377,32 @@ def test_labelling_lets_go_of_kept_words():
     packing.Encoder.of(queries.tokenizer_path())
     let_go()
     assert "surveyloom_worker_store" not in sys.modules
+
+
+def test_known_words_are_looked_up_without_python_strings():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{i}" for i in range(20_000)]
+    array = pa.array([w + "." * (i % 2) for i, w in enumerate(words)])
+    encoder = packing.Encoder(queries.tokenizer_path())
+    tracemalloc.start()
+    try:
+        first = encoder.encode(array)
+        kept, _ = tracemalloc.get_traced_memory()
+        tracemalloc.reset_peak()
+        again = encoder.encode(array)
+        peak = tracemalloc.get_traced_memory()[1] - kept
+    finally:
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(first, again))
+    ids = 4 * len(first[0])
+    assert peak < 8 * ids + 100 * len(words)  # numbers alone
+    assert kept < 4 * ids + 60 * len(words)
+
+
+def test_words_beyond_those_kept_get_their_ids(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    encoder = packing.Encoder(queries.tokenizer_path())
+    for words in (["a", "b."], ["c", "d!", "a", "e"], ["a.", "", "b", "c", "...", "d?.;"], [], ["a", "\u00e9."]):
+        flat, size = encoder.encode(pa.array(words, pa.string()))
+        alone = [encoder.model.encode(w, add_special_tokens=False).ids for w in words]
+        assert flat.tolist() == [i for ids in alone for i in ids] and size.tolist() == [len(ids) for ids in alone]
+        assert len(encoder.words) <= 3
