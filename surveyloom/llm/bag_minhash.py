@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.common import by_value, every, written
 from surveyloom.llm.components import components
-from surveyloom.llm.words import slices, split
+from surveyloom.llm.words import giving_back, slices, split
 
 # 24 bands of 6 values: a pair of similarity 0.8 shares a band with probability 0.9993
 BANDS = 24
@@ -143,7 +143,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 columns = [part.column("id"), pa.array(f1), pa.array(f2), pa.array(n), lists, marks]
                 yield pa.record_batch(columns, names=["id", "f1", "f2", "n", "bands", "marks"])
 
-    return docs.mapInArrow(run, "id long, f1 long, f2 long, n long, bands array<long>, marks array<tinyint>")
+    return docs.mapInArrow(giving_back(run), "id long, f1 long, f2 long, n long, bands array<long>, marks array<tinyint>")
 
 
 def _bagged(docs: DataFrame, width: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _bagged(docs: DataFrame, width: int) -> DataFrame:
                 cut = [items[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.record_batch([part.column("id"), pa.array(cut, pa.binary())], names=["id", "bag"])
 
-    return docs.mapInArrow(run, "id long, bag binary")
+    return docs.mapInArrow(giving_back(run), "id long, bag binary")
 
 
 def _likely(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame
 
     met = pairs.join(data.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
     met = met.join(data.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return met.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "bag_a", "bag_b").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _crowded(bags: DataFrame) -> np.ndarray:
@@ -218,7 +218,7 @@ def _crowded(bags: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bin", "n"])
 
-    got = bags.select("bag").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    got = bags.select("bag").mapInArrow(giving_back(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BINS, np.int64)
     out[got.column("bin").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -249,7 +249,7 @@ def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
                 columns += [pa.array(np.concatenate(at)), pa.array(np.concatenate(items).view(np.int64))]
                 yield pa.record_batch(columns, names=["node", "class", "n", "at", "item"])
 
-    return bags.select("node", "class", "n", "bag").mapInArrow(run, "node long, class long, n long, at long, item long")
+    return bags.select("node", "class", "n", "bag").mapInArrow(giving_back(run), "node long, class long, n long, at long, item long")
 
 
 def _left(now: DataFrame, data: DataFrame, similarity: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,16 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(run: Callable) -> Callable:
+    """``run`` over the batches of a task, then :func:`give_back`: workers wait for later stages without its memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def let_go() -> None:
     """Drops the tokenizers and words that earlier tasks of other operators kept in this worker."""
     sys.modules.pop("surveyloom_worker_store", None)

@@ -19,7 +19,7 @@ import helpers as H  # noqa: E402
 from surveyloom.llm import bag_minhash, grid_order, mixing, packing, queries, topk  # noqa: E402
 from surveyloom.llm.common import table  # noqa: E402
 from surveyloom.llm.components import components  # noqa: E402
-from surveyloom.llm.words import let_go  # noqa: E402
+from surveyloom.llm.words import giving_back, let_go  # noqa: E402
 
 NAN, INF = float("nan"), float("inf")
 
@@ -406,3 +406,24 @@ def test_words_beyond_those_kept_get_their_ids(monkeypatch):
         alone = [encoder.model.encode(w, add_special_tokens=False).ids for w in words]
         assert flat.tolist() == [i for ids in alone for i in ids] and size.tolist() == [len(ids) for ids in alone]
         assert len(encoder.words) <= 3
+
+
+def test_tasks_of_near_duplicates_give_their_memory_back(monkeypatch):
+    from surveyloom.llm import words
+
+    done = []
+    monkeypatch.setattr(words, "give_back", lambda: done.append("back"))
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def run(batches):
+        yield from batches
+        done.append("run")
+
+    assert list(giving_back(run)([1, 2])) == [1, 2] and done == ["run", "back"]
+    rows = pa.record_batch([pa.array([1], pa.int64()), pa.array(["one two three four five six"])], names=["id", "text"])
+    for step in (bag_minhash._signed, bag_minhash._bagged):
+        done.clear()
+        assert sum(b.num_rows for b in step(Rows(), 5)([rows])) == 1 and done == ["back"]
