@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
@@ -20,6 +22,17 @@ from surveyloom.schema import FOREST_PARAMS, KNN_PARAMS, MLP_PARAMS, PENALIZED_M
 
 # Spark grows trees to at most this depth; it stands for "no limit".
 DEEPEST = 30
+# Numbers of the feature table that one task sums up per iteration, 16 MB of doubles.
+VALUES_PER_TASK = 1 << 21
+
+
+def width(df: DataFrame, features: str) -> int:
+    """Length of the feature vectors; 0 for an empty table that does not tell."""
+    known = df.schema[features].metadata.get("ml_attr", {}).get("num_attrs")
+    if known:
+        return known
+    first = df.select(features).first()
+    return first[0].size if first else 0
 
 
 class PenalizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -28,6 +41,10 @@ class PenalizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable)
     Mean log-loss plus half the penalty times the squared weights, intercepts
     free. The features are already scaled, so Spark's own scaling, which would
     change the penalty, stays off.
+
+    An iteration sums over all rows, in whatever parts they come. Hundreds of
+    iterations over small parts would be spent on starting tasks, so parts are put
+    together, without a shuffle, until a task has ``VALUES_PER_TASK`` numbers.
     """
 
     C = Param(Params._dummy(), "C", "inverse penalty", TypeConverters.toFloat)
@@ -45,6 +62,7 @@ class PenalizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable)
     def _fit(self, df: DataFrame):
         get = self.getOrDefault
         n = df.filter(F.col(get(self.labelCol)).isNotNull()).count()
+        tasks = math.ceil(n * width(df, get(self.featuresCol)) / VALUES_PER_TASK)
         return LogisticRegression(
             family="multinomial",
             labelCol=get(self.labelCol),
@@ -54,7 +72,7 @@ class PenalizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable)
             standardization=False,
             maxIter=get(self.maxIter),
             tol=get(self.tol),
-        ).fit(df)
+        ).fit(df.coalesce(max(1, tasks)))
 
 
 class Perceptron(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -82,11 +100,9 @@ class Perceptron(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, df: DataFrame):
         get = self.getOrDefault
         features, label = get(self.featuresCol), get(self.labelCol)
-        meta = df.schema[features].metadata.get("ml_attr", {})
-        width = meta.get("num_attrs") or df.select(features).first()[0].size
         top = df.agg(F.max(label)).first()[0]
         return MultilayerPerceptronClassifier(
-            layers=[width, *get(self.hidden), int(top) + 1],
+            layers=[width(df, features), *get(self.hidden), int(top) + 1],
             labelCol=label,
             featuresCol=features,
             maxIter=get(self.maxIter),

@@ -5,9 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import tokenize
+from surveyloom.operators import classifiers as K
 from surveyloom.operators import cleaning as C
 from surveyloom.operators import multihot as M
 from surveyloom.operators import naive_bayes as N
@@ -333,3 +335,23 @@ def test_merged_sketches_stay_within_their_rank_error(spark):
             assert below - slack <= q * n <= upto + slack
     assert parts.agg(F.max(F.octet_length("sketch"))).first()[0] < 8 * 3 * sketches.K
     assert sketches.merged_medians(parts.where("false"), ["a"]) == {"a": None}
+
+
+def test_logistic_iterates_over_few_large_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, float(c), [rng.gauss(c, 1.0), rng.gauss(-c, 2.0)]) for i in range(600) for c in [rng.randint(0, 2)]]
+    df = spark.createDataFrame(rows, "id long, label double, x array<double>").select("id", "label", array_to_vector("x").alias("features"))
+    seen, fit = [], K.LogisticRegression.fit
+
+    def counted(self, rows):
+        seen.append((rows.rdd.getNumPartitions(), rows.count()))
+        return fit(self, rows)
+
+    monkeypatch.setattr(K.LogisticRegression, "fit", counted)
+    whole = K.logistic(C=0.5).fit(df.repartition(64, "id"))
+    # 1,200 numbers, 100 a task
+    monkeypatch.setattr(K, "VALUES_PER_TASK", 100, raising=False)
+    parts = K.logistic(C=0.5).fit(df.repartition(64, "id"))
+    assert seen == [(1, 600), (12, 600)]
+    assert np.allclose(whole.coefficientMatrix.toArray(), parts.coefficientMatrix.toArray(), atol=1e-5)
+    assert np.allclose(whole.interceptVector.toArray(), parts.interceptVector.toArray(), atol=1e-5)
