@@ -163,6 +163,46 @@ def test_search_of_little(spark):
     assert sorted(tuple(r) for r in topk.top_k(none, none.where("vec_id = 1")).collect()) == [(1, 1, 0, 0), (1, 2, 2, 0)]
 
 
+def small_search(monkeypatch, **sizes):
+    for name, value in ({"BLOCK": 3, "CHUNK": 16} | sizes).items():
+        monkeypatch.setattr(topk, name, value)
+
+
+def test_search_broadcasts_no_copies_of_queries(spark, monkeypatch):
+    small_search(monkeypatch)
+    df = table_of(spark, vectors())
+    plan = topk.top_k(df, df.where("vec_id % 10 = 0"), 5)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    sent = [i for i, x in enumerate(plan) if "BroadcastExchange" in x]
+    assert any("Generate" in x for x in plan)
+    for i in sent:
+        end = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+        assert not any("Generate" in x for x in plan[i:end])
+
+
+@pytest.mark.parametrize("sizes", [{"HELD": 512, "RUNS": 3, "TASKS": 4}, {"HELD": 4096, "RUNS": 1, "PAIRS": 2000}, {"MOST_BYTES": 128}])
+def test_search_in_groups_and_runs_equals_brute_force(spark, monkeypatch, sizes):
+    small_search(monkeypatch, **sizes)
+    rng = np.random.default_rng(6)
+    rows = [(i, (v * 10.0 ** rng.integers(-2, 3)).tolist(), 0) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    rows += [(400 + i, rows[30][1], 0) for i in range(30)] + [(20, rows[20][1], 0), (30, rows[30][1], 0)]
+    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows]
+    want = []
+    for q, a in good:
+        if q % 10 == 0:
+            best = sorted((-int(a @ b), i) for i, b in good if i != q)[:7]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    df = table_of(spark, rows)
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), 7).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_queries_that_need_like_chunks_are_held_together():
+    of, ends = topk.dealt({9: 5, 7: 25, 4: 2, 3: 3, 1: 4}, 10)
+    assert of == {9: (0, 1), 7: (1, 3), 4: (4, 1), 3: (4, 1), 1: (4, 1)}
+    assert ends == [9, 7, 7, 7, 4]
+
+
 @pytest.mark.parametrize("block", [5, 1024])
 def test_links_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(grid_order, "BLOCK", block)
